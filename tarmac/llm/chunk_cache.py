@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a worker remembers at most.
-REMEMBERED = 500_000
+#: Chunks, and pre-tokens, that a worker remembers at most.
+REMEMBERED = 400_000
 
 
 class ChunkCache:
@@ -49,12 +49,40 @@ def library_cache(path: str) -> ChunkCache:
     tokenizer.no_padding()
     kind = id_type(path)
 
+    pattern = _split_pattern(path)
+    words: dict[str, bytes] = {}
+
+    def library(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(chunks: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        # The pre-tokens of lower-case ASCII are its matches, each encoded alone: words recur with other punctuation around.
+        texts = [c.decode() for c in chunks]
+        split = [pattern.findall(t) if pattern and t.isascii() and "<|" not in t and t == t.lower() else None for t in texts]
+        new = list({w for many in split if many for w in many if w not in words})
+        if len(words) + len(new) > REMEMBERED:
+            words.clear()
+            new = list({w for many in split if many for w in many})
+        words.update(zip(new, library(new)))
+        whole = iter(library([t for t, many in zip(texts, split) if many is None]))
+        return [next(whole) if many is None else b"".join(map(words.__getitem__, many)) for many in split]
 
     return ChunkCache(encode, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()])
 
 
+def _split_pattern(path: str):
+    """The pattern whose matches are the pre-tokens, where the file has such a step; the library then splits nothing further."""
+    import json
+
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    found = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and s.get("invert") and s["behavior"] == "Removed"]
+    return regex.compile(found[0]) if len(found) == 1 else None
+
+
 @functools.lru_cache(8)
 def id_type(path: str) -> str:
     """The smallest unsigned type that holds every id of the tokenizer file."""
