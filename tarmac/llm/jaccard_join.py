@@ -19,7 +19,7 @@ PERCENT = 75
 #: 64-bit words of a document's parity sketch.
 SKETCH = 8
 #: A band holds the pairs whose larger set has BAND ** j shingles or more, and fewer than BAND ** (j + 1).
-BAND = 4
+BAND = 2
 #: The keys are joined in as many slices, so that a shuffle holds one slice at a time.
 SLICES = 4
 _SETS = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
@@ -208,10 +208,20 @@ def similarity_links(docs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFra
         found.add(second.where("same"))
         found.add(found.verified(second.where("not same")))
         found.relabel()
+        known = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).join(found.labels, F.col("doc_id") == F.col("node"), "left")
+        known = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+        own = bad.join(known.toDF("x", "nx", "lx"), "x")
         others = met.select("key", F.col("doc_id").alias("y")).join(bad.select("key").distinct(), "key", "left_semi")
-        last = bad.join(others, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        last = last.join(second.select("a", "b"), ["a", "b"], "left_anti")
-        last = ws.table(found.plausible(found.apart(last)), "last")
+        others = ws.table(others.join(known.toDF("y", "ny", "ly"), "y"), "others")
+        own = ws.table(own, "own")
+        last = None
+        for k in range(SLICES):
+            part = own.where(F.pmod("key", F.lit(SLICES)) == k).join(others.where(F.pmod("key", F.lit(SLICES)) == k), "key")
+            part = part.where(f"x <> y and lx <> ly and 100 * nx >= {PERCENT} * ny and 100 * ny >= {PERCENT} * nx")
+            part = part.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            part = ws.table(found.plausible(part), f"last_{k}")
+            last = part if last is None else last.unionByName(part)
+        last = ws.table(last.distinct(), "last")
         found.add(last.where("same"))
         found.add(found.verified(last.where("not same")))
         found.relabel()
