@@ -38,7 +38,8 @@ def _repeat_words(words: str, n: int) -> list[tuple[str, Column]]:
         (
             "n_repeat_words",
             F.expr(
-                f"if(_repeats, {n}L + aggregate(zip_with(slice(_starts, 2, size(_starts)), slice(_starts, 1, size(_starts) - 1), "
+                # The task number keeps the optimizer from copying this whole chain into filters above it.
+                f"if(_repeats and spark_partition_id() >= 0, {n}L + aggregate(zip_with(slice(_starts, 2, size(_starts)), slice(_starts, 1, size(_starts) - 1), "
                 f"(b, a) -> least({n}, b - a)), 0L, (s, x) -> s + x), 0L)"
             ),
         ),
