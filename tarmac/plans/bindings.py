@@ -50,8 +50,8 @@ BINDINGS: dict[str, str] = {
                CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'invalidated' ELSE 'other' END AS kind
         FROM {events}""",
     "edges": f"""
-        SELECT {NUMBER.format(k='p_partkey')} AS ad_number, {NUMBER.format(k='(p_partkey - 1700)')} AS supersedes
-        FROM {{part}} WHERE p_partkey >= 1700 AND p_partkey % 4 < 2""",
+        SELECT {NUMBER.format(k='p_partkey')} AS ad_number, {NUMBER.format(k='(p_partkey - 85)')} AS supersedes
+        FROM {{part}} WHERE p_partkey >= 85 AND p_partkey % 4 < 2""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents conversations labels pages benchmark".split()
 
