@@ -55,6 +55,20 @@ def library_cache(path: str) -> ChunkCache:
     def library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(words_: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, taken from one text of them all where the library finds just these in it."""
+        out: list[bytes] = []
+        for i in range(0, len(words_), 400):
+            part = words_[i : i + 400]
+            e = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            at = np.array(e.word_ids)
+            if len(at) and at[-1] + 1 == len(part) and (np.diff(at) <= 1).all():
+                ids, cuts = np.array(e.ids, kind), np.searchsorted(at, np.arange(len(part) + 1)).tolist()
+                out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += library(part)
+        return out
+
     def encode(chunks: list[bytes]) -> list[bytes]:
         # The pre-tokens of lower-case ASCII are its matches, each encoded alone: words recur with other punctuation around.
         texts = [c.decode() for c in chunks]
@@ -63,7 +77,7 @@ def library_cache(path: str) -> ChunkCache:
         if len(words) + len(new) > REMEMBERED:
             words.clear()
             new = list({w for many in split if many for w in many})
-        words.update(zip(new, library(new)))
+        words.update(zip(new, together(new)))
         whole = iter(library([t for t, many in zip(texts, split) if many is None]))
         return [next(whole) if many is None else b"".join(map(words.__getitem__, many)) for many in split]
 
