@@ -20,3 +20,17 @@ def run_available(stream: DataFrame, checkpoint: str, out: str) -> None:
 
 def event_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def stream_latest(transitions: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Streaming aggregate: the value of the last transition of each key."""
+    return transitions.groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("last"))
+
+
+def log_available(stream: DataFrame, checkpoint: str, out: str, change=lambda batch: batch) -> None:
+    """Takes all input that is there and keeps change(batch) of each micro-batch in a folder of its own.
+
+    A batch that is tried again replaces its own folder, so readers see each row once.
+    """
+    write = lambda batch, number: change(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
