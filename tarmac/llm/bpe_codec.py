@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,10 @@ def byte_letters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Backtracker:
     """Exact BPE of a tokenizer file with byte letters and word ends, without replaying merges per word.
 
@@ -59,7 +64,8 @@ class Backtracker:
         self.rules = Tokenizer.from_file(path)
         self.fits: dict[int, bool] = {}
         self.spines: dict[int, tuple | None] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.prefixes: dict[int, tuple[int, int] | None] = {}
+        self.words: dict[str, bytes] = {}
         self.letters = byte_letters()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
@@ -130,43 +136,67 @@ class Backtracker:
             else:
                 j += 1
 
+    def _shorter(self, token: int) -> tuple[int, int] | None:
+        """The longest token that a token begins with, besides itself, as (length, token)."""
+        if token not in self.prefixes:
+            text = self.tokens[token]
+            ends = (k for k in range(len(text) - 1, 0, -1) if text[:k] in self.number)
+            k = next(ends, 0)
+            self.prefixes[token] = (k, self.number[text[:k]]) if k else None
+        return self.prefixes[token]
+
     def word(self, s: str) -> tuple[int, ...]:
-        """Tokens of a word in byte letters, with its end mark."""
+        """Tokens of a word in byte letters, with its end mark.
+
+        Matches come in order of their ends, so the last one of a place is its longest;
+        the shorter ones are the tokens that it begins with.
+        """
+        whole = self.number.get(s)
+        if whole is not None and self._spines(whole) is not None:
+            return (whole,)
         n = len(s)
-        options: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, (length, token) in self.automaton.iter(s):
-            options[end + 1 - length].append((length, token))
+        longest: list[tuple[int, int] | None] = [None] * n
+        for end, match in self.automaton.iter(s):
+            longest[end + 1 - match[0]] = match
         dead = bytearray(n + 1)
         path: list[tuple[int, int]] = []
-        place, left = 0, [len(options[0])]
-        while place < n:
-            k = left[-1] - 1
-            while k >= 0:
-                length, token = options[place][k]
-                if not dead[place + length] and (self._fit(path[-1][1], token) if path else self._spines(token) is not None):
-                    break
-                k -= 1
-            if k >= 0:
-                left[-1] = k
-                path.append((length, token))
-                place += length
-                left.append(len(options[place]))
-            else:
+        place, match, fits = 0, longest[0], self.fits
+        while True:
+            while match is not None:
+                length, token = match
+                if not dead[place + length]:
+                    if not path:
+                        fit = self._spines(token) is not None
+                    else:
+                        before = path[-1][1]
+                        fit = fits.get(before << 32 | token)
+                        if fit is None:
+                            fit = self._fit(before, token)
+                    if fit:
+                        break
+                match = self._shorter(token)
+            if match is None:
                 dead[place] = 1
-                left.pop()
-                place -= path.pop()[0]
-        return tuple(t for _, t in path)
+                length, token = path.pop()
+                place -= length
+                match = self._shorter(token)
+            else:
+                path.append(match)
+                place += length
+                if place == n:
+                    return tuple(t for _, t in path)
+                match = longest[place]
 
-    def _plain(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def _plain(self, piece: str) -> bytes:
+        out: list[bytes] = []
         for word in self._letters(piece):
             got = self.words.get(word)
             if got is None:
                 if len(self.words) >= REMEMBERED_WORDS:
                     self.words.clear()
-                got = self.words[word] = self.word(word + _END)
-            out += got
-        return out
+                got = self.words[word] = _packed(self.word(word + _END))
+            out.append(got)
+        return b"".join(out)
 
     def _letters(self, piece: str) -> list[str]:
         """Pre-tokens in byte letters. ASCII letters stand for themselves; other text goes through the library's own rules, whose Unicode version counts."""
@@ -179,8 +209,8 @@ class Backtracker:
         """Ids, little-endian 32 bits each, of a chunk without blanks."""
         text, out = chunk.decode(), []
         for piece in self.special_split.split(text) if self.special_split and not self.marks.isdisjoint(text) else [text]:
-            out += [self.special[piece]] if piece in self.special else self._plain(piece)
-        return np.array(out, "<u4").tobytes()
+            out.append(_packed((self.special[piece],)) if piece in self.special else self._plain(piece))
+        return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text. No token crosses a blank, so chunks between blanks are independent."""
