@@ -22,7 +22,9 @@ SKETCH = 8
 BAND = 2
 #: The keys are joined in as many slices, so that a shuffle holds one slice at a time.
 SLICES = 4
-_SETS = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+_SETS = ", ".join(
+    ["doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint", *(f"s{i} bigint" for i in range(SKETCH)), "fine binary", *(f"keys{k} array<bigint>" for k in range(SLICES))]
+)
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -81,30 +83,63 @@ def _keys_of(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _sketches(s: np.ndarray) -> tuple[np.ndarray, bytes | None]:
+    """The parity sketch of a set, and a finer one, of as many bits as elements or more, where the set outgrows the first."""
+    bit = mix(s ^ np.uint64(77))
+    short = np.bincount((bit % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    fine = None
+    if len(s) > 64 * SKETCH:
+        m = 1 << (len(s) - 1).bit_length()
+        fine = np.packbits((np.bincount((bit % np.uint64(m)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+    return np.packbits(short.astype(np.uint8)).view(np.int64), fine
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text: size, digests and sketches of its set, and its keys by slice; rows without id or text get no keys."""
     for batch in batches:
         for part in slices(batch, "text"):
-            n, digests, sketches = [], [], []
-            for s in _sets(part.column("text")):
-                bits = np.bincount((mix(s ^ np.uint64(77)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            n, digests, sketches, fine = [], [], [], []
+            keys: list[list[np.ndarray]] = [[] for _ in range(SLICES)]
+            named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for s, known in zip(_sets(part.column("text")), named):
+                short, long = _sketches(s)
+                sketches.append(short)
+                fine.append(long)
                 n.append(len(s))
                 digests.append((np.bitwise_xor.reduce(mix(s ^ np.uint64(1))), mix(s ^ np.uint64(2)).sum(dtype=np.uint64)) if len(s) else (0, 0))
+                own = _keys_of(s) if known else s[:0]
+                place = own % np.uint64(SLICES)
+                for k in range(SLICES):
+                    keys[k].append(own[place == k])
             sketch = np.array(sketches, np.int64).reshape(-1, SKETCH)
             a, b = (np.array([d[k] for d in digests], np.uint64).view(np.int64) for k in (0, 1))
+            lists = [
+                pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)], dtype=np.int32), pa.array(np.concatenate(each).view(np.int64))) for each in keys
+            ]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *(pa.array(sketch[:, i]) for i in range(SKETCH))],
-                ["doc_id", "n_shingles", "set_a", "set_b", *(f"s{i}" for i in range(SKETCH))],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *(pa.array(sketch[:, i]) for i in range(SKETCH)), pa.array(fine, pa.binary()), *lists],
+                ["doc_id", "n_shingles", "set_a", "set_b", *(f"s{i}" for i in range(SKETCH)), "fine", *(f"keys{k}" for k in range(SLICES))],
             )
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _odd_bits(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches; the longer one is folded to the length of the other."""
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(v) > len(u):
+        half = len(v) // 2
+        v = v[:half] ^ v[half:]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose fine sketches have no more odd bits than linked sets can have different elements."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            keys = [_keys_of(s) for s in _sets(part.column("text"))]
-            ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
-            flat = np.concatenate(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flat), pa.array((flat % SLICES).astype(np.int32))], ["doc_id", "key", "slice"])
+        sizes = (np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))).tolist()
+        fines = zip(sizes, batch.column("fine_a"), batch.column("fine_b"))
+        keep = [
+            x.as_py() is None or y.as_py() is None or (100 + PERCENT) * _odd_bits(x.as_py(), y.as_py()) <= (100 - PERCENT) * n for n, x, y in fines
+        ]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +170,18 @@ class _Links:
     def __init__(self, docs: DataFrame, sets: DataFrame, ws: Workspace):
         self.docs, self.sets, self.ws, self.turn = docs.select("doc_id", "text"), sets, ws, 0
         self.parts: list[DataFrame] = []
+        self.new = False
         self.labels: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
         self.turn += 1
         self.parts.append(self.ws.table(links.select("a", "b"), f"links_{self.turn}"))
+        self.new = self.new or not self.parts[-1].isEmpty()
 
     def relabel(self) -> None:
+        if self.labels is not None and not self.new:
+            return
+        self.new = False
         every = self.parts[0]
         for more in self.parts[1:]:
             every = every.unionByName(more)
@@ -162,30 +202,31 @@ class _Links:
         return out.where(_may_link("x", "y")).select("a", "b", _same_set("x", "y").alias("same"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link. Fine sketches come first; texts move only for pairs that these allow, too."""
+        fine = self.sets.select("doc_id", "n_shingles", "fine")
+        pairs = pairs.select("a", "b").join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
+        pairs = pairs.mapInArrow(_finely, "a bigint, b bigint")
         left, right = self.docs.toDF("a", "text_a"), self.docs.toDF("b", "text_b")
-        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_check, "a bigint, b bigint")
+        return pairs.join(left, "a").join(right, "b").mapInArrow(_check, "a bigint, b bigint")
 
 
-def similarity_links(docs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, component) of every document with a link to another one.
+def similarity_links(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The set of each row of docs, and (node, component) of every document with a link to another one.
 
     Each key's documents first meet the one with the smallest id. Only documents that are
     then still apart from it are compared with the others of their key that they are still
     apart from, so all links are found up to connectivity, without all pairs of a group.
     """
-    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    ws_keys = ws.path("keys")
-    with ws._cleaned():
-        rows.mapInArrow(_emit_keys, "doc_id bigint, key bigint, slice int").write.partitionBy("slice").option("compression", "zstd").parquet(ws_keys)
-    keys = ws.spark.read.schema("doc_id bigint, key bigint, slice int").parquet(ws_keys)
+    described = ws.table(docs.select("doc_id", "text").mapInArrow(_describe, _SETS), "described")
     met = None
     for k in range(SLICES):
-        part = keys.where(F.col("slice") == k).select("doc_id", "key")
+        part = described.select("doc_id", F.explode(f"keys{k}").alias("key"))
         heads = part.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail")
         one = part.join(heads.hint("shuffle_merge"), "key").where("doc_id <> head").select("key", "head", "doc_id")
         one = ws.table(one, f"met_{k}")
         met = one if met is None else met.unionByName(one)
-    ws.drop("keys")
+    sets = ws.table(described.drop(*(f"keys{k}" for k in range(SLICES))), "sets")
+    ws.drop("described")
     found = _Links(docs, sets, ws)
     pairs = met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = ws.table(found.plausible(pairs), "pairs")
@@ -225,7 +266,7 @@ def similarity_links(docs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFra
         found.add(last.where("same"))
         found.add(found.verified(last.where("not same")))
         found.relabel()
-    return found.labels
+    return sets, found.labels
 
 
 def jaccard_components(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -236,8 +277,7 @@ def jaccard_components(docs: DataFrame, ws: Workspace) -> DataFrame:
     is the smallest doc_id reachable by links. Rows that repeat a doc_id are one node. A
     null doc_id links with nothing and is its own component (null).
     """
-    sets = ws.table(docs.select("doc_id", "text").mapInArrow(_describe, _SETS), "sets")
-    labels = similarity_links(docs, sets, ws)
+    sets, labels = similarity_links(docs, ws)
     out = sets.join(labels, sets["doc_id"] == labels["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
