@@ -170,7 +170,7 @@ class _Links:
     def __init__(self, docs: DataFrame, sets: DataFrame, ws: Workspace):
         self.docs, self.sets, self.ws, self.turn = docs.select("doc_id", "text"), sets, ws, 0
         self.parts: list[DataFrame] = []
-        self.new = False
+        self.new, self.checks = False, 0
         self.labels: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
@@ -202,11 +202,18 @@ class _Links:
         return out.where(_may_link("x", "y")).select("a", "b", _same_set("x", "y").alias("same"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link. Fine sketches come first; texts move only for pairs that these allow, too."""
+        """The pairs that link. Fine sketches come first; only texts of pairs that these allow, too, move."""
+        self.checks += 1
         fine = self.sets.select("doc_id", "n_shingles", "fine")
         pairs = pairs.select("a", "b").join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
-        pairs = pairs.mapInArrow(_finely, "a bigint, b bigint")
-        left, right = self.docs.toDF("a", "text_a"), self.docs.toDF("b", "text_b")
+        pairs = self.ws.table(pairs.mapInArrow(_finely, "a bigint, b bigint"), f"fine_{self.checks}")
+        if pairs.isEmpty():
+            return pairs
+        # As a table its size is known: Spark broadcasts it below its own limit and shuffles texts above.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = self.ws.table(wanted, f"wanted_{self.checks}")
+        texts = self.ws.table(self.docs.join(wanted, "doc_id", "left_semi"), f"texts_{self.checks}")
+        left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         return pairs.join(left, "a").join(right, "b").mapInArrow(_check, "a bigint, b bigint")
 
 
@@ -222,7 +229,7 @@ def similarity_links(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFra
     for k in range(SLICES):
         part = described.select("doc_id", F.explode(f"keys{k}").alias("key"))
         heads = part.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail")
-        one = part.join(heads.hint("shuffle_merge"), "key").where("doc_id <> head").select("key", "head", "doc_id")
+        one = part.join(heads.hint("shuffle_hash"), "key").where("doc_id <> head").select("key", "head", "doc_id")
         one = ws.table(one, f"met_{k}")
         met = one if met is None else met.unionByName(one)
     sets = ws.table(described.drop(*(f"keys{k}" for k in range(SLICES))), "sets")
@@ -249,22 +256,19 @@ def similarity_links(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFra
         found.add(second.where("same"))
         found.add(found.verified(second.where("not same")))
         found.relabel()
-        known = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).join(found.labels, F.col("doc_id") == F.col("node"), "left")
-        known = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-        own = bad.join(known.toDF("x", "nx", "lx"), "x")
+        sketch = [f"s{i}" for i in range(SKETCH)]
+        known = sets.select("doc_id", "n_shingles", *sketch).join(found.labels, F.col("doc_id") == F.col("node"), "left")
+        known = known.select("doc_id", "n_shingles", *sketch, F.coalesce("component", "doc_id").alias("label"))
+        own = ws.table(bad.join(known.withColumnRenamed("doc_id", "x"), "x"), "own")
         others = met.select("key", F.col("doc_id").alias("y")).join(bad.select("key").distinct(), "key", "left_semi")
-        others = ws.table(others.join(known.toDF("y", "ny", "ly"), "y"), "others")
-        own = ws.table(own, "own")
+        others = ws.table(others.join(known.withColumnRenamed("doc_id", "y"), "y"), "others")
         last = None
         for k in range(SLICES):
-            part = own.where(F.pmod("key", F.lit(SLICES)) == k).join(others.where(F.pmod("key", F.lit(SLICES)) == k), "key")
-            part = part.where(f"x <> y and lx <> ly and 100 * nx >= {PERCENT} * ny and 100 * ny >= {PERCENT} * nx")
-            part = part.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            part = ws.table(found.plausible(part), f"last_{k}")
+            mine, theirs = (d.where(F.pmod("key", F.lit(SLICES)) == k).alias(n) for d, n in ((own, "p"), (others, "q")))
+            part = mine.join(theirs, F.col("p.key") == F.col("q.key")).where("x <> y and p.label <> q.label").where(_may_link("p", "q"))
+            part = ws.table(part.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"last_{k}")
             last = part if last is None else last.unionByName(part)
-        last = ws.table(last.distinct(), "last")
-        found.add(last.where("same"))
-        found.add(found.verified(last.where("not same")))
+        found.add(found.verified(last.distinct()))
         found.relabel()
     return sets, found.labels
 
