@@ -16,6 +16,8 @@ from tarmac.llm.workspace import Workspace
 
 #: Words of a passage that may not occur twice.
 WINDOW = 35
+#: What names a row: its id, which may be null or repeated, and a hash of its text. Rows equal in both have equal windows.
+_KEY = ["doc_id", "text_key"]
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -44,10 +46,10 @@ def _anchors(b: Block, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(sliding(around, reach + 1, np.maximum)[: len(seeds)] == seeds), seeds
 
 
-def _rows(ids: pa.Array, b: Block, at: np.ndarray, hashes: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, b: Block, at: np.ndarray, hashes: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     doc = b.doc_of_word()[at]
     place = (at - b.words[doc]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(place), *(pa.array(h.view(np.int64)) for h in hashes)], names)
+    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(doc)) for c in _KEY), pa.array(place), *(pa.array(h.view(np.int64)) for h in hashes)], [*_KEY, *names])
 
 
 def _level_hashes(window: int):
@@ -59,7 +61,7 @@ def _level_hashes(window: int):
                 b = block(part.column("text"))
                 at, seeds = _anchors(b, window, lengths[-1])
                 each = [windows(b.hashes, n)[at] for n in lengths[:-1]] + [seeds[at]]
-                yield _rows(part.column("doc_id"), b, at, each, ["doc_id", "place", *(f"h{n}" for n in lengths)])
+                yield _rows(part, b, at, each, ["place", *(f"h{n}" for n in lengths)])
 
     return run
 
@@ -76,7 +78,7 @@ def _window_hashes(window: int):
                 if len(low):
                     alive = sliding(np.where(marked, seeds, _TOP), window - seed + 1, np.minimum) == low
                     at = np.flatnonzero(alive & inside)
-                    yield _rows(part.column("doc_id"), b, at, [windows(b.hashes, window)[at]], ["doc_id", "place", "h"])
+                    yield _rows(part, b, at, [windows(b.hashes, window)[at]], ["place", "h"])
 
     return run
 
@@ -142,7 +144,7 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, ws: Workspace, window: int = WINDOW) -> DataFrame:
-    """(doc_id, places): where repeated windows of `window` words begin, for documents that have any.
+    """(doc_id, text_key, places): where repeated windows of `window` words begin, for documents that have any.
 
     Level by level: windows of 9 words, at places chosen by content so that equal long
     windows choose alike, then of 18 where those of 9 are repeated, then each window of
@@ -150,23 +152,25 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = WINDOW) -> Da
     places where candidates survive.
     """
     lengths = levels(window)
-    schema = ", ".join(["doc_id bigint", "place int", *(f"h{n} bigint" for n in lengths[:-1])])
-    alive = ws.table(docs.select("doc_id", "text").mapInArrow(_level_hashes(window), schema), "anchors")
+    schema = ", ".join(["doc_id bigint", "text_key bigint", "place int", *(f"h{n} bigint" for n in lengths[:-1])])
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    alive = ws.table(docs.mapInArrow(_level_hashes(window), schema), "anchors")
     for n in lengths[:-1]:
         alive = ws.table(_repeated(alive, f"h{n}"), f"alive_{n}")
         ws.drop("anchors", *(f"alive_{m}" for m in lengths if m < n))
-    spots = alive.groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    met = _meet(docs.select("doc_id", "text"), spots, "inner").select("doc_id", "text", "places")
-    each = ws.table(met.mapInArrow(_window_hashes(window), "doc_id bigint, place int, h bigint"), "windows")
-    found = _repeated(each, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    spots = alive.groupBy(*_KEY).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    met = _meet(docs, spots, "inner").select(*_KEY, "text", "places")
+    each = ws.table(met.mapInArrow(_window_hashes(window), "doc_id bigint, text_key bigint, place int, h bigint"), "windows")
+    found = _repeated(each, "h").groupBy(*_KEY).agg(F.sort_array(F.collect_set("place")).alias("places"))
     out = ws.table(found, "repeated")
     ws.drop("windows", *(f"alive_{m}" for m in lengths))
     return out
 
 
 def _meet(docs: DataFrame, spots: DataFrame, how: str) -> DataFrame:
-    spots = spots.withColumnRenamed("doc_id", "_id")
-    return docs.join(spots.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(spots["_id"]), how).drop("_id")
+    spots = spots.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = docs["doc_id"].eqNullSafe(spots["_id"]) & (docs["text_key"] == spots["_key"])
+    return docs.join(spots.hint("shuffle_merge"), same, how).drop("_id", "_key")
 
 
 def substring_dedup(docs: DataFrame, ws: Workspace, window: int = WINDOW) -> DataFrame:
@@ -175,11 +179,10 @@ def substring_dedup(docs: DataFrame, ws: Workspace, window: int = WINDOW) -> Dat
     Each word under a window of `window` words that begins anywhere else, too, goes; all
     windows are judged on the input. Null texts have no words; kept_text is then empty. A
     text with fewer words than the window stays whole. Rows repeated in full repeat each
-    window. Where two rows share an id and differ in text, each loses the words at the
-    places found in either. A document of b bytes needs about 40 b of memory in its task.
+    window. Rows that share an id, or have none, are judged each by its own text. A document of b bytes needs about 40 b of memory in its task.
     """
     spots = repeated_windows(docs, ws, window)
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
     met = _meet(rows, spots, "left").select("row", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     kind = met.schema["row"].dataType.simpleString()
     return met.mapInArrow(_kept(window), f"row {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
