@@ -287,6 +287,14 @@ def jaccard_components(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, and those without an id."""
-    gone = jaccard_components(docs, ws).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of docs for each component: that of the smallest doc_id, or one without an id where no row has any.
+
+    Here each row is a node of its own, also where rows share an id or have none. Rows
+    without words link with nothing and stay.
+    """
+    rows = ws.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    _, labels = similarity_links(rows.select(F.col("_row").alias("doc_id"), "text"), ws)
+    linked = rows.select("_row", "doc_id").join(labels, F.col("_row") == F.col("node"))
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    gone = linked.join(first, "component").where("_row <> first._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
