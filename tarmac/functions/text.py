@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,65 @@ def directive_number(text: Column) -> Column:
     return F.when(year != "", F.concat_ws("-", full, week, no))
 
 
+_AD = re.compile(r"\bAD\s*((?:\d{4}|\d{2})-\d{2}-\d{2}(?:R\d+)?)\b", re.I)
+_CHAINED = re.compile(r"(?:\band\b|&)\s*((?:\d{4}|\d{2})-\d{2}-\d{2}R\d+)\b", re.I)
+_BARE = re.compile(r"\b((?:19|20)\d{2}|\d{2})-(\d{2})-(\d{2})(?:R\d+)?\b", re.I)
+_NOT_COMPLIED = re.compile(r"\b(?:(?:not|never)\b[^\n]*\b(?:comply|complied|compliance)|(?:cannot|can't)\b[^\n]*\b(?:comply|complied)|no\s+compliance|compliance\s+(?:was\s+)?not\s+(?:completed|performed))\b", re.I)
+_NOT_INSPECTED = re.compile(r"\b(?:(?:not|never)\b[^\n]*\b(?:inspect|inspected|inspection)|(?:cannot|can't)\b[^\n]*\b(?:inspect|inspected)|inspection\s+(?:was\s+)?not\s+(?:completed|performed))\b", re.I)
+_DONE = re.compile(r"\bc\s*/\s*w\b|\bcomplied\b|\b(?:inspect(?:ed|ing)?|inspection\s+completed)\b", re.I)
+_BOUNDARY = re.compile(r"\.(?=\s|$)|[,;]")
+
+
+def _boundaries(segment: str, start: int, end: int) -> list[int]:
+    return [start + m.start() for m in _BOUNDARY.finditer(segment[start:end])]
+
+
+def _done(context: str) -> bool:
+    """Whether a citation's context says complied or inspected, and nothing against it."""
+    if re.search(r"\b(?:n/?a|not applicable)\b", context, re.I) or _NOT_COMPLIED.search(context) or _NOT_INSPECTED.search(context):
+        return False
+    cited = _AD.search(context)
+    return bool(_DONE.search(context[: min(_boundaries(context, cited.end() if cited else 0, len(context)), default=len(context))]))
+
+
+def mentions_of(body: str | None) -> list[tuple[str, bool]]:
+    """(number, done) for each distinct directive number of an entry, done by the context of its first citation."""
+    found: dict[str, bool] = {}
+    for segment in filter(None, (x.strip() for x in (body or "").split("\n"))):
+        cited = [(m, False) for m in _AD.finditer(segment)]
+        if cited:
+            cited += [(m, True) for m in _CHAINED.finditer(segment) if m.start() > cited[0][0].start()]
+        cited.sort(key=lambda x: x[0].start())
+        for k, (m, chained) in enumerate(cited):
+            before = cited[k - 1][0].end() if k else 0
+            start = max(_boundaries(segment, before, m.start()), default=before - 1) + 1
+            end = len(segment)
+            if k + 1 < len(cited):
+                after = cited[k + 1][0].start()
+                end = max(_boundaries(segment, m.end(), after), default=after)
+            number = _BARE.fullmatch(m[1])
+            if number:
+                found.setdefault(_full(number), _done(segment if chained else segment[start:end].strip()))
+    # Numbers without the word AD are named, no more.
+    for m in _BARE.finditer(body or ""):
+        found.setdefault(_full(m), False)
+    return list(found.items())
+
+
+def _full(m: re.Match) -> str:
+    year = m[1] if len(m[1]) == 4 else ("20" if int(m[1]) <= 39 else "19") + m[1]
+    return f"{year}-{m[2]}-{m[3]}"
+
+
+def _mentions(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda x: [{"ad_number": n, "done": d} for n, d in mentions_of(x)])
+
+
+def directive_mentions(text: Column) -> Column:
+    """All distinct directive numbers of a text, as an array of (ad_number, done)."""
+    return F.pandas_udf(_mentions, "array<struct<ad_number:string,done:boolean>>")(text)
+
+
 def match_text(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]", "")
 

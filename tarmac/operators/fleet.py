@@ -72,13 +72,13 @@ def coverage_status(components: DataFrame, covered: DataFrame) -> DataFrame:
 def candidate_evidence(entries: DataFrame, directives: DataFrame, top: int = 5) -> DataFrame:
     """The best entries for each (aircraft, directive): a score in hundredths from the named number, its disposition and shared words.
 
-    Scores are exact decimals. Only entries that name the directive reach the threshold
+    An entry counts for each number it names, with the disposition of that number's own context. Scores are exact decimals. Only entries that name the directive reach the threshold
     from few words, so the join is on its number; ties go to the latest entry.
     """
-    from tarmac.functions.text import directive_number, keywords
+    from tarmac.functions.text import directive_mentions, keywords
 
     e = entries.where("review_status = 'verified' and entry_date is not null")
-    e = e.withColumn("ad_number", directive_number(F.col("body"))).withColumn("done", F.col("body").rlike("^(complied|inspected)")).withColumn("words", keywords(F.col("body")))
+    e = e.withColumn("_mention", F.explode(directive_mentions(F.col("body")))).select("*", "_mention.ad_number", "_mention.done").drop("_mention").withColumn("words", keywords(F.col("body")))
     d = directives.select("directive_id", "ad_number", keywords(F.col("title")).alias("title_words"))
     both = e.join(d, "ad_number")
     shared = F.size(F.array_intersect("words", "title_words"))
