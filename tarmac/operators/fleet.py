@@ -49,6 +49,45 @@ def uncertain_identity(components: DataFrame, targets: DataFrame, least: int = 4
     return c.join(t, "b").where(close("cm", "tm") & close("cd", "td")).select("aircraft_id", "directive_id")
 
 
+#: Roles of components that may answer a target's role, where these are not just the same one.
+_COMPATIBLE = {
+    "airframe": ["airframe", "rotorcraft_airframe"], "rotorcraft_airframe": ["airframe", "rotorcraft_airframe"],
+    "propeller": ["propeller", "rotor_system"], "rotor_system": ["rotor_system", "propeller"], "appliance": ["appliance", "other", "unknown"],
+    "unknown": ["airframe", "engine", "propeller", "rotorcraft_airframe", "rotor_system", "drivetrain_transmission", "appliance", "other", "unknown"],
+}
+
+
+def uncertain_components(components: DataFrame, targets: DataFrame, least: int = 4) -> DataFrame:
+    """(aircraft_id, directive_id) of both branches, for all roles: close make and model, or one that the target names and the component lacks.
+
+    In the second branch a make that both name must be equal. Each alternative is an equal join.
+    """
+    role = F.when(F.col("product_type") == "Aircraft", "airframe").otherwise(F.lower("product_type"))
+    roles = F.array(role)
+    for name, fit in _COMPATIBLE.items():
+        roles = F.when(role == name, F.array(*map(F.lit, fit))).otherwise(roles)
+    t = targets.where("source_status in ('current', 'active', 'unknown')")
+    t = t.select("directive_id", F.explode(roles).alias("role"), match_text(F.col("make")).alias("tm"), match_text(F.col("model")).alias("td"))
+    c = components.select("aircraft_id", "role", match_text(F.col("make")).alias("cm"), match_text(F.col("model")).alias("cd"))
+
+    def close(a: str, b: str):
+        a, b = F.col(a), F.col(b)
+        return (F.least(F.length(a), F.length(b)) >= least) & (a != b) & (a.startswith(b) | b.startswith(a))
+
+    first = lambda df, col: df.withColumn("b", F.substring(col, 1, least))
+    parts = [
+        first(c, "cm").join(first(t, "tm"), ["role", "b"]).where(close("cm", "tm") & close("cd", "td")),
+        c.where("cm = ''").join(t.where("tm <> ''"), "role"),
+        c.where("cd = ''").join(t.where("td <> '' and tm = ''"), "role"),
+        c.where("cd = '' and cm <> ''").withColumnRenamed("cm", "m").join(t.where("td <> ''").withColumnRenamed("tm", "m"), ["role", "m"]),
+    ]
+    out = None
+    for part in parts:
+        part = part.select("aircraft_id", "directive_id")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def coverage_sets(targets: DataFrame) -> DataFrame:
     """Per target: directives that are current, publications, bytes of their canonical text, and a status."""
     text = F.concat_ws("|", F.col("directive_id").cast("string"), "ad_number", "title")

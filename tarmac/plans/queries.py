@@ -131,6 +131,18 @@ def uncertain_identity(spark, sf_dir):
     return fleet.uncertain_identity(fleet.components_long(planes), bind(spark, sf_dir, "directives"))
 
 
+@query(f"""
+    WITH {_MATCH}, c AS (SELECT aircraft_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS cd FROM components),
+         n AS (SELECT directive_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS td FROM t)
+    SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role)
+    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '' AND (tm = '' OR tm = cm))
+       OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
+           AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)""")
+def uncertain_components(spark, sf_dir):
+    """Both branches and all roles, on the aircraft as they are bound."""
+    return fleet.uncertain_components(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir))
+
+
 @query(f"""
     WITH d AS (SELECT *, {_STATUS} AS st, {_KEY} AS target_key FROM directives),
          g AS (SELECT target_key, count(DISTINCT CASE WHEN st = 'current' THEN directive_id END) AS directives, count(DISTINCT ad_number) AS publications,

@@ -19,3 +19,18 @@ def test_entries_with_several_numbers(spark):
     got = {(r["directive_id"], r["entry_id"]): float(r["confidence"]) for r in fleet.candidate_evidence(entries, directives).collect()}
     # A chained number has the whole line as its context, which also says "not complied".
     assert got == {(0, 1): 0.82, (0, 2): 0.45, (1, 1): 0.45, (2, 1): 0.82, (3, 1): 0.45, (4, 2): 0.45, (5, 2): 0.82}
+
+
+def test_components_that_lack_a_make_or_model(spark):
+    from tarmac.operators import fleet
+
+    components = spark.createDataFrame(
+        [(1, "propeller", "Hartzell", None), (2, "engine", None, "O-320"), (3, "airframe", "Cessna", "172N"), (4, "rotor_system", "Bell", None), (5, "engine", "Lycoming Inc", "O320A")],
+        "aircraft_id int, role string, make string, model string",
+    )
+    targets = spark.createDataFrame(
+        [(1, "Propeller", "hartzell", "HC-1", "current"), (2, "Propeller", "Other", "X", "current"), (3, "Engine", "Lycoming", "O-320", "active"), (4, "Propeller", None, "Y", "unknown"), (5, "Propeller", None, "Z", "rescinded"), (6, "Aircraft", "Cessna", "172", "current")],
+        "directive_id int, product_type string, make string, model string, source_status string",
+    )
+    got = {tuple(r) for r in fleet.uncertain_components(components, targets).collect()}
+    assert got == {(1, 1), (1, 4), (2, 3), (4, 4), (5, 3)}
