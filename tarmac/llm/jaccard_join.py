@@ -18,108 +18,121 @@ NGRAM = 5
 PERCENT = 75
 #: 64-bit words of a document's parity sketch.
 SKETCH = 8
-#: A band holds the pairs whose larger set has BAND ** j shingles or more, and fewer than BAND ** (j + 1).
-BAND = 2
 #: The keys are joined in as many slices, so that a shuffle holds one slice at a time.
 SLICES = 4
+#: In bands below this size each element is a group of its own.
+SINGLE = 64
 _SETS = ", ".join(
-    ["doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint", *(f"s{i} bigint" for i in range(SKETCH)), "fine binary", *(f"keys{k} array<bigint>" for k in range(SLICES))]
-)
+    [
+        "node bigint, linkable boolean, up int, n_shingles bigint, total bigint, wanted bigint, set_a bigint, set_b bigint",
+        *(f"s{i} bigint" for i in range(SKETCH)), "fine binary", *(f"keys{k} array<bigint>" for k in range(SLICES)),
+    ]
+)
 
 
-def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Per text the sorted distinct hashes of its shingles."""
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's shingles, ascending, text after text, and where each text's begin."""
     b = block(texts, lower=True)
+    length, doc = np.diff(b.words), b.doc_of_word()
     grams = windows(b.hashes, NGRAM)
-    for lo, hi in zip(b.words, b.words[1:]):
-        n = int(hi - lo)
-        if n >= NGRAM:
-            yield np.unique(grams[lo : hi - NGRAM + 1])
-        else:
-            yield windows(b.hashes[lo:hi], n) if n else np.zeros(0, np.uint64)
-
-
-def most_different(a: int, b: int) -> int:
+    inside = np.flatnonzero(b.left_in_doc()[: len(grams)] >= NGRAM)
+    values, docs = [grams[inside]], [doc[inside]]
+    for n in range(1, NGRAM):
+        short = np.flatnonzero(length == n)
+        if len(short):
+            values.append(windows(b.hashes, n)[b.words[short]])
+            docs.append(short)
+    value, doc = mix(np.concatenate(values)), np.concatenate(docs)
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    value, doc = value[new], doc[new]
+    return value, np.searchsorted(doc, np.arange(len(length) + 1))
+
+
+def most_different(a, b):
     """Elements that just one of two linked sets of sizes a and b can hold."""
     return (100 - PERCENT) * (a + b) // (100 + PERCENT)
 
 
-def _bands(n: int) -> list[tuple[int, int, int]]:
-    """(band, groups, keys) for a set of n: the bands it can have links in.
+def _keys(value: np.ndarray, bounds: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pigeonhole keys of the sets, and whose they are, in the band of their size (up = 0) or the next; keys each set needs, and has.
 
-    Linked sets differ in at most D elements, so with the elements dealt by hash to G
-    groups, G - D groups at least are equal in both. Of its G groups, ordered alike for
-    all sets, a set then needs the first D + 1 as keys: one of these is shared.
+    A band holds the pairs whose larger set has 2 ** j elements or more, fewer than twice
+    that. Linked sets differ in at most D elements. Dealt by the leading bits of their
+    hashes, which lets all but D of the groups be equal in both sets, elements give a key
+    for each group: the XOR of a second hash. Whatever order all keys of the corpus have,
+    the first D + 1 of each set's keys hold one that both share, as at most D of a set's
+    keys are not shared. A set that has fewer keys than that gets one for its empty groups.
     """
-    out, largest = [], n * 100 // PERCENT
-    j = 0
-    while BAND ** (j + 1) <= n:
-        j += 1
-    while BAND**j <= largest:
-        top = BAND ** (j + 1) - 1
-        groups = 5 * most_different(top, top) // 4 + 1
-        out.append((j, groups, most_different(n, min(top, largest)) + 1))
-        j += 1
-    return out
-
-
-def _keys_of(s: np.ndarray) -> np.ndarray:
-    """The pigeonhole keys of a set: XOR hashes of its fullest groups in each of its bands."""
-    out = []
-    for band, groups, wanted in _bands(len(s)):
-        mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D * (band + 1) % 2**64))
-        group = (mixed >> np.uint64(33)) % np.uint64(groups)
-        order = np.argsort(group, kind="stable")
-        group, mixed = group[order], mixed[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        parity = np.bitwise_xor.reduceat(mix(mixed), first)
-        count = np.diff(first, append=len(group))
-        keys = mix(parity + group[first] * np.uint64(0xD1342543DE82EF95) + np.uint64(band))
-        # Fullest first: a group with many shingles is shared by few documents. Equal groups rank alike in both sets.
-        rank = np.lexsort((keys, -count))[:wanted]
-        out.append(keys[rank])
-        if len(keys) < wanted:  # empty groups are equal, too
-            out.append(mix(np.array([band], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _sketches(s: np.ndarray) -> tuple[np.ndarray, bytes | None]:
-    """The parity sketch of a set, and a finer one, of as many bits as elements or more, where the set outgrows the first."""
-    bit = mix(s ^ np.uint64(77))
-    short = np.bincount((bit % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    fine = None
-    if len(s) > 64 * SKETCH:
-        m = 1 << (len(s) - 1).bit_length()
-        fine = np.packbits((np.bincount((bit % np.uint64(m)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
-    return np.packbits(short.astype(np.uint8)).view(np.int64), fine
+    n = np.diff(bounds)
+    band = np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1 + up
+    largest, top = n * 100 // PERCENT, (np.int64(2) << band) - 1
+    valid = (n > 0) & ((up == 0) | (top // 2 + 1 <= largest))
+    wanted = np.where(valid, most_different(n, np.minimum(top, largest)) + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    if not valid.all():
+        value, owner = value[valid[owner]], owner[valid[owner]]
+    shift = np.where(top < SINGLE, 0, 63 - band).astype(np.uint64)
+    group = value >> shift[owner]
+    new = np.ones(len(value), bool)
+    new[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    parity = np.bitwise_xor.reduceat(mix(value), first) if len(first) else value
+    owner, group = owner[first], group[first]
+    key = mix(parity + group * np.uint64(0xD1342543DE82EF95) + band[owner].astype(np.uint64))
+    lacking = np.flatnonzero(np.bincount(owner, minlength=len(n)) < wanted)
+    if len(lacking):
+        owner, key = np.concatenate([owner, lacking]), np.concatenate([key, mix(band[lacking].astype(np.uint64))])
+        order = np.argsort(owner, kind="stable")
+        owner, key = owner[order], key[order]
+    return key, owner, wanted, np.bincount(owner, minlength=len(n))
+
+
+def _sketches(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """The parity sketch of each set, and a finer one, of as many bits as elements or more, where a set outgrows the first."""
+    bit, n = mix(value ^ np.uint64(77)), np.diff(bounds)
+    spot = np.repeat(np.arange(len(n)), n) * (64 * SKETCH) + (bit % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=len(n) * 64 * SKETCH) & 1).astype(np.uint8)
+    fine: list[bytes | None] = [None] * len(n)
+    for i in np.flatnonzero(n > 64 * SKETCH).tolist():
+        m = 1 << (int(n[i]) - 1).bit_length()
+        own = bit[bounds[i] : bounds[i + 1]] % np.uint64(m)
+        fine[i] = np.packbits((np.bincount(own.astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+    return np.packbits(odd).view(np.int64).reshape(-1, SKETCH), fine
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text: size, digests and sketches of its set, and its keys by slice; rows without id or text get no keys."""
+    """Of each text one row for each band it can link in, with its keys by slice; the first has its size, digests and sketches, too."""
     for batch in batches:
         for part in slices(batch, "text"):
-            n, digests, sketches, fine = [], [], [], []
-            keys: list[list[np.ndarray]] = [[] for _ in range(SLICES)]
-            named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for s, known in zip(_sets(part.column("text")), named):
-                short, long = _sketches(s)
-                sketches.append(short)
-                fine.append(long)
-                n.append(len(s))
-                digests.append((np.bitwise_xor.reduce(mix(s ^ np.uint64(1))), mix(s ^ np.uint64(2)).sum(dtype=np.uint64)) if len(s) else (0, 0))
-                own = _keys_of(s) if known else s[:0]
-                place = own % np.uint64(SLICES)
+            value, bounds = _sets(part.column("text"))
+            n = np.diff(bounds)
+            some = n > 0
+            linkable = part.column("linkable").to_numpy(zero_copy_only=False)
+            set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if some.any():
+                set_a[some] = np.bitwise_xor.reduceat(mix(value ^ np.uint64(1)), bounds[:-1][some])
+                set_b[some] = np.add.reduceat(mix(value ^ np.uint64(2)), bounds[:-1][some])
+            sketch, fine = _sketches(value, bounds)
+            for up in (0, 1):
+                key, owner, wanted, total = _keys(value, bounds, up)
+                rows = np.flatnonzero((wanted > 0) & linkable) if up else np.arange(len(n))
+                key, owner = key[linkable[owner]], owner[linkable[owner]]
+                place, lists = key % np.uint64(SLICES), []
                 for k in range(SLICES):
-                    keys[k].append(own[place == k])
-            sketch = np.array(sketches, np.int64).reshape(-1, SKETCH)
-            a, b = (np.array([d[k] for d in digests], np.uint64).view(np.int64) for k in (0, 1))
-            lists = [
-                pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)], dtype=np.int32), pa.array(np.concatenate(each).view(np.int64))) for each in keys
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *(pa.array(sketch[:, i]) for i in range(SKETCH)), pa.array(fine, pa.binary()), *lists],
-                ["doc_id", "n_shingles", "set_a", "set_b", *(f"s{i}" for i in range(SKETCH)), "fine", *(f"keys{k}" for k in range(SLICES))],
-            )
+                    own = place == k
+                    counts = np.bincount(owner[own], minlength=len(n))[rows]
+                    lists.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(key[own].view(np.int64))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("node").take(pa.array(rows)), pa.array(linkable[rows]), pa.array(np.full(len(rows), up, np.int32)), pa.array(n[rows]), pa.array(total[rows]), pa.array(wanted[rows]),
+                        pa.array(set_a[rows].view(np.int64)), pa.array(set_b[rows].view(np.int64)),
+                        *(pa.array(np.ascontiguousarray(sketch[rows, i])) for i in range(SKETCH)), pa.array([None if up else fine[i] for i in rows.tolist()], pa.binary()), *lists,
+                    ],
+                    [c.split(" ")[0] for c in _SETS.split(", ")],
+                )
 
 
 def _odd_bits(x: bytes, y: bytes) -> int:
@@ -146,8 +159,10 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets, built again from the whole texts, are alike."""
     for batch in batches:
         for part in slices(batch, "text_a", 1 << 19):
+            (u, at), (v, to) = _sets(part.column("text_a")), _sets(part.column("text_b"))
             keep = []
-            for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b"))):
+            for i in range(part.num_rows):
+                x, y = u[at[i] : at[i + 1]], v[to[i] : to[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -165,10 +180,10 @@ def _same_set(x: str, y: str) -> Column:
 
 
 class _Links:
-    """Links found so far, and the component of each document under them."""
+    """Links found so far, and the component of each node under them."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, ws: Workspace):
-        self.docs, self.sets, self.ws, self.turn = docs.select("doc_id", "text"), sets, ws, 0
+    def __init__(self, rows: DataFrame, sets: DataFrame, ws: Workspace):
+        self.rows, self.sets, self.ws, self.turn = rows.select("node", "text"), sets, ws, 0
         self.parts: list[DataFrame] = []
         self.new, self.checks = False, 0
         self.labels: DataFrame | None = None
@@ -189,112 +204,147 @@ class _Links:
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that no path of links joins yet."""
-        if self.labels is None:
-            return pairs
         la, lb = self.labels.toDF("a", "_la"), self.labels.toDF("b", "_lb")
         joined = pairs.join(la, "a", "left").join(lb, "b", "left")
         return joined.where("coalesce(_la, a) <> coalesce(_lb, b)").select(*pairs.columns)
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and sketches allow, and whether their sets are the same."""
+        """The pairs that sizes and sketches allow."""
         x, y = self.sets.alias("x"), self.sets.alias("y")
-        out = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
-        return out.where(_may_link("x", "y")).select("a", "b", _same_set("x", "y").alias("same"))
+        out = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+        return out.where(_may_link("x", "y")).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link. Fine sketches come first; only texts of pairs that these allow, too, move."""
         self.checks += 1
-        fine = self.sets.select("doc_id", "n_shingles", "fine")
+        fine = self.sets.select("node", "n_shingles", "fine")
         pairs = pairs.select("a", "b").join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
         pairs = self.ws.table(pairs.mapInArrow(_finely, "a bigint, b bigint"), f"fine_{self.checks}")
         if pairs.isEmpty():
             return pairs
         # As a table its size is known: Spark broadcasts it below its own limit and shuffles texts above.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = self.ws.table(wanted, f"wanted_{self.checks}")
-        texts = self.ws.table(self.docs.join(wanted, "doc_id", "left_semi"), f"texts_{self.checks}")
+        texts = self.ws.table(self.rows.join(wanted, "node", "left_semi"), f"texts_{self.checks}")
         left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         return pairs.join(left, "a").join(right, "b").mapInArrow(_check, "a bigint, b bigint")
 
 
-def similarity_links(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The set of each row of docs, and (node, component) of every document with a link to another one.
+def _same_sets(sets: DataFrame) -> DataFrame:
+    """(a, b): the smallest node of each set that several nodes have, and each other one. Counted before the shuffle; hot ones are split by the skew join."""
+    digest = ["n_shingles", "set_a", "set_b"]
+    first = sets.groupBy(*digest).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+    return sets.select("node", *digest).join(first.hint("shuffle_merge"), digest).where("node <> a").select("a", F.col("node").alias("b"))
+
+
+def _shared_keys(described: DataFrame, copies: DataFrame, ws: Workspace) -> DataFrame:
+    """(key, node): the keys by which a set can have links, rarest first.
 
-    Each key's documents first meet the one with the smallest id. Only documents that are
-    then still apart from it are compared with the others of their key that they are still
-    apart from, so all links are found up to connectivity, without all pairs of a group.
+    All keys are ordered by how many sets have them in the whole corpus. A set needs its
+    first `wanted` keys; those that no other set has lead nowhere, so a set with that many
+    of its own has no link. Keys of passages that many texts share come last, and count
+    only where a text has little else.
     """
-    described = ws.table(docs.select("doc_id", "text").mapInArrow(_describe, _SETS), "described")
-    met = None
+    shared = None
     for k in range(SLICES):
-        part = described.select("doc_id", F.explode(f"keys{k}").alias("key"))
-        heads = part.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail")
-        one = part.join(heads.hint("shuffle_hash"), "key").where("doc_id <> head").select("key", "head", "doc_id")
-        one = ws.table(one, f"met_{k}")
-        met = one if met is None else met.unionByName(one)
-    sets = ws.table(described.drop(*(f"keys{k}" for k in range(SLICES))), "sets")
+        each = described.select("node", "up", F.explode(f"keys{k}").alias("key"))
+        often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        part = ws.table(each.join(often.hint("shuffle_hash"), "key"), f"shared_{k}")
+        shared = part if shared is None else shared.unionByName(part)
+    shared = shared.join(copies.select(F.col("b").alias("node")).hint("shuffle_merge"), "node", "left_anti")
+    # One set's keys at a time: no more than its text has words.
+    own = shared.groupBy("node", "up").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
+    known = own.join(described.select("node", "up", "total", "wanted").hint("shuffle_merge"), ["node", "up"])
+    need = (F.col("wanted") - F.col("total") + F.size("own")).cast("int")
+    first = known.where(need > 0).select("node", F.explode(F.slice("own", F.lit(1), need)).alias("first"))
+    out = ws.table(first.select(F.col("first.key").alias("key"), "node"), "first_keys")
+    ws.drop(*(f"shared_{k}" for k in range(SLICES)))
+    return out
+
+
+def similarity_links(rows: DataFrame, ws: Workspace, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The set of each of rows(node, text, linkable), and (node, component) of every node with a link to another one.
+
+    known(a, b) are links that hold already. Nodes with equal sets link at once; the
+    smallest stands for them. Each key's nodes first meet its smallest one. Only nodes that
+    are then still apart from it are compared with the others of their key that they are
+    still apart from, so all links are found up to connectivity, without all pairs of a group.
+    """
+    described = ws.table(rows.select("node", "text", "linkable").mapInArrow(_describe, _SETS), "described")
+    every = described.where("up = 0").drop("up", "total", "wanted", *(f"keys{k}" for k in range(SLICES)))
+    every = ws.table(every, "sets")
+    sets = every.where("linkable and n_shingles > 0")
+    found = _Links(rows, sets, ws)
+    if known is not None:
+        found.add(known)
+    found.add(_same_sets(sets))
+    part = _shared_keys(described, found.parts[-1], ws)
     ws.drop("described")
-    found = _Links(docs, sets, ws)
-    pairs = met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    heads = part.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
+    met = ws.table(part.join(heads.hint("shuffle_merge"), "key").where("node <> head"), "met")
+    pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = ws.table(found.plausible(pairs), "pairs")
-    found.add(pairs.where("same"))
-    nearest = pairs.groupBy("b").agg(F.bool_or("same").alias("done"), F.min("a").alias("a")).where("not done")
-    found.add(found.verified(nearest))
+    found.add(found.verified(pairs.groupBy("b").agg(F.min("a").alias("a"))))
     found.relabel()
-    rest = ws.table(found.apart(pairs.where("not same")), "rest")
-    if rest.limit(1).count():
+    rest = ws.table(found.apart(pairs), "rest")
+    if not rest.isEmpty():
         found.add(found.verified(rest))
         found.relabel()
-    apart = ws.table(found.apart(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()), "apart")
-    if apart.limit(1).count():
-        bad = met.join(apart.toDF("head", "doc_id"), ["head", "doc_id"], "left_semi").select("key", F.col("doc_id").alias("x"))
-        bad = ws.table(bad, "bad")
-        # Again each key's rest meets its smallest document first.
+    bad = ws.table(found.apart(met.withColumnsRenamed({"head": "a", "node": "b"})).select("key", F.col("b").alias("x")), "bad")
+    if not bad.isEmpty():
+        # Again each key's rest meets its smallest node first.
         firsts = bad.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a <> z").select("key", "a")
-        second = bad.join(firsts, "key").where("x <> a").select("a", F.col("x").alias("b")).distinct()
-        second = ws.table(found.plausible(found.apart(second)), "second")
-        found.add(second.where("same"))
-        found.add(found.verified(second.where("not same")))
+        second = bad.join(firsts.hint("shuffle_merge"), "key").where("x <> a").select("a", F.col("x").alias("b")).distinct()
+        found.add(found.verified(found.plausible(found.apart(second))))
         found.relabel()
         sketch = [f"s{i}" for i in range(SKETCH)]
-        known = sets.select("doc_id", "n_shingles", *sketch).join(found.labels, F.col("doc_id") == F.col("node"), "left")
-        known = known.select("doc_id", "n_shingles", *sketch, F.coalesce("component", "doc_id").alias("label"))
-        own = ws.table(bad.join(known.withColumnRenamed("doc_id", "x"), "x"), "own")
-        others = met.select("key", F.col("doc_id").alias("y")).join(bad.select("key").distinct(), "key", "left_semi")
-        others = ws.table(others.join(known.withColumnRenamed("doc_id", "y"), "y"), "others")
-        last = None
-        for k in range(SLICES):
-            mine, theirs = (d.where(F.pmod("key", F.lit(SLICES)) == k).alias(n) for d, n in ((own, "p"), (others, "q")))
-            part = mine.join(theirs, F.col("p.key") == F.col("q.key")).where("x <> y and p.label <> q.label").where(_may_link("p", "q"))
-            part = ws.table(part.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"last_{k}")
-            last = part if last is None else last.unionByName(part)
-        found.add(found.verified(last.distinct()))
+        label = sets.select("node", "n_shingles", *sketch).join(found.labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        label = label.select("node", "n_shingles", *sketch, F.coalesce("component", "node").alias("label"))
+        own = ws.table(bad.join(label.withColumnRenamed("node", "x"), "x"), "own")
+        others = met.select("key", F.explode(F.array("head", "node")).alias("y")).distinct().join(bad.select("key").distinct(), "key", "left_semi")
+        others = ws.table(others.join(label.withColumnRenamed("node", "y"), "y"), "others")
+        both = own.alias("p").join(others.alias("q").hint("shuffle_merge"), F.col("p.key") == F.col("q.key")).where("x <> y and p.label <> q.label").where(_may_link("p", "q"))
+        found.add(found.verified(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
         found.relabel()
-    return sets, found.labels
+    return every, found.labels
+
+
+def _rows(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """docs as (row, node): each row a node of its own, named once."""
+    return ws.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("node")), "rows")
 
 
 def jaccard_components(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text); other columns are not read.
 
     Texts are lower-cased for A-Z; shingles are NGRAM words, a shorter text is one
     shingle, a text without words or null has none and links with nothing. component_id
-    is the smallest doc_id reachable by links. Rows that repeat a doc_id are one node. A
-    null doc_id links with nothing and is its own component (null).
+    is the smallest doc_id reachable by links. Rows that share a doc_id are joined,
+    whatever their texts. A null doc_id links with nothing and is its own component
+    (null). An empty table gives no rows. A text of b bytes needs about 40 b of memory.
     """
-    sets, labels = similarity_links(docs, ws)
-    out = sets.join(labels, sets["doc_id"] == labels["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = _rows(docs.select("doc_id", "text"), ws)
+    named = rows.where("row.doc_id is not null").select("node", "row.doc_id")
+    twice = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    twice = named.select("doc_id", F.col("node").alias("b")).join(twice.hint("shuffle_merge"), "doc_id").where("a <> b").select("a", "b")
+    sizes, labels = similarity_links(rows.select("node", "row.text", F.col("row.doc_id").isNotNull().alias("linkable")), ws, twice)
+    names = named.join(labels, "node")
+    least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = names.join(least.hint("shuffle_merge"), "component").select("node", "component_id")
+    out = sizes.join(rows.select("node", "row.doc_id"), "node").join(names, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id, or one without an id where no row has any.
 
-    Here each row is a node of its own, also where rows share an id or have none. Rows
-    without words link with nothing and stay.
+    Here each row is a node of its own, also where rows share an id or have none; of equal
+    ids the first row stays. Rows without words link with nothing and stay. All columns
+    pass through, whatever their names; an empty table gives no rows.
     """
-    rows = ws.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    _, labels = similarity_links(rows.select(F.col("_row").alias("doc_id"), "text"), ws)
-    linked = rows.select("_row", "doc_id").join(labels, F.col("_row") == F.col("node"))
-    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
-    gone = linked.join(first, "component").where("_row <> first._row").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows = _rows(docs, ws)
+    _, labels = similarity_links(rows.select("node", "row.text", F.lit(True).alias("linkable")), ws)
+    linked = rows.select("node", "row.doc_id").join(labels, "node")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first"))
+    gone = linked.join(first.hint("shuffle_merge"), "component").where("node <> first.node").select("node")
+    return rows.join(gone, "node", "left_anti").select("row.*")
