@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -12,30 +13,50 @@ import numpy as np
 REMEMBERED = 400_000
 
 
+#: A longer text is encoded piece by piece, cut at blanks.
+PIECE_BYTES = 1 << 22
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    start = 0
+    while len(text) - start > PIECE_BYTES and (m := _BLANK.search(text, start + PIECE_BYTES)):
+        yield text[start : m.start()]
+        start = m.end()
+    yield text[start:] if start else text
+
+
 class ChunkCache:
     """For tokenizers whose tokens never cross blanks and that lower-case their input.
 
-    encode(chunks) gives each chunk's ids as bytes. Texts with a special token's first
-    characters keep their case, as special tokens are matched before lower-casing.
+    encode_chunks(chunks) gives each chunk's ids as bytes. Texts with a special token's
+    first characters keep their case, as special tokens are matched before lower-casing.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], special: list[bytes]):
-        self.encode_chunks, self.special = encode, sorted({s[:2] for s in special})
+    def __init__(self, encode_chunks: Callable[[list[bytes]], list[bytes]], special: list[bytes]):
+        self.encode_chunks, self.special = encode_chunks, sorted({s[:2] for s in special})
         self.known: dict[bytes, bytes] = {}
 
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text; chunks that none had before are encoded together."""
+        lowered = [t.lower() if t and t.isascii() and not any(s in t for s in self.special) else t or b"" for t in texts]
+        if sum(map(len, lowered)) > 2 * PIECE_BYTES:
+            return [b"".join(self._encode([p])[0] for p in _pieces(t)) for t in lowered]
+        return self._encode(lowered)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        many = [t.split() for t in texts]
+        needed = set().union(*many)
+        new = list(needed.difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(needed)
+        self.known.update(zip(new, self.encode_chunks(new)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in many]
+
     def encode(self, text: bytes) -> bytes:
-        if text.isascii() and not any(s in text for s in self.special):
-            text = text.lower()
-        chunks = text.split()
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            new = list(dict.fromkeys(c for c, p in zip(chunks, parts) if p is None))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            got = dict(zip(new, self.encode_chunks(new)))
-            self.known.update(got)
-            parts = [got[c] if p is None else p for c, p in zip(chunks, parts)]
-        return b"".join(parts)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
@@ -48,23 +69,25 @@ def library_cache(path: str) -> ChunkCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     kind = id_type(path)
-
     pattern = _split_pattern(path)
     words: dict[str, bytes] = {}
 
     def library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(words_: list[str]) -> list[bytes]:
-        """Ids of pre-tokens, taken from one text of them all where the library finds just these in it."""
+    def together(parts: list[str]) -> list[bytes]:
+        """Ids of texts without blanks, taken from one text of them all where each id's place lies in one of them."""
         out: list[bytes] = []
-        for i in range(0, len(words_), 400):
-            part = words_[i : i + 400]
+        for i in range(0, len(parts), 1000):
+            part = parts[i : i + 1000]
             e = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            at = np.array(e.word_ids)
-            if len(at) and at[-1] + 1 == len(part) and (np.diff(at) <= 1).all():
-                ids, cuts = np.array(e.ids, kind), np.searchsorted(at, np.arange(len(part) + 1)).tolist()
-                out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            begins = np.cumsum([0, *(len(x) + 1 for x in part)])
+            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+            owner = np.searchsorted(begins, spans[:, 0], "right") - 1
+            inside = spans[:, 1] < begins[np.minimum(owner + 1, len(part))]
+            if len(owner) and inside.all() and (np.diff(owner) >= 0).all() and len(np.unique(owner)) == len(part):
+                ids, cuts = np.array(e.ids, kind).tobytes(), (np.searchsorted(owner, np.arange(len(part) + 1)) * np.dtype(kind).itemsize).tolist()
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
                 out += library(part)
         return out
@@ -72,14 +95,21 @@ def library_cache(path: str) -> ChunkCache:
     def encode(chunks: list[bytes]) -> list[bytes]:
         # The pre-tokens of lower-case ASCII are its matches, each encoded alone: words recur with other punctuation around.
         texts = [c.decode() for c in chunks]
-        split = [pattern.findall(t) if pattern and t.isascii() and "<|" not in t and t == t.lower() else None for t in texts]
-        new = list({w for many in split if many for w in many if w not in words})
+        plain = [pattern is not None and t.isascii() and "<|" not in t and t == t.lower() for t in texts]
+        split = [pattern.findall(t) if p else None for t, p in zip(texts, plain)]
+        needed = set().union(*filter(None, split))
+        new = list(needed.difference(words))
         if len(words) + len(new) > REMEMBERED:
             words.clear()
-            new = list({w for many in split if many for w in many})
+            new = list(needed)
         words.update(zip(new, together(new)))
-        whole = iter(library([t for t, many in zip(texts, split) if many is None]))
-        return [next(whole) if many is None else b"".join(map(words.__getitem__, many)) for many in split]
+        # Other chunks are encoded together, too; those that may hold a special token, or a blank of Unicode, one by one.
+        rest = [t for t, p in zip(texts, plain) if not p]
+        alone = [t for t in rest if "<|" in t or len(t.split()) != 1]
+        got = dict(zip(alone, library(alone)))
+        some = [t for t in rest if t not in got]
+        got.update(zip(some, together(some)))
+        return [got[t] if many is None else b"".join(map(words.__getitem__, many)) for t, many in zip(texts, split)]
 
     return ChunkCache(encode, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,15 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return out + [1 << k for k in reversed(range(longest.bit_length() - 1)) if (n % longest) >> k & 1]
 
 
+def _cut(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these lengths, one after another: each piece's document, length, and place among all ids."""
+    sizes = np.array([longest, *(1 << k for k in reversed(range(longest.bit_length() - 1)))])
+    counts = np.concatenate([(lengths // longest)[:, None], (lengths % longest)[:, None] // sizes[1:] & 1], axis=1)
+    doc = np.repeat(np.arange(len(lengths)), counts.sum(axis=1))
+    own = np.repeat(np.tile(sizes, len(lengths)), counts.ravel())
+    return doc, own, np.concatenate([[0], np.cumsum(own)[:-1]]) if len(own) else own
+
+
 def pieces(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
     """The table of pieces, with their ids, as the tasks cut them: task and rank number the pieces of each length."""
 
@@ -30,21 +40,34 @@ def pieces(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
         from pyspark import TaskContext
 
         cache, kind = library_cache(tokenizer), id_type(tokenizer)
-        task, ranks, end = TaskContext.get().partitionId(), {}, np.array([END], kind).tobytes()
+        task, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([END], kind).tobytes()
+        width = np.dtype(kind).itemsize
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
-                    ids = np.frombuffer(cache.encode(text or b"") + end, kind)
-                    start = 0
-                    for n in piece_lengths(len(ids)):
-                        own = ids[start : start + n]
-                        rank = ranks[n] = ranks.get(n, -1) + 1
-                        rows.append((doc_id, start, n, zlib.crc32(own.astype("<u4")), len(ids), task, rank, own.tobytes()))
-                        start += n
-                if rows:
-                    kinds = [pa.int64()] * 7 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", "ids"])
+                ids = [x + end for x in cache.encode_all(part.column("text").cast(pa.large_binary()).to_pylist())]
+                lengths = np.array([len(x) // width for x in ids])
+                doc, own, at = _cut(lengths)
+                flat = np.frombuffer(b"".join(ids), kind)
+                wide = memoryview(flat.astype("<u4")).cast("B")
+                ends = at + own
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip((4 * at).tolist(), (4 * ends).tolist())]
+                rank = np.zeros(len(own), np.int64)
+                for n in np.unique(own).tolist():
+                    same = np.flatnonzero(own == n)
+                    rank[same] = ranks[n] + np.arange(len(same))
+                    ranks[n] += len(same)
+                buffers = [None, pa.py_buffer((width * np.concatenate([[0], ends])).astype(np.int64)), pa.py_buffer(flat)]
+                columns = {
+                    "doc_id": part.column("doc_id").take(pa.array(doc)),
+                    "start": pa.array(at - (np.cumsum(lengths) - lengths)[doc]),
+                    "length": pa.array(own),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                    "doc_tokens": pa.array(lengths[doc]),
+                    "task": pa.array(np.full(len(own), task)),
+                    "rank": pa.array(rank),
+                    "ids": pa.Array.from_buffers(pa.large_binary(), len(own), buffers).cast(pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, rank bigint, ids binary"
     return ws.table(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
@@ -57,7 +80,8 @@ def pack(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
     pieces are powers of two up to LONGEST, each a sequence of its own, so offset is 0.
     Sequences of one length have consecutive numbers: buckets follow each other by
     length, and a trainer takes batches of equal lengths by ranges of sequence_id. Rows
-    that repeat are packed each. An empty table gives no pieces.
+    that repeat are packed each; rows without an id, too. Other columns are not read. An
+    empty table gives no pieces. A text of b bytes needs about 20 b of memory in its task.
     """
     cut = pieces(docs, tokenizer, ws)
     # At most one row per task and length: 12 rows a task, so one task may sum them.

@@ -25,7 +25,7 @@ from tarmac.llm.workspace import Workspace
 SEQUENCE, BATCH = 2048, 256
 END = 1
 #: Bytes of text for a file, about.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 _BEGINS = pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int32()), ("n_tokens", pa.int64())]))
 
 
@@ -90,9 +90,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, ws: Workspac
 
     Texts are shuffled once, by ranges of doc_id; each range is one task and one file, and
     is written in ascending doc_id (nulls first, rows that repeat an id in order of their
-    text). first is the number of ids in all files before. A file gets a new name in each
+    text's hash and text). first is the number of ids in all files before. A file gets a new name in each
     attempt of its task and counts once its row is in the manifest, so a lost executor or
-    a second attempt does no harm. Null texts are empty: just the end id.
+    a second attempt does no harm. Null texts are empty: just the end id. Other columns are
+    not read; an empty table writes no file. A text of b bytes needs about 20 b of memory.
     """
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     parts = max(2, -(-size // FILE_BYTES))
@@ -104,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, ws: Workspac
         out, path, end = None, None, np.array([END], kind)
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), cache.encode_all(part.column("text").cast(pa.large_binary()).to_pylist())):
                     if out is None:
                         fs, base = file_system(folder)
                         fs.create_dir(base, recursive=True)
@@ -112,13 +113,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, ws: Workspac
                         path = f"{base}/part-{number:05d}-{uuid.uuid4().hex}.arrow"
                         stream = fs.open_output_stream(path)
                         out = SequenceFile(stream, kind, length)
-                    out.add(doc_id, np.concatenate([np.frombuffer(cache.encode(text or b""), kind), end]))
+                    out.add(doc_id, np.concatenate([np.frombuffer(ids, kind), end]))
         if out is not None:
             out.close()
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "n_docs": [out.docs], "n_tokens": [out.tokens]}, pa.schema([("part", pa.int32()), ("path", pa.utf8()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash parts rows that share an id, or have none, where they are too many for one file.
+    keys = ["doc_id", F.xxhash64("text"), "text"]
+    ranged = docs.select("doc_id", "text").repartitionByRange(int(parts), *keys[:2]).sortWithinPartitions(*keys)
     manifest = ws.table(ranged.mapInArrow(run, "part int, path string, n_docs bigint, n_tokens bigint"), "manifest")
     # One row per file, so the running sum in one task is over few rows.
     before = F.sum("n_tokens").over(_by_part())
