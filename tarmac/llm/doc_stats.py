@@ -75,20 +75,13 @@ def _per(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
-#: Ratios that the learned operators see; none holds an id, a label, a language or a source.
-FEATURES: dict[str, Column] = {}
-
-
 def features() -> dict[str, Column]:
-    if not FEATURES:
-        FEATURES.update(
-            {
-                "symbol_ratio": _per("n_symbols", "word_chars"),
-                "mean_word": _per("word_chars", "n_words"),
-                "dup_line_ratio": _per("n_dup_lines", "n_lines"),
-                "repeat_ratio": _per("n_repeat_words", "n_words"),
-                "upper_ratio": _per("n_upper", "word_chars"),
-                "words_per_line": _per("n_words", "n_lines"),
-            }
-        )
-    return FEATURES
+    """Ratios that the learned operators see; none holds an id, a label, a language or a source."""
+    return {
+        "symbol_ratio": _per("n_symbols", "word_chars"),
+        "mean_word": _per("word_chars", "n_words"),
+        "dup_line_ratio": _per("n_dup_lines", "n_lines"),
+        "repeat_ratio": _per("n_repeat_words", "n_words"),
+        "upper_ratio": _per("n_upper", "word_chars"),
+        "words_per_line": _per("n_words", "n_lines"),
+    }

@@ -20,8 +20,10 @@ from tarmac.llm.workspace import Workspace
 #: Labelled rows that the list is learned from at most; chosen by a hash of the id.
 MAX_LABELLED = 20_000
 MAX_RULES, MAX_CONDITIONS, BINS = 8, 3, 48
-#: Share of low-quality rows among those that a rule covers, and how many of these at least.
-MIN_PRECISION, MIN_COVER = 0.98, 4
+#: Smoothed share of low-quality rows among those that a rule covers, on all rows and on those held back from growing it, and how many it covers at least.
+MIN_PRECISION, MIN_HELD, MIN_COVER = 0.9, 0.75, 4
+#: Rules that pruning leaves nothing of, before the search ends; the next search does not begin with their first condition.
+MAX_FAILED = 6
 
 
 @dataclass(frozen=True)
@@ -90,17 +92,19 @@ def learn_rules(sample: DataFrame, ws: Workspace) -> list[Rule]:
         return out
 
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    failed: set[tuple[str, bool]] = set()
+    while len(rules) < MAX_RULES and len(failed) < MAX_FAILED:
         rest = binned
         for rule in rules:
             rest = rest.where(~all_of(rule))
-        grown = _grow(rest.where("not held_back"), names, bounds, all_of)
+        grown = _grow(rest.where("not held_back"), names, bounds, all_of, failed)
         if not grown:
             break
         kept = _prune(rest, grown, all_of)
-        if not kept:
-            break
-        rules.append(kept)
+        if kept:
+            rules.append(kept)
+        else:
+            failed.add((grown[0].feature, grown[0].above))
     ws.drop("labelled_stats", "labelled_bins")
     return rules
 
@@ -110,8 +114,8 @@ def _bin(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t < F.col(name)))
 
 
-def _grow(rows: DataFrame, names: list[str], bounds: dict[str, list[float]], all_of) -> Rule:
-    """Adds the condition with the most information gain until only low-quality rows are left."""
+def _grow(rows: DataFrame, names: list[str], bounds: dict[str, list[float]], all_of, failed: set[tuple[str, bool]]) -> Rule:
+    """Adds the condition with the most information gain until only low-quality rows are left; none in failed comes first. Ties go to the first statistic and threshold."""
     rule: Rule = ()
     while len(rule) < MAX_CONDITIONS:
         stacked = rows.where(all_of(rule)).select(
@@ -132,7 +136,7 @@ def _grow(rows: DataFrame, names: list[str], bounds: dict[str, list[float]], all
                 more = counts.get((name, i), (0, 0))
                 bad, good = bad + more[0], good + more[1]
                 for above, p, n in ((False, bad, good), (True, total[0] - bad, total[1] - good)):
-                    if p >= MIN_COVER and p + n < sum(total):
+                    if p >= MIN_COVER and p + n < sum(total) and (rule or (name, above) not in failed):
                         gain = p * (math.log2(p / (p + n)) - prior)
                         if best is None or gain > best[0]:
                             best = gain, Condition(name, above, threshold)
@@ -143,21 +147,20 @@ def _grow(rows: DataFrame, names: list[str], bounds: dict[str, list[float]], all
 
 
 def _prune(rest: DataFrame, rule: Rule, all_of) -> Rule:
-    """The prefix that is best on held-back rows; none where it isn't precise on both parts."""
-    prefixes = [rule[: i + 1] for i in range(len(rule))]
+    """The part of the rule, by dropping conditions, that is best on all rows and precise on those held back, too; none where no part is."""
+    parts = [tuple(c for i, c in enumerate(rule) if m >> i & 1) for m in range(1, 1 << len(rule))]
     got = rest.agg(
         *(
             F.count_if(all_of(p) & (F.col("quality") == q) & (F.col("held_back") == held)).alias(f"n{i}_{q}_{int(held)}")
-            for i, p in enumerate(prefixes) for q in (0, 1) for held in (False, True)
+            for i, p in enumerate(parts) for q in (0, 1) for held in (False, True)
         )
     ).first()
     best, value = (), 0.0
-    for i, p in enumerate(prefixes):
+    for i, p in enumerate(parts):
         (bad, bad_held), (good, good_held) = ((got[f"n{i}_{q}_0"], got[f"n{i}_{q}_1"]) for q in (0, 1))
-        precise = bad + bad_held >= MIN_COVER and all(x >= MIN_PRECISION * (x + y) for x, y in ((bad, good), (bad_held, good_held)))
-        score = (bad_held - good_held + 1) / (bad_held + good_held + 2) if bad_held + good_held else 0.25
-        if precise and score * (bad + bad_held) > value:
-            best, value = p, score * (bad + bad_held)
+        share, held = ((x + 1) / (x + y + 2) for x, y in ((bad + bad_held, good + good_held), (bad_held, good_held)))
+        if bad + bad_held >= MIN_COVER and share >= MIN_PRECISION and (held >= MIN_HELD or not bad_held + good_held) and share * (bad + bad_held) > value:
+            best, value = p, share * (bad + bad_held)
     return best
 
 
@@ -180,7 +183,9 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule, kept) per row.
 
     Null and empty texts have no words and fail the base. Repeated rows are judged each;
-    other columns of docs are not read. An empty table gives an empty result.
+    other columns of docs are not read, whatever their names. An empty table gives an empty
+    result. A text of b bytes needs about 60 b of memory in its task, for its words and
+    the hashes of their triples.
     """
     out = with_stats(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
     return out.select(
