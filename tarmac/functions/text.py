@@ -2,81 +2,28 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIRECTIVE = r"(?i)\b(?:AD\s*)?((?:19|20)\d{2}|\d{2})-(\d{2})-(\d{2})(?:R\d+)?\b"
-# Words that carry no meaning in a title.
-STOP_WORDS = ("and", "for", "the", "with", "from", "that", "this", "per", "all")
+DIRECTIVE = r"(?i)\b(?:AD\s*)?(\d{4}|\d{2})-(\d{2})-(\d{2})(?:R\d+)?\b"
+# Words that count as no keyword.
+STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "all", "model")
+
+
+def _full_year(year: Column) -> Column:
+    return F.when(F.length(year) == 4, year).when(F.try_to_number(year, F.lit("99")) <= 39, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
 
 
 def directive_number(text: Column) -> Column:
     """First directive number, years of two digits put into 1940..2039; null where none."""
     year, week, no = (F.regexp_extract(text, DIRECTIVE, i) for i in (1, 2, 3))
-    full = F.when(F.length(year) == 4, year).when(F.try_to_number(year, F.lit("99")) <= 39, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
-    return F.when(year != "", F.concat_ws("-", full, week, no))
-
-
-_AD = re.compile(r"\bAD\s*((?:\d{4}|\d{2})-\d{2}-\d{2}(?:R\d+)?)\b", re.I)
-_CHAINED = re.compile(r"(?:\band\b|&)\s*((?:\d{4}|\d{2})-\d{2}-\d{2}R\d+)\b", re.I)
-_BARE = re.compile(r"\b((?:19|20)\d{2}|\d{2})-(\d{2})-(\d{2})(?:R\d+)?\b", re.I)
-_NOT_COMPLIED = re.compile(r"\b(?:(?:not|never)\b[^\n]*\b(?:comply|complied|compliance)|(?:cannot|can't)\b[^\n]*\b(?:comply|complied)|no\s+compliance|compliance\s+(?:was\s+)?not\s+(?:completed|performed))\b", re.I)
-_NOT_INSPECTED = re.compile(r"\b(?:(?:not|never)\b[^\n]*\b(?:inspect|inspected|inspection)|(?:cannot|can't)\b[^\n]*\b(?:inspect|inspected)|inspection\s+(?:was\s+)?not\s+(?:completed|performed))\b", re.I)
-_DONE = re.compile(r"\bc\s*/\s*w\b|\bcomplied\b|\b(?:inspect(?:ed|ing)?|inspection\s+completed)\b", re.I)
-_BOUNDARY = re.compile(r"\.(?=\s|$)|[,;]")
-
-
-def _boundaries(segment: str, start: int, end: int) -> list[int]:
-    return [start + m.start() for m in _BOUNDARY.finditer(segment[start:end])]
-
-
-def _done(context: str) -> bool:
-    """Whether a citation's context says complied or inspected, and nothing against it."""
-    if re.search(r"\b(?:n/?a|not applicable)\b", context, re.I) or _NOT_COMPLIED.search(context) or _NOT_INSPECTED.search(context):
-        return False
-    cited = _AD.search(context)
-    return bool(_DONE.search(context[: min(_boundaries(context, cited.end() if cited else 0, len(context)), default=len(context))]))
-
-
-def mentions_of(body: str | None) -> list[tuple[str, bool]]:
-    """(number, done) for each distinct directive number of an entry, done by the context of its first citation."""
-    found: dict[str, bool] = {}
-    for segment in filter(None, (x.strip() for x in (body or "").split("\n"))):
-        cited = [(m, False) for m in _AD.finditer(segment)]
-        if cited:
-            cited += [(m, True) for m in _CHAINED.finditer(segment) if m.start() > cited[0][0].start()]
-        cited.sort(key=lambda x: x[0].start())
-        for k, (m, chained) in enumerate(cited):
-            before = cited[k - 1][0].end() if k else 0
-            start = max(_boundaries(segment, before, m.start()), default=before - 1) + 1
-            end = len(segment)
-            if k + 1 < len(cited):
-                after = cited[k + 1][0].start()
-                end = max(_boundaries(segment, m.end(), after), default=after)
-            number = _BARE.fullmatch(m[1])
-            if number:
-                found.setdefault(_full(number), _done(segment if chained else segment[start:end].strip()))
-    # Numbers without the word AD are named, no more.
-    for m in _BARE.finditer(body or ""):
-        found.setdefault(_full(m), False)
-    return list(found.items())
-
-
-def _full(m: re.Match) -> str:
-    year = m[1] if len(m[1]) == 4 else ("20" if int(m[1]) <= 39 else "19") + m[1]
-    return f"{year}-{m[2]}-{m[3]}"
-
-
-def _mentions(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda x: [{"ad_number": n, "done": d} for n, d in mentions_of(x)])
+    return F.when(year != "", F.concat_ws("-", _full_year(year), week, no))
 
 
-def directive_mentions(text: Column) -> Column:
-    """All distinct directive numbers of a text, as an array of (ad_number, done)."""
-    return F.pandas_udf(_mentions, "array<struct<ad_number:string,done:boolean>>")(text)
+def directive_numbers(text: Column) -> Column:
+    """All distinct directive numbers of a text, in order."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DIRECTIVE), F.lit(0))
+    return F.array_distinct(F.transform(found, directive_number))
 
 
 def match_text(s: Column) -> Column:
@@ -103,15 +50,57 @@ def tag_value(s: Column, fallback: str) -> Column:
 
 
 def source_status(s: Column) -> Column:
-    s = F.lower(F.trim(s))
-    return (
-        F.when(s.isin("current", "active", "published", "effective"), "current")
-        .when(s.contains("supersed"), "superseded").when(s.contains("rescind"), "rescinded")
-        .otherwise(F.regexp_replace(s, "[^a-z0-9]+", "_"))
-    )
+    """A source's own status word as current, superseded, rescinded or snake case; none is current."""
+    s = F.translate(F.lower(F.trim(s)), " ", "_")
+    known = F.when(s.isin("active", "current", "final", "published"), "current").when(s.contains("supersed"), "superseded")
+    return F.when(F.coalesce(s, F.lit("")) == "", "current").otherwise(known.when(s.contains("cancel") | s.contains("rescinded"), "rescinded").otherwise(F.substring(s, 1, 64)))
 
 
 def keywords(text: Column) -> Column:
-    """Distinct words of three letters or digits and more, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    """Distinct words of three letters, digits and inner dashes or more, without stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9-]{2,}"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def split_values(s: Column) -> Column:
+    """Parts between pipes, semicolons and commas, without blanks and empty ones; null has none."""
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "[|;,]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def list_values(s: Column) -> Column:
+    """A JSON list's items as text, any other text as the only item; null and blank have none."""
+    one = F.trim(s)
+    parsed = F.when(one.startswith("["), F.from_json(one, "array<string>"))
+    return F.when(F.coalesce(one, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(one)))
+
+
+def date_of(s: Column) -> Column:
+    """A date as 2020-01-31, 01/31/2020 or 2020/01/31, whichever fits first; null where none does."""
+    forms = {"yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$"}
+    return F.coalesce(*(F.when(s.rlike(shape), F.try_to_date(s, form)) for form, shape in forms.items()))
+
+
+def component_role(kind: Column, sub: Column) -> Column:
+    """The role of a component that a target's type and subtype name; the first that fits."""
+    text = F.lower(F.concat_ws(" ", kind, sub))
+    has = lambda *words: F.greatest(*(text.contains(w) for w in words)) if len(words) > 1 else text.contains(words[0])
+    rotor = has("rotor")
+    return (
+        F.when(rotor & has("drive"), "drivetrain_transmission").when(rotor & has("system", "blade", "hub"), "rotor_system")
+        .when(has("rotorcraft", "helicopter"), "rotorcraft_airframe").when(has("engine"), "engine").when(has("propeller"), "propeller")
+        .when(has("appliance", "equipment"), "appliance").when(has("aircraft", "airplane"), "airframe").otherwise("unknown")
+    )
+
+
+def product_of(text: Column) -> Column:
+    """(product_type, make, model) of a product's wording: its noun tells the type, the first other word is the make, the rest the model."""
+    low = F.lower(text)
+    kind = F.when(low.contains("engine"), "Engine").when(low.contains("propeller"), "Propeller").when(low.contains("rotorcraft") | low.contains("helicopter"), "Rotorcraft").otherwise("Aircraft")
+    bare = F.regexp_replace(F.trim(text), r"(?i)\b(airplanes?|aircraft|engines?|propellers?|rotorcraft|helicopters?)\b", "")
+    words = F.filter(F.split(F.translate(bare, ";", " "), r"\s+"), lambda w: w != "")
+    return F.struct(kind.alias("product_type"), F.get(words, F.lit(0)).alias("make"), F.nullif(F.array_join(F.slice(words, 2, 1000), " "), F.lit("")).alias("model"))
+
+
+def safe_filename(s: Column) -> Column:
+    """The last part of a path, with other characters than letters, digits, dot, dash and underscore as underscores."""
+    return F.regexp_replace(F.element_at(F.split(s, r"[/\\\\]"), -1), "[^A-Za-z0-9._-]+", "_")

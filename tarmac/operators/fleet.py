@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.text import match_text, optional_text
+from tarmac.functions.text import component_role, match_text, optional_text
 
 
 def components_long(aircraft: DataFrame) -> DataFrame:
@@ -19,13 +19,30 @@ def components_long(aircraft: DataFrame) -> DataFrame:
     return rows.select("aircraft_id", "c.*").withColumn("display_name", F.concat_ws(" ", "make", "model", "serial"))
 
 
+#: Roles of components that may answer a target's role, where these are not just the same one.
+_COMPATIBLE = {
+    "airframe": ["airframe", "rotorcraft_airframe"], "rotorcraft_airframe": ["airframe", "rotorcraft_airframe"],
+    "propeller": ["propeller", "rotor_system"], "rotor_system": ["rotor_system", "propeller"], "appliance": ["appliance", "other", "unknown"],
+    "unknown": ["airframe", "engine", "propeller", "rotorcraft_airframe", "rotor_system", "drivetrain_transmission", "appliance", "other", "unknown"],
+}
+
+
+def _by_role(targets: DataFrame) -> DataFrame:
+    """Open targets, one row for each role of a component that may answer theirs."""
+    role = component_role(F.col("product_type"), F.lit(None).cast("string"))
+    roles = F.array(role)
+    for name, fit in _COMPATIBLE.items():
+        roles = F.when(role == name, F.array(*map(F.lit, fit))).otherwise(roles)
+    return targets.where("source_status in ('current', 'active', 'unknown')").withColumn("role", F.explode(roles))
+
+
 def component_targets(components: DataFrame, targets: DataFrame) -> DataFrame:
-    """(aircraft_id, directive_id, role) by equal make and model; a null on the target's side fits all.
+    """(aircraft_id, directive_id, role) by a compatible role and equal make and model; a null on the target's side fits all.
 
     The wildcard is a union of four equal joins, as an OR would be a nested loop.
     """
-    role = F.when(F.col("product_type") == "Aircraft", "airframe").otherwise(F.lower("product_type"))
-    t = targets.where("source_status in ('current', 'active', 'unknown')").select("directive_id", role.alias("role"), match_text(F.col("make")).alias("m"), match_text(F.col("model")).alias("d"), F.col("make").isNull().alias("any_m"), F.col("model").isNull().alias("any_d"))
+    t = _by_role(targets).select("directive_id", "role", match_text(F.col("make")).alias("m"), match_text(F.col("model")).alias("d"))
+    t = t.withColumns({"any_m": F.col("m") == "", "any_d": F.col("d") == ""})
     c = components.select("aircraft_id", "role", match_text(F.col("make")).alias("m"), match_text(F.col("model")).alias("d"))
     out = None
     for any_m in (False, True):
@@ -37,37 +54,12 @@ def component_targets(components: DataFrame, targets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def uncertain_identity(components: DataFrame, targets: DataFrame, least: int = 4) -> DataFrame:
-    """(aircraft_id, directive_id) where make and model are both proper prefixes, one of the other; keyed on the first letters."""
-    t = targets.select("directive_id", match_text(F.col("make")).alias("tm"), match_text(F.col("model")).alias("td")).withColumn("b", F.substring("tm", 1, least))
-    c = components.where("role = 'airframe'").select("aircraft_id", match_text(F.col("make")).alias("cm"), match_text(F.col("model")).alias("cd")).withColumn("b", F.substring("cm", 1, least))
-
-    def close(a: str, b: str):
-        a, b = F.col(a), F.col(b)
-        return (F.least(F.length(a), F.length(b)) >= least) & (a != b) & (a.startswith(b) | b.startswith(a))
-
-    return c.join(t, "b").where(close("cm", "tm") & close("cd", "td")).select("aircraft_id", "directive_id")
-
-
-#: Roles of components that may answer a target's role, where these are not just the same one.
-_COMPATIBLE = {
-    "airframe": ["airframe", "rotorcraft_airframe"], "rotorcraft_airframe": ["airframe", "rotorcraft_airframe"],
-    "propeller": ["propeller", "rotor_system"], "rotor_system": ["rotor_system", "propeller"], "appliance": ["appliance", "other", "unknown"],
-    "unknown": ["airframe", "engine", "propeller", "rotorcraft_airframe", "rotor_system", "drivetrain_transmission", "appliance", "other", "unknown"],
-}
-
-
 def uncertain_components(components: DataFrame, targets: DataFrame, least: int = 4) -> DataFrame:
     """(aircraft_id, directive_id) of both branches, for all roles: close make and model, or one that the target names and the component lacks.
 
-    In the second branch a make that both name must be equal. Each alternative is an equal join.
+    Each alternative is an equal join: by role and what both sides lack, or by role and the first letters of the make.
     """
-    role = F.when(F.col("product_type") == "Aircraft", "airframe").otherwise(F.lower("product_type"))
-    roles = F.array(role)
-    for name, fit in _COMPATIBLE.items():
-        roles = F.when(role == name, F.array(*map(F.lit, fit))).otherwise(roles)
-    t = targets.where("source_status in ('current', 'active', 'unknown')")
-    t = t.select("directive_id", F.explode(roles).alias("role"), match_text(F.col("make")).alias("tm"), match_text(F.col("model")).alias("td"))
+    t = _by_role(targets).select("directive_id", "role", match_text(F.col("make")).alias("tm"), match_text(F.col("model")).alias("td"))
     c = components.select("aircraft_id", "role", match_text(F.col("make")).alias("cm"), match_text(F.col("model")).alias("cd"))
 
     def close(a: str, b: str):
@@ -78,8 +70,7 @@ def uncertain_components(components: DataFrame, targets: DataFrame, least: int =
     parts = [
         first(c, "cm").join(first(t, "tm"), ["role", "b"]).where(close("cm", "tm") & close("cd", "td")),
         c.where("cm = ''").join(t.where("tm <> ''"), "role"),
-        c.where("cd = ''").join(t.where("td <> '' and tm = ''"), "role"),
-        c.where("cd = '' and cm <> ''").withColumnRenamed("cm", "m").join(t.where("td <> ''").withColumnRenamed("tm", "m"), ["role", "m"]),
+        c.where("cd = ''").join(t.where("td <> ''"), "role"),
     ]
     out = None
     for part in parts:
@@ -108,20 +99,64 @@ def coverage_status(components: DataFrame, covered: DataFrame) -> DataFrame:
     return out.select("aircraft_id", "components", F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"), status.alias("status"))
 
 
-def candidate_evidence(entries: DataFrame, directives: DataFrame, top: int = 5) -> DataFrame:
-    """The best entries for each (aircraft, directive): a score in hundredths from the named number, its disposition and shared words.
+#: Words that count as an action of any directive.
+ACTION_WORDS = ("comply", "complied", "compliance", "inspect", "inspection", "replace", "replaced", "modify", "modified")
+
+
+def candidate_evidence(entries: DataFrame, directives: DataFrame, pairs: DataFrame, top: int = 5) -> DataFrame:
+    """The best entries for each (aircraft_id, directive_id) of pairs, with confidence, disposition and place.
 
-    An entry counts for each number it names, with the disposition of that number's own context. Scores are exact decimals. Only entries that name the directive reach the threshold
-    from few words, so the join is on its number; ties go to the latest entry.
+    In thousandths: 820 for a citation that says complied or inspected, 450 for any other
+    or for the bare number, and for each shared word 40 of products (160 at most), 40 of
+    actions (180) and 25 of the title (100), 950 in all; 200 or more are kept. As actions
+    alone don't reach that, an entry meets a directive by its number or a shared word of
+    the same aircraft: equal joins. Of equal scores the latest entry comes first.
+    directives: directive_id, ad_number, title, products, actions. Rows repeated in full count once.
     """
-    from tarmac.functions.text import directive_mentions, keywords
-
-    e = entries.where("review_status = 'verified' and entry_date is not null")
-    e = e.withColumn("_mention", F.explode(directive_mentions(F.col("body")))).select("*", "_mention.ad_number", "_mention.done").drop("_mention").withColumn("words", keywords(F.col("body")))
-    d = directives.select("directive_id", "ad_number", keywords(F.col("title")).alias("title_words"))
-    both = e.join(d, "ad_number")
-    shared = F.size(F.array_intersect("words", "title_words"))
-    score = F.least(F.when(F.col("done"), 820).otherwise(450) + F.least(25 * shared, F.lit(100)), F.lit(950))
-    ranked = both.select("aircraft_id", "directive_id", "entry_id", "line_no", "entry_date", "quantity", (score / 1000).cast("decimal(4,3)").alias("confidence"))
+    from tarmac.functions.maintenance import directive_references
+    from tarmac.functions.text import keywords
+
+    none = F.array().cast("array<string>")
+    key = ["aircraft_id", "entry_id", "line_no", "entry_date", "quantity", "body"]
+    e = entries.where("review_status = 'verified' and entry_date is not null").select(*key).distinct()
+    terms = lambda c: keywords(F.concat_ws(" ", F.coalesce(c, none)))
+    d = directives.select(
+        "directive_id", "ad_number", terms(F.col("products")).alias("product_words"), keywords(F.col("title")).alias("title_words"),
+        F.array_union(terms(F.col("actions")), F.array(*map(F.lit, ACTION_WORDS))).alias("action_words"),
+    )
+    cited = e.withColumn("_refs", directive_references(F.col("body")))
+    cited = cited.withColumn("_refs", F.filter("_refs", lambda x, i: ~F.exists(F.slice("_refs", F.lit(1), i), lambda y: y["ad_number"] == x["ad_number"])))
+    bare = F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("(?=([0-9]{4}-[0-9]{2}-[0-9]{2}))"), F.lit(1)))
+    said = F.transform("_refs", lambda x: F.struct(x["ad_number"].alias("ad_number"), x["disposition"].alias("disposition")))
+    other = F.transform(F.array_except(bare, F.transform("_refs", lambda x: x["ad_number"])), lambda n: F.struct(n.alias("ad_number"), F.lit(None).cast("string").alias("disposition")))
+    named = cited.select(*key, F.explode(F.concat(said, other)).alias("m")).select(*key, "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
+    named = named.join(pairs.select("aircraft_id", "directive_id").distinct(), ["aircraft_id", "directive_id"], "left_semi").select(*key, "directive_id", "disposition", F.lit(True).alias("named"))
+    words = pairs.select("aircraft_id", "directive_id").distinct().join(d.select("directive_id", F.explode(F.array_union("product_words", "title_words")).alias("word")), "directive_id")
+    worded = e.select(*key, F.explode(keywords(F.col("body"))).alias("word")).join(words, ["aircraft_id", "word"])
+    both = named.unionByName(worded.select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named")))
+    met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named")).join(d, "directive_id").withColumn("_w", keywords(F.col("body")))
+    points = lambda c, each, most: F.least(each * F.size(F.array_intersect("_w", c)), F.lit(most))
+    claim = F.when(F.col("disposition").isin("complied", "inspected"), 820).when(F.col("named"), 450).otherwise(0)
+    score = F.least(claim + points("product_words", 40, 160) + points("action_words", 40, 180) + points("title_words", 25, 100), F.lit(950))
+    ranked = met.withColumn("_score", score).where("_score >= 200")
+    ranked = ranked.select("aircraft_id", "directive_id", "entry_id", "line_no", "entry_date", "quantity", "disposition", (F.col("_score") / 1000).cast("decimal(4,3)").alias("confidence"))
     order = Window.partitionBy("aircraft_id", "directive_id").orderBy(F.desc("confidence"), F.desc("entry_date"), F.desc("entry_id"), F.desc("line_no"), F.desc("quantity"))
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def applicability_decision(pairs: DataFrame, structured: DataFrame, hits: DataFrame, uncertain: DataFrame, text_matches: DataFrame) -> DataFrame:
+    """Each pair's decision: a directive with structured targets applies by a hit, else is uncertain or skipped; one without applies by its product text."""
+    key = ["aircraft_id", "directive_id"]
+    flag = lambda df, on, name: df.select(*on).distinct().withColumn(name, F.lit(True))
+    out = pairs.select(*key).distinct().join(flag(structured, ["directive_id"], "_s"), "directive_id", "left")
+    for df, name in ((hits, "_h"), (uncertain, "_u"), (text_matches, "_t")):
+        out = out.join(flag(df, key, name), key, "left")
+    by_target = F.when(F.col("_h"), "applicable").when(F.col("_u"), "uncertain").otherwise("skipped")
+    return out.select(*key, F.when(F.col("_s"), by_target).when(F.col("_t"), "applicable").otherwise("skipped").alias("decision"))
+
+
+def best_component(hits: DataFrame, components: DataFrame) -> DataFrame:
+    """Of each (aircraft_id, directive_id) the first component, by role, that a target fits, and whether its serial is known."""
+    first = hits.groupBy("aircraft_id", "directive_id").agg(F.min("role").alias("role"))
+    serial = components.select("aircraft_id", "role", F.col("serial").isNotNull().alias("serial_known"))
+    return first.join(serial, ["aircraft_id", "role"])

@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.streaming.folders import shared_folder
+
 MONEY = "decimal(18,6)"
 
 
-def billing_summary(runs: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+def tag_text(tags: Column, key: str) -> Column:
+    """A tag's text without blanks at its ends; null where it is missing or blank."""
+    return F.nullif(F.trim(F.try_element_at(tags, F.lit(key))), F.lit(""))
+
+
+def tag_count(tags: Column, key: str) -> Column:
+    """A tag's whole number; 0 where it is missing, none, or negative."""
+    return F.coalesce(F.greatest(F.trim(F.try_element_at(tags, F.lit(key))).try_cast("long"), F.lit(0)), F.lit(0)).cast("long")
+
+
+def billing_summary(
+    runs: DataFrame, since: str | None = None, until: str | None = None, account: str | None = None, aircraft: str | None = None, billing: str | None = None
+) -> DataFrame:
     """Totals, per account and aircraft, and per provider, in one pass over the runs of [since, until).
 
-    Only complete runs are summed; others are counted. level is 7 for the total, 1 for
-    account and aircraft, 0 with the provider: null tags are groups of their own.
+    Only complete runs are summed; the total counts the others, and its groups. level is 127
+    for the total, 31 for account and aircraft, 0 with the five provider keys: null tags
+    are groups of their own. A run costs its estimate, else its rate for each page; one with
+    neither is unpriced, which differs from a price of 0. Blank filters select nothing out.
+    runs: upload_id, account, aircraft, provider, version, tags (a map), status,
+    billing_status, pages, unit, rate, estimate, created.
     """
-    if since is not None and until is not None and since > until:
+    if since and until and since > until:
         raise ValueError("the period ends before it begins")
-    if since is not None:
+    for name, value in (("account", account), ("aircraft", aircraft), ("billing_status", billing)):
+        if value and value.strip():
+            runs = runs.where(F.col(name) == value.strip())
+    if since:
         runs = runs.where(F.col("created") >= F.to_date(F.lit(since)))
-    if until is not None:
+    if until:
         runs = runs.where(F.col("created") < F.to_date(F.lit(until)))
-    done = F.col("status") == "complete"
-    by_page = F.when(done & (F.col("unit") == "page"), F.col("pages")).otherwise(0)
-    cost = F.coalesce("estimate", F.col("rate") * F.col("pages"))
-    rows = runs.withColumns({"_pages": by_page.cast("long"), "_cost": F.when(done, cost).cast(MONEY), "_done": done})
-    paid = F.col("billing_status") == "chargeable"
-    grouped = rows.groupingSets([[], ["account", "aircraft"], ["account", "aircraft", "provider"]], "account", "aircraft", "provider")
-    return grouped.agg(
-        F.grouping_id().cast("int").alias("level"), F.count_if(F.col("_done")).alias("runs"), F.count_if(~F.col("_done")).alias("excluded"),
-        F.countDistinct(F.when(F.col("_done"), F.col("upload_id"))).alias("uploads"), F.sum("_pages").alias("pages"),
-        F.sum(F.when(paid, F.col("_pages")).otherwise(0)).alias("chargeable_pages"), F.sum(F.when(F.col("billing_status") == "not_billable", F.col("_pages")).otherwise(0)).alias("free_pages"),
-        F.coalesce(F.sum("_cost"), F.lit(0)).cast(MONEY).alias("cost"), F.coalesce(F.sum(F.when(paid, F.col("_cost"))), F.lit(0)).cast(MONEY).alias("chargeable_cost"),
-        F.count_if(F.col("_done") & F.col("_cost").isNotNull()).alias("priced"), F.count_if(F.col("_done") & F.col("_cost").isNull()).alias("unpriced"),
-    )
+    done, tags = F.col("status") == "complete", F.col("tags")
+    pages = F.when(F.col("unit") == "page", F.greatest(F.coalesce("pages", F.lit(0)), F.lit(0))).otherwise(0).cast("long")
+    cost = F.coalesce("estimate", F.when((F.col("unit") == "page") & F.col("pages").isNotNull(), F.col("rate") * F.greatest("pages", F.lit(0))))
+    keys = ["account", "aircraft", "provider", "version", "channel", "mode", "routing"]
+    rows = runs.withColumns({
+        "channel": tag_text(tags, "provider_channel"), "mode": tag_text(tags, "provider_mode"), "routing": tag_text(tags, "routing_mode"), "_done": done,
+        "_pages": F.when(done, pages), "_cost": F.when(done, cost).cast(MONEY), "_bypass": F.when(done, tag_count(tags, "native_bypass_page_count")),
+        "_counted": F.when(done, F.when(F.coalesce(F.map_contains_key(tags, "textract_page_count"), F.lit(False)), tag_count(tags, "textract_page_count")).when(tag_text(tags, "provider_channel") == "aws", pages).otherwise(0)),
+        "_group": F.when(done, F.struct("account", "aircraft")), "_kind": F.when(F.col("billing_status").isin("chargeable", "not_billable"), F.col("billing_status")).otherwise("other"),
+    })
+    kinds = ("chargeable", "not_billable", "other")
+    unpriced = F.col("_done") & F.col("_cost").isNull()
+    of = lambda kind, c: F.when(F.col("_kind") == kind, c)
+    out = rows.groupingSets([[], keys[:2], keys], *keys).agg(
+        F.grouping_id().cast("int").alias("level"), F.count_if(F.col("_done")).alias("runs"), F.countDistinct(F.when(F.col("_done"), F.col("upload_id"))).alias("uploads"),
+        F.count_if(F.col("_done") & (F.col("account").isNull() | F.col("aircraft").isNull())).alias("unattributed"), F.count_if(unpriced).alias("unpriced"),
+        *(F.count_if(unpriced & (F.col("_kind") == k)).alias(f"{k}_unpriced") for k in kinds), F.count_if(F.col("_done") & ~F.col("unit").eqNullSafe("page")).alias("not_by_page"),
+        *(F.coalesce(F.sum(of(k, F.col("_pages"))), F.lit(0)).alias(f"{k}_pages") for k in kinds), F.coalesce(F.sum("_bypass"), F.lit(0)).alias("bypass_pages"), F.coalesce(F.sum("_counted"), F.lit(0)).alias("counted_pages"),
+        F.coalesce(F.sum("_cost"), F.lit(0)).cast(MONEY).alias("cost"), *(F.coalesce(F.sum(of(k, F.col("_cost"))), F.lit(0)).cast(MONEY).alias(f"{k}_cost") for k in kinds),
+        F.countDistinct("_group").alias("groups"), F.count_if(~F.col("_done")).alias("excluded"),
+    )
+    total = F.col("level") == 127
+    return out.where(total | (F.col("runs") > 0)).withColumns({"groups": F.when(total, F.col("groups")), "excluded": F.when(total, F.col("excluded"))})
 
 
 def matcher_status(events: DataFrame) -> DataFrame:
@@ -54,18 +85,36 @@ def gap_sample(wanted: DataFrame, have: DataFrame, n: int = 20) -> DataFrame:
     return wanted.select("id").distinct().join(have.select("id"), "id", "left_anti").orderBy("id").limit(n)
 
 
-def effective_directives(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(ad_number, effective, steps): the end of each superseded directive's chain; chains of more than `most` steps are cut there."""
+def effective_directives(edges: DataFrame) -> DataFrame:
+    """(ad_number, effective, steps) of each superseded directive: every end of its chains and the longest way there; null where it only leads into a cycle.
+
+    Each round joins the ways with themselves, so that they grow twofold; a way to an end
+    stays as it is. Ways that have not ended after twice the logarithm of the number of
+    edges lie in a cycle.
+    """
     spark = edges.sparkSession
-    pairs = edges.select("ad_number", "supersedes").where("ad_number <> supersedes").distinct()
-    return spark.sql(
-        f"""WITH RECURSIVE e AS (SELECT supersedes AS old, max(ad_number) AS new FROM {{pairs}} WHERE ad_number > supersedes GROUP BY supersedes),
-            chain(ad_number, effective, steps) AS (
-                SELECT old, new, 1 FROM e
-                UNION ALL SELECT c.ad_number, e.new, c.steps + 1 FROM chain c JOIN e ON e.old = c.effective WHERE c.steps < {int(most)})
-            SELECT ad_number, max_by(effective, steps) AS effective, max(steps) AS steps FROM chain GROUP BY ad_number""",
-        pairs=pairs,
-    )
+    root, turn = shared_folder(spark, "chains"), 0
+
+    def kept(df: DataFrame) -> DataFrame:
+        nonlocal turn
+        turn += 1
+        df.write.parquet(f"{root}/{turn}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{turn}")
+
+    e = edges.select(F.col("supersedes").alias("old"), F.col("ad_number").alias("new")).where("old <> new").distinct()
+    more = e.select(F.col("old").alias("new"), F.lit(True).alias("_more")).distinct()
+    ways = kept(e.join(more, "new", "left").select("old", "new", F.lit(1).cast("long").alias("steps"), F.col("_more").isNull().alias("ended")))
+    for _ in range(2 * max(ways.count(), 1).bit_length()):
+        going = ways.where("not ended and old <> new")
+        if going.isEmpty():
+            break
+        on = ways.toDF("new", "_to", "_steps", "_ended")
+        longer = going.join(on, "new").select("old", F.col("_to").alias("new"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"))
+        both = ways.where("ended or old = new").unionByName(longer)
+        ways = kept(both.groupBy("old", "new").agg(F.max("steps").alias("steps"), F.bool_or("ended").alias("ended")))
+    ends = ways.groupBy("old").agg(F.bool_or("ended").alias("_any"))
+    out = ways.where("ended").unionByName(ends.where("not _any").select("old", F.lit(None).cast("string").alias("new"), F.lit(None).cast("long").alias("steps"), F.lit(False).alias("ended")))
+    return out.select(F.col("old").alias("ad_number"), F.col("new").alias("effective"), "steps")
 
 
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,11 +136,12 @@ def page_spans(documents: DataFrame) -> DataFrame:
 
 
 def span_stats(spans: DataFrame, low: int = 80) -> DataFrame:
-    """Per page: spans by type, mean confidence of lines (null without any), lines to correct, and a sorted type list."""
+    """Per page: spans by type, the sum and mean of lines' confidence (null without any), lines to correct, and a sorted map of types."""
     line = F.col("span_type") == "LINE"
     return spans.groupBy("page_id").agg(
         F.count_if(line).alias("lines"), F.count_if(~line).alias("tables"), F.count_if(line & (F.col("confidence") < low)).alias("to_correct"),
         F.sum(F.when(line, F.col("confidence"))).cast("long").alias("confidence_sum"), F.array_join(F.array_sort(F.collect_set("span_type")), ",").alias("types"),
+        F.bround(F.avg(F.when(line, F.col("confidence"))).cast("decimal(18,9)"), 3).cast("decimal(9,3)").alias("confidence"),
     )
 
 
@@ -109,13 +159,29 @@ def anchor_clusters(spans: DataFrame, anchors: DataFrame, lookback: int = 140, g
     return met.groupBy("page_id", "anchor").agg(F.count("*").alias("spans"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
-def issue_diff(open_issues: DataFrame, found: DataFrame) -> DataFrame:
-    """Each signature once: opened, updated, unchanged or resolved. Signature columns are compared null-safe; the largest payload of a repeated one wins."""
-    o, f = (d.groupBy("issue_type", "subject").agg(F.max("payload").alias("payload")).withColumn("here", F.lit(True)) for d in (open_issues, found))
+#: The columns that make an issue the same one, and the types that a run may resolve.
+SIGNATURE = ("issue_type", "directive_id", "publication_id", "target_id", "source_snapshot_id", "discovery_record_id")
+MANAGED = (
+    "drs_source_degraded", "missing_federal_register_match", "ad_extraction_missing", "ad_extraction_incomplete",
+    "applicability_missing", "target_applicability_stale", "applicability_target_incomplete", "supersession_correction_conflict",
+)
+
+
+def issue_diff(open_issues: DataFrame, found: DataFrame, keys: tuple[str, ...] = SIGNATURE, managed: tuple[str, ...] = MANAGED) -> DataFrame:
+    """Each signature once: opened, updated, unchanged or resolved.
+
+    Signatures are compared null-safe. Of those found twice the one with the largest
+    payload counts. Open issues of other than the managed types are left alone.
+    """
+    o = open_issues.where(F.col("issue_type").isin(*managed))
+    o, f = (d.groupBy(*keys).agg(F.max(F.struct("payload", "severity")).alias("x")).withColumn("here", F.lit(True)) for d in (o, found))
     o, f = o.alias("o"), f.alias("f")
-    both = o.join(f, F.col("o.issue_type").eqNullSafe(F.col("f.issue_type")) & F.col("o.subject").eqNullSafe(F.col("f.subject")), "full_outer")
-    action = F.when(F.col("o.here").isNull(), "opened").when(F.col("f.here").isNull(), "resolved").when(F.col("o.payload").eqNullSafe(F.col("f.payload")), "unchanged").otherwise("updated")
-    return both.select(F.coalesce("f.issue_type", "o.issue_type").alias("issue_type"), F.coalesce("f.subject", "o.subject").alias("subject"), action.alias("action"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"f.{k}"))
+    both = o.join(f, same, "full_outer")
+    action = F.when(F.col("o.here").isNull(), "opened").when(F.col("f.here").isNull(), "resolved").when(F.col("o.x").eqNullSafe(F.col("f.x")), "unchanged").otherwise("updated")
+    return both.select(*(F.coalesce(f"f.{k}", f"o.{k}").alias(k) for k in keys), action.alias("action"))
 
 
 def job_completion(entries: DataFrame) -> DataFrame:

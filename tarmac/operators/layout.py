@@ -34,21 +34,44 @@ def region_specs(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(parts).alias("r")).select("page_id", "r.*")
 
 
-def native_text_gate(pages: DataFrame, least_words: int = 20) -> DataFrame:
-    """Whether a page's own text can be used: words, repeated lines and bad characters, route and reasons.
+#: Attributes of a page that keep its own text from being used, and the least (or most) of each measure.
+DISQUALIFYING = ("handwritten", "side_by_side", "faint", "degraded", "orientation_unverified", "layout_uncertain", "text_mode_uncertain")
+AT_LEAST = {"valid_glyph_ratio": 0.995, "positioned_ratio": 0.98, "plausible_font_ratio": 0.98, "extractor_agreement": 0.98}
+AT_MOST = {"duplicate_line_ratio": (0.05, 1.0), "image_coverage": (0.25, 0.0)}
+
+
+def native_text_metrics(pages: DataFrame) -> DataFrame:
+    """Per page of pages(page_id, text): words, lines, and the shares of valid characters and of repeated lines.
 
     All counts are taken inside the row: no shuffle. Null text counts as empty.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     out = pages.select(
-        "page_id", F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\r\n]+"), F.lit(0))).cast("long").alias("words"), F.size(lines).cast("long").alias("lines"),
+        *(c for c in pages.columns if c != "text"), F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\r\n]+"), F.lit(0))).cast("long").alias("words"), F.size(lines).cast("long").alias("lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("repeated"), F.length(F.regexp_replace(text, r"[^\x{FFFD}\x00-\x08]", "")).cast("long").alias("invalid"),
+        F.length(text).cast("long").alias("characters"),
     )
-    reasons = F.concat_ws(
-        ",", F.when(F.col("words") < least_words, "few_words"), F.when(F.col("invalid") > 0, "invalid_glyphs"), F.when(F.col("repeated") * 10 > F.col("lines"), "repeated_lines")
-    )
-    return out.withColumn("reasons", reasons).withColumn("route", F.when(F.col("reasons") == "", "native").otherwise("delegated"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return out.withColumns({"valid_glyph_ratio": share("characters", "characters") - share("invalid", "characters"), "duplicate_line_ratio": share("repeated", "lines")})
+
+
+def native_text_gate(pages: DataFrame, activated: bool = True) -> DataFrame:
+    """(page_id, eligible, bypass, reason, failed): nine criteria, all of which must hold for a page's own text to be used.
+
+    pages: page_id, reliable, routing_class, attributes and the measures of AT_LEAST and
+    AT_MOST. A null measure counts as none, a null share of repeated lines as all.
+    """
+    false = F.lit(False)
+    holds = {
+        "reliable": F.coalesce(F.col("reliable"), false), "routing_class": F.coalesce(F.col("routing_class") == "native_text", false),
+        "attributes": ~F.coalesce(F.arrays_overlap("attributes", F.array(*map(F.lit, DISQUALIFYING))), false),
+        **{c: F.coalesce(F.col(c), F.lit(0.0)) >= least for c, least in AT_LEAST.items()}, **{c: F.coalesce(F.col(c), F.lit(none)) <= most for c, (most, none) in AT_MOST.items()},
+    }
+    out = pages.select("page_id", F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in holds.items()))).alias("_failed"))
+    eligible = F.size("_failed") == 0
+    reason = F.when(eligible & activated, "native_text_gate_passed").when(eligible, "activation_not_enabled").otherwise("page_does_not_meet_native_text_gate")
+    return out.select("page_id", eligible.alias("eligible"), (eligible & activated).alias("bypass"), reason.alias("reason"), F.array_join("_failed", ",").alias("failed"))
 
 
 def remap_pages(delegated: DataFrame, routed: DataFrame) -> DataFrame:

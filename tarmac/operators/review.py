@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,44 +10,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def classify_document(title: Column, kind: Column) -> Column:
-    """Struct of class and confidence: directive wording, then a rule with a number, then any rule, else rejected."""
+def classify_document(kind: Column, *texts: Column) -> Column:
+    """(class, confidence) of a register document by its type, title, abstract and excerpts: directive wording, a rule with a number, any other rule, anything else."""
     said = lambda c, x: F.struct(F.lit(c).alias("class"), F.lit(x).cast("decimal(3,2)").alias("confidence"))
-    wording = F.lower(title).contains("airworthiness directive")
-    rule = F.upper(kind) == "RULE"
-    return F.when(wording, said("candidate", 0.96)).when(rule & title.rlike(r"\d{4}-\d{2}-\d{2}"), said("candidate", 0.78)).when(rule, said("rejected", 0.82)).otherwise(said("rejected", 0.90))
+    text = F.lower(F.concat_ws(" ", *texts))
+    rule = F.upper(F.coalesce(kind, F.lit(""))) == "RULE"
+    number = text.rlike(r"\b\d{4}-\d{2}-\d{2}\b")
+    return F.when(text.contains("airworthiness directive"), said("ad_candidate", 0.96)).when(rule & number, said("ad_candidate", 0.78)).when(rule, said("non_ad_rule", 0.82)).otherwise(said("rejected", 0.90))
 
 
-def entry_facts(entries: DataFrame) -> DataFrame:
-    """Action, directive number and disposition of each entry's text; a negation goes before any other disposition."""
-    body = F.lower("body")
-    kind = F.when(body.contains("not applicable"), "not_applicable").when(body.contains("complied"), "complied").when(body.contains("inspected"), "inspected").otherwise("mentioned")
-    return entries.withColumns({"action": F.nullif(F.regexp_extract(body, r"\b(inspected|complied|reviewed|replaced|repaired|installed)\b", 1), F.lit("")), "disposition": kind})
+#: How a credential is written, and a citation in a draft.
+CREDENTIAL = r"(?i)\b(?:A\s*&\s*P|IA|FAA\s+CRS|CRS|repair\s+station|certificate)\b|\b[A-Z0-9]{5,12}\b"
+CITATION = r"(?i)\bAD(?:s|'s)?\s*[:#]?\s*(\d{2,4})[-/](\d{1,2})[-/](\d{1,2})\b"
+_TIMES = ("tach_time", "hobbs_time", "total_time")
 
 
 def validate_candidates(drafts: DataFrame, today: str) -> DataFrame:
-    """Issues of each draft entry (sorted, joined by commas) and a status: any blocking issue rejects."""
-    issue = lambda c, name: F.when(c, F.lit(name))
-    found = F.array_compact(
-        F.array(
-            issue(F.col("entry_date").isNull(), "blocking:date_missing"),
-            issue(F.col("entry_date") > F.to_date(F.lit(today)), "blocking:date_in_future"),
-            issue(F.length(F.trim("body")) < 10, "blocking:description_short"),
-            issue(F.col("quantity") <= 0, "review:time_not_positive"),
-            issue(F.col("quantity") > 45, "review:time_above_total"),
-            issue(~F.lower("body").rlike("complied|inspected"), "review:no_performer"),
-        )
-    )
-    out = drafts.withColumn("_found", F.array_sort(found))
-    status = F.when(F.exists("_found", lambda x: x.startswith("blocking")), "rejected").when(F.size("_found") > 0, "passed_with_review").otherwise("passed")
-    return out.withColumns({"issues": F.array_join("_found", ","), "status": status}).drop("_found")
-
-
-def review_metrics(evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: entries, accepted fields, accepted share (6 places), exact median seconds; null where there is nothing to divide."""
-    out = evidence.groupBy(*keys).agg(F.count("*").alias("entries"), F.count_if(F.col("accepted")).alias("accepted"), F.percentile("seconds", 0.5).alias("median_seconds"))
-    share = F.try_divide(F.col("accepted").cast("decimal(18,0)"), F.col("entries").cast("decimal(18,0)"))
-    return out.withColumn("accepted_share", F.bround(share, 6).cast("decimal(18,6)"))
+    """drafts with issues (field, code, severity), a status, and the citations printed in their lines.
+
+    drafts: date_was_extracted, entry_date, description, tach_time, hobbs_time, total_time,
+    performer_name, performer_credential, spans (a map from field to its source text),
+    lines, requires_review. A zero counts only where its source says so. Any blocking
+    issue rejects; others leave the draft to a person.
+    """
+    c, spans = F.col, F.col("spans")
+    has = lambda f: F.coalesce(F.map_contains_key(spans, f), F.lit(False))
+    text = lambda f: F.coalesce(F.try_element_at(spans, F.lit(f)), F.lit(""))
+
+    def issue(holds: Column, field: str | None, code: str, severity: str = "blocking") -> Column:
+        return F.when(holds, F.struct(F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+
+    missing = ~F.coalesce(c("date_was_extracted"), F.lit(False)) | c("entry_date").isNull()
+    found = [
+        issue(missing, "entry_date", "source_supported_date_missing"),
+        issue(~missing & (c("entry_date") > F.to_date(F.lit(today))), "entry_date", "future_date"),
+        issue(~missing & (F.year("entry_date") < 1900), "entry_date", "implausible_historical_date"),
+        issue((F.trim(F.coalesce("description", F.lit(""))) == "") | ~has("description"), "description", "source_supported_description_missing"),
+    ]
+    for f in _TIMES:
+        zero = text(f).rlike(rf"(?i)\b{f.removesuffix('_time')}\b\s*[:=]?\s*0(?:\.0+)?\b")
+        found += [issue(c(f) < 0, f, "negative_time_value"), issue((c(f) == 0) & ~zero, f, "zero_not_explicit_in_source")]
+    found += [issue(c(f) > c("total_time"), f, f"{f}_exceeds_total_time") for f in _TIMES[:2]]
+    name, credential = F.coalesce("performer_name", F.lit("")), F.coalesce("performer_credential", F.lit(""))
+    found += [
+        issue((name != "") & ((F.length(F.trim(name)) < 3) | ~name.rlike("[A-Za-z]")), "performer_name", "performer_name_not_credible"),
+        issue((credential != "") & ~credential.rlike(CREDENTIAL), "performer_credential", "performer_credential_pattern_uncertain", "review"),
+        issue(F.coalesce(c("requires_review"), F.lit(False)), None, "multiple_entry_segmentation_requires_review", "review"),
+    ]
+    source = F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n")
+    cited = F.transform(F.regexp_extract_all(source, F.lit(CITATION), F.lit(0)), lambda x: F.concat_ws("-", *(F.regexp_extract(x, CITATION, k) for k in (1, 2, 3))))
+    out = drafts.withColumn("issues", F.array_compact(F.array(*found)))
+    status = F.when(F.exists("issues", lambda x: x["severity"] == "blocking"), "rejected").when(F.size("issues") > 0, "passed_with_review").otherwise("passed")
+    return out.withColumns({"status": status, "cited": F.array_sort(F.array_distinct(cited))})
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b to 6 places, half to even; null where b is 0."""
+    return F.bround(F.try_divide(a.cast("decimal(20,0)"), F.nullif(b, F.lit(0)).cast("decimal(18,0)")), 6).cast("decimal(18,6)")
+
+
+def review_metrics(entries: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: entries extracted, reviewed and verified, the rate, median seconds, mean edits, and the decisions on fields.
+
+    entries: keys, entry_id, review_status. outcomes: keys, seconds, edits, decisions (a map
+    from field to accepted, corrected, null or unresolved), one row for each reviewed entry.
+    The accepted share is that of accepted and corrected fields; null without any.
+    """
+    e = entries.groupBy(*keys).agg(F.countDistinct("entry_id").alias("extracted"), F.countDistinct(F.when(F.col("review_status") == "verified", F.col("entry_id"))).alias("verified"))
+    said = F.map_values(F.coalesce("decisions", F.create_map().cast("map<string,string>")))
+    n = lambda kind: F.coalesce(F.sum(F.size(F.filter(said, lambda x: x == kind))), F.lit(0)).alias(kind)
+    third = lambda c: F.bround(c.cast("decimal(28,9)"), 3).cast("decimal(18,3)")
+    o = outcomes.groupBy(*keys).agg(
+        F.count("*").alias("reviewed"), third(F.percentile("seconds", 0.5)).alias("median_seconds"), third(F.avg("edits")).alias("mean_edits"),
+        *(n(k) for k in ("accepted", "corrected", "null", "unresolved")), F.sum(F.size(said)).alias("decided"),
+    )
+    out = e.join(o, keys, "left")
+    count = lambda k: F.coalesce(k, F.lit(0)).cast("long")
+    return out.select(
+        *keys, "extracted", count("reviewed").alias("reviewed"), "verified", F.coalesce(_ratio(F.col("verified"), F.col("extracted")), F.lit(0).cast("decimal(18,6)")).alias("verification_rate"),
+        "median_seconds", "mean_edits", _ratio(F.col("accepted"), F.col("accepted") + F.col("corrected")).alias("accepted_share"),
+        *(count(k).alias(f"{k}_fields") for k in ("accepted", "decided", "unresolved", "null")),
+    )
 
 
 def sample_report(samples: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,58 +104,34 @@ def partition_check(assigned: DataFrame, item: str, part: str) -> DataFrame:
     return assigned.groupBy(item).agg(F.countDistinct(part).alias("parts")).where("parts > 1")
 
 
-#: Property names that are never stored.
-BLOCKED = ("raw_text", "description", "email", "password", "token", "secret")
+#: Property names that are never stored, and parts of names.
+BLOCKED = ("password", "token", "secret", "raw_text", "ocr_text", "file_content", "file_bytes", "corrected_text", "original_text", "message_body")
+BLOCKED_PARTS = ("password", "secret", "token")
 
 
-def sanitized(props: Column) -> Column:
-    """A flat JSON object's allowed properties, values cut to 256 characters, as a sorted list key=value."""
-    m = F.map_filter(F.from_json(props, "map<string,string>"), lambda k, v: ~F.lower(k).isin(*BLOCKED) & ~F.lower(k).rlike("password|secret|token"))
-    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.substring(e["value"], 1, 256)))), ",")
-
-
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio to 6 places; null texts are empty."""
-    import difflib
-
-    return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 6) for x, y in zip(a, b)])
-
+def _clean(value):
+    """Nested properties without blocked names; texts up to 256 characters, lists up to 20 items."""
+    if isinstance(value, dict):
+        return {k: _clean(v) for k, v in value.items() if k.lower() not in BLOCKED and not any(x in k.lower() for x in BLOCKED_PARTS)}
+    if isinstance(value, list):
+        return [_clean(v) for v in value[:20]]
+    return value[:256] if isinstance(value, str) else value
 
-def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.withColumn("ratio", F.pandas_udf(similarity, "double")(F.col(a), F.col(b)))
 
+def _sanitized(props: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            found = json.loads(text or "{}")
+        except ValueError:
+            return "{}"
+        return json.dumps(_clean(found) if isinstance(found, dict) else {}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-def html_to_text(htmls: pd.Series) -> pd.Series:
-    """Visible text: break tags end lines, scripts and styles go, entities are decoded, blanks collapse."""
-    from html.parser import HTMLParser
+    return props.map(one)
 
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts, self.hidden = [], 0
 
-        def handle_starttag(self, tag, attrs):
-            self.hidden += tag in ("script", "style")
-            if tag in ("br", "p", "div", "tr", "li", "table", "h1", "h2", "h3"):
-                self.parts.append("\n")
-
-        def handle_endtag(self, tag):
-            self.hidden -= tag in ("script", "style") and self.hidden > 0
-            if tag in ("p", "div", "tr", "li", "table", "h1", "h2", "h3"):
-                self.parts.append("\n")
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.parts.append(data)
-
-    out = []
-    for html in htmls:
-        reader = Reader()
-        reader.feed(html or "")
-        reader.close()
-        lines = (" ".join(x.split()) for x in "".join(reader.parts).split("\n"))
-        out.append("\n".join(x for x in lines if x))
-    return pd.Series(out)
+def sanitized(props: Column) -> Column:
+    """A JSON object's properties that may be stored, with keys in order; what is no object becomes an empty one. JSON nests to any depth, so Arrow batches in Python."""
+    return F.pandas_udf(_sanitized, "string")(props)
 
 
 def extract_with(directives: DataFrame, cache: DataFrame, user_fn, schema: str, keys: list[str]) -> DataFrame:

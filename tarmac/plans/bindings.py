@@ -9,7 +9,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-NUMBER = "(1941 + {k} % 85) || '-' || lpad(CAST(1 + {k} % 26 AS STRING), 2, '0') || '-' || lpad(CAST(1 + {k} % 20 AS STRING), 2, '0')"
+#: One number for each key, up to 80 million keys: the year takes what the other parts leave.
+NUMBER = (
+    "(1941 + {k} % 85 + 85 * CAST(floor({k} / 850000) AS BIGINT)) || '-' || lpad(CAST(CAST(floor({k} / 85) AS BIGINT) % 100 AS STRING), 2, '0')"
+    " || '-' || lpad(CAST(CAST(floor({k} / 8500) AS BIGINT) % 100 AS STRING), 2, '0')"
+)
 
 BINDINGS: dict[str, str] = {
     "aircraft": """
@@ -32,8 +36,8 @@ BINDINGS: dict[str, str] = {
         FROM {{part}}""",
     "entries": f"""
         SELECT l.l_orderkey AS entry_id, l.l_linenumber AS line_no, o.o_custkey AS aircraft_id, CAST(l.l_shipdate AS DATE) AS entry_date,
-               CASE l.l_linenumber % 4 WHEN 0 THEN 'complied with' WHEN 1 THEN 'inspected per' WHEN 2 THEN 'reviewed' ELSE 'not applicable' END
-                   || ' AD ' || {NUMBER.format(k='l.l_partkey')} || ' ' || p.p_name AS body,
+               CASE l.l_linenumber % 4 WHEN 0 THEN 'complied with AD ' WHEN 1 THEN 'inspected per AD ' WHEN 2 THEN 'reviewed ' ELSE 'not applicable AD ' END
+                   || {NUMBER.format(k='l.l_partkey')} || ' ' || p.p_name || CASE WHEN l.l_linenumber % 3 = 0 THEN ' ' || p.p_type ELSE '' END AS body,
                CASE WHEN l.l_returnflag = 'R' THEN 'needs_review' ELSE 'verified' END AS review_status, l.l_partkey AS part_id, l.l_quantity AS quantity
         FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey JOIN {{part}} p ON p.p_partkey = l.l_partkey""",
     "ocr_runs": """
@@ -43,7 +47,9 @@ BINDINGS: dict[str, str] = {
                CAST(l_quantity AS INT) AS pages, CASE WHEN l_linestatus = 'O' THEN 'page' ELSE 'second' END AS unit,
                CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(0.004 AS DECIMAL(18,8)) END AS rate,
                CASE WHEN l_linenumber % 3 = 0 THEN CAST(0.015 AS DECIMAL(18,8)) ELSE NULL END AS estimate,
-               'provider-' || (l_linenumber % 3) AS provider, CAST(l_shipdate AS DATE) AS created
+               'provider-' || (l_linenumber % 3) AS provider, 'v' || (l_linenumber % 2) AS version, CASE WHEN l_linenumber % 4 = 0 THEN 'aws' WHEN l_linenumber % 4 = 1 THEN ' ' END AS channel,
+               CASE WHEN l_suppkey % 2 = 0 THEN 'sync' END AS mode, CAST(NULL AS STRING) AS routing,
+               CASE l_suppkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '-2' WHEN 2 THEN 'many' END AS bypass, CASE WHEN l_suppkey % 7 = 0 THEN '4' END AS counted, CAST(l_shipdate AS DATE) AS created
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey""",
     "events_state": """
         SELECT event_id, user_id AS aircraft_id, ts AS event_time,
@@ -51,9 +57,9 @@ BINDINGS: dict[str, str] = {
         FROM {events}""",
     "edges": f"""
         SELECT {NUMBER.format(k='p_partkey')} AS ad_number, {NUMBER.format(k='(p_partkey - 85)')} AS supersedes
-        FROM {{part}} WHERE p_partkey >= 85 AND p_partkey % 4 < 2""",
+        FROM {{part}} WHERE p_partkey >= 85 AND p_partkey % 85 < 10""",
 }
-TABLES = "region nation customer supplier part orders lineitem events documents conversations labels pages benchmark".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations labels pages benchmark embeddings".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

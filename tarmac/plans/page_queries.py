@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import extraction, jobs, layout
+from tarmac.operators import extraction, fleet, jobs, layout
 from tarmac.plans.bindings import NUMBER, TABLES, bind, table
-from tarmac.plans.queries import _MATCH, _hits, evidence_rank, query
+from tarmac.plans.queries import _EVIDENCE, _MATCH, _facts, _hits, evidence_rank, query
+from tarmac.streaming.folders import shared_folder
 from tarmac.streaming import status
 
 _RECORDS = f"""SELECT p_partkey AS directive_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE {NUMBER.format(k='p_partkey')} END AS ad_number,
@@ -67,20 +66,19 @@ def product_text_match(spark, sf_dir):
     return extraction.contained(terms, products).join(terms, "term").join(products, "product").select("term", "product", "aircraft", "directives")
 
 
-@query("""{match}, b AS (SELECT aircraft_id, directive_id, max(confidence) AS best FROM ({rank}) GROUP BY ALL),
-    p AS (SELECT aircraft_id, directive_id, bool_or(role <> 'airframe') AS ns FROM hits GROUP BY ALL),
-    f AS (SELECT directive_id, ad_number IN (SELECT supersedes FROM edges) AS sup FROM directives),
-    s AS (SELECT aircraft_id, directive_id, best, ns, sup, coalesce(best, 0.420) AS c FROM p LEFT JOIN b USING (aircraft_id, directive_id) JOIN f USING (directive_id))
-    SELECT aircraft_id, directive_id, CAST(CASE WHEN ns THEN least(CASE WHEN sup THEN least(c, 0.68) ELSE c END, 0.72) WHEN sup THEN least(c, 0.68) ELSE c END AS DECIMAL(4,3)) AS confidence,
-           concat_ws(',', CASE WHEN ns THEN 'serial_unknown' END, CASE WHEN sup THEN 'superseded' END) AS reasons,
-           CASE WHEN best IS NOT NULL AND NOT ns AND NOT sup THEN 'candidate_satisfied' ELSE 'needs_adjudication' END AS status FROM s""".format(
-    match="WITH " + _MATCH.strip(),
-    rank="""WITH e AS (SELECT *, regexp_extract(body, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS no, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]{3,}')) AS w FROM entries WHERE review_status = 'verified'),
-        d AS (SELECT directive_id, ad_number, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{3,}')) AS tw FROM directives)
-        SELECT aircraft_id, directive_id, CAST(least(CASE WHEN body LIKE 'complied%' OR body LIKE 'inspected%' THEN 820 ELSE 450 END + least(25 * len(list_intersect(w, tw)), 100), 950) / 1000 AS DECIMAL(4,3)) AS confidence
-        FROM e JOIN d ON d.ad_number = e.no"""))
+@query("WITH " + _EVIDENCE.strip() + """, top AS (SELECT * FROM evidence WHERE place = 1), b AS (SELECT aircraft_id, directive_id, min(role) AS role FROM hits GROUP BY ALL),
+    f AS (SELECT directive_id, CASE WHEN size > 40 THEN 'simple_recurring' ELSE 'one_time' END AS match_type,
+          [CASE WHEN make IS NULL AND model IS NULL THEN 'applicability_unknown' END, CASE WHEN size > 40 THEN 'recurring_due_status_unknown' END, CASE WHEN size > 40 AND size <= 45 THEN 'recurring_interval_unstructured' END,
+           CASE WHEN directive_id % 7 = 0 THEN 'compliance_action_unknown' END, CASE WHEN ad_number IN (SELECT supersedes FROM edges) THEN 'directive_superseded' END] AS open FROM directives),
+    r AS (SELECT aircraft_id, directive_id, role, match_type, confidence AS best, role <> 'airframe' AS ns,
+          list_filter(list_concat(open, [CASE WHEN confidence IS NOT NULL AND disposition IS NULL THEN 'explicit_ad_reference_missing' END, CASE WHEN confidence IS NOT NULL AND coalesce(disposition, '') NOT IN ('complied', 'inspected') THEN 'explicit_compliance_claim_missing' END]), lambda x: x IS NOT NULL) AS why
+          FROM b LEFT JOIN top USING (aircraft_id, directive_id) JOIN f USING (directive_id))
+    SELECT aircraft_id, directive_id, role, match_type, CAST(least(CASE WHEN len(why) > 0 THEN 0.68 ELSE 1 END, CASE WHEN ns THEN 0.72 ELSE 1 END, coalesce(best, 0.42)) AS DECIMAL(4,3)) AS confidence,
+           array_to_string(list_sort(list_concat(why, CASE WHEN ns THEN ['component_serial_unknown'] ELSE [] END)), ',') AS reasons,
+           CASE WHEN best IS NOT NULL AND len(why) = 0 AND NOT ns THEN 'candidate_satisfied' ELSE 'needs_adjudication' END AS status FROM r""".replace("WITH WITH", "WITH"))
 def match_results(spark, sf_dir):
-    return extraction.match_results(_hits(spark, sf_dir), evidence_rank(spark, sf_dir), bind(spark, sf_dir, "directives"), bind(spark, sf_dir, "edges"))
+    best = fleet.best_component(_hits(spark, sf_dir), fleet.components_long(bind(spark, sf_dir, "aircraft")))
+    return extraction.match_results(best, evidence_rank(spark, sf_dir), _facts(spark, sf_dir), bind(spark, sf_dir, "edges"))
 
 
 @query("SELECT entry_id, line_no, part_id, quantity, entry_date FROM entries")
@@ -120,13 +118,31 @@ def region_specs(spark, sf_dir):
     return layout.region_specs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), tags.alias("attributes")))
 
 
-@query(r"""WITH g AS (SELECT doc_id AS page_id, CAST(len(regexp_extract_all(text, '[^ \t\r\n]+')) AS BIGINT) AS words, [x for x in string_split(text, chr(10)) if trim(x) <> ''] AS ls,
-    length(regexp_replace(text, '[^\x{FFFD}\x00-\x08]', '', 'g')) AS invalid FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-    c AS (SELECT page_id, words, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS repeated, invalid FROM g),
-    r AS (SELECT *, concat_ws(',', CASE WHEN words < 20 THEN 'few_words' END, CASE WHEN invalid > 0 THEN 'invalid_glyphs' END, CASE WHEN repeated * 10 > lines THEN 'repeated_lines' END) AS reasons FROM c)
-    SELECT *, CASE WHEN reasons = '' THEN 'native' ELSE 'delegated' END AS route FROM r""")
+_METRICS = r"""g AS (SELECT doc_id AS page_id, text, CAST(len(regexp_extract_all(text, '[^ \t\r\n]+')) AS BIGINT) AS words, [x for x in string_split(text, chr(10)) if trim(x) <> ''] AS ls,
+        length(regexp_replace(text, '[^\x{FFFD}\x00-\x08]', '', 'g')) AS invalid FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    m AS (SELECT page_id, words, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS repeated, invalid, length(text) AS characters FROM g)"""
+
+
+def _page_metrics(spark, sf_dir):
+    return layout.native_text_metrics(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+
+
+@query(f"WITH {_METRICS} SELECT * FROM m")
+def native_text_metrics(spark, sf_dir):
+    return _page_metrics(spark, sf_dir).select("page_id", "words", "lines", "repeated", "invalid", "characters")
+
+
+@query(f"""WITH {_METRICS}, f AS (SELECT page_id, concat_ws(',', CASE WHEN words < 20 THEN 'reliable' END, CASE WHEN page_id % 13 = 0 THEN 'routing_class' END, CASE WHEN page_id % 4 = 0 THEN 'attributes' END,
+        CASE WHEN characters = 0 OR (characters - invalid) < 0.995 * characters THEN 'valid_glyph_ratio' END, CASE WHEN page_id % 6 = 0 THEN 'positioned_ratio' END, CASE WHEN page_id % 9 = 0 THEN 'extractor_agreement' END,
+        CASE WHEN repeated > 0.05 * lines THEN 'duplicate_line_ratio' END, CASE WHEN page_id % 5 = 4 THEN 'image_coverage' END) AS failed FROM m)
+    SELECT page_id, failed = '' AS eligible, failed = '' AS bypass, CASE WHEN failed = '' THEN 'native_text_gate_passed' ELSE 'page_does_not_meet_native_text_gate' END AS reason, failed FROM f""")
 def native_text_gate(spark, sf_dir):
-    return layout.native_text_gate(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+    m, k = _page_metrics(spark, sf_dir), F.col("page_id")
+    pages = m.withColumns({
+        "reliable": F.col("words") >= 20, "routing_class": F.when(k % 13 != 0, "native_text"), "attributes": F.when(k % 4 == 0, F.array(F.lit("skewed"), F.lit("faint"))).when(k % 4 == 1, F.array(F.lit("skewed"))),
+        "positioned_ratio": F.when(k % 6 != 0, F.lit(0.98)), "plausible_font_ratio": F.lit(1.0), "extractor_agreement": F.when(k % 9 == 0, F.lit(0.97)).otherwise(0.99), "image_coverage": F.when(k % 5 == 4, F.lit(0.3)).when(k % 5 == 3, F.lit(0.25)),
+    })
+    return layout.native_text_gate(pages)
 
 
 @query("""WITH r AS (SELECT doc_id // 50 AS upload_id, doc_id AS page_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS subset_page FROM documents WHERE n_chars % 3 = 0),
@@ -152,23 +168,15 @@ def stage_attempts(spark, sf_dir):
     return layout.stage_attempts(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-_LISTED = [t for t in TABLES if t != "benchmark"]
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS rows, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {t})) AS columns" for t in _LISTED))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS rows, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {t})) AS columns" for t in TABLES))
 def source_inventory(spark, sf_dir):
-    return layout.inventory({t: table(spark, sf_dir, t) for t in _LISTED})
-
-
-def _stream_root(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarmac-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return layout.inventory({t: table(spark, sf_dir, t) for t in TABLES})
 
 
 @query("SELECT event_type AS workflow_type, user_id AS workflow_id, arg_max(event_id, (ts, event_id)) AS state FROM events GROUP BY ALL")
 def stream_workflow_state(spark, sf_dir):
     """The last transition of each workflow, by a streaming aggregate."""
-    root = _stream_root(spark)
+    root = shared_folder(spark, "stream")
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
     rows = stream.select(F.col("event_type").alias("workflow_type"), F.col("user_id").alias("workflow_id"), "ts", F.col("event_id").alias("state"))
     status.run_available(status.stream_latest(rows, ["workflow_type", "workflow_id"], ["ts"], "state"), f"{root}/checkpoint", f"{root}/out")
@@ -178,7 +186,7 @@ def stream_workflow_state(spark, sf_dir):
 @query("SELECT ad_number, max(directive_id) AS directive_id, arg_max(title, directive_id) AS title FROM directives GROUP BY ad_number")
 def stream_discovery(spark, sf_dir):
     """Directive rows as a stream into an append-only log; the last row of a number counts."""
-    root = _stream_root(spark)
+    root = shared_folder(spark, "stream")
     stream = status.event_stream(spark, sf_dir, "part.parquet", table(spark, sf_dir, "part"))
     rows = spark.sql(f"SELECT {NUMBER.format(k='p_partkey')} AS ad_number, p_partkey AS directive_id, p_name AS title FROM {{part}}", part=stream)
     status.log_available(rows, f"{root}/checkpoint", f"{root}/log", lambda b: jobs.latest(b, ["ad_number"], ["directive_id"]))
@@ -188,7 +196,7 @@ def stream_discovery(spark, sf_dir):
 @query(f"WITH {_MATCH.strip().removeprefix('WITH')}, c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') SELECT DISTINCT aircraft_id FROM hits WHERE directive_id IN (SELECT user_id FROM c)")
 def stream_invalidation(spark, sf_dir):
     """Aircraft to be matched anew: changed directives, as a stream, joined with the matches."""
-    root, matches = _stream_root(spark), _hits(spark, sf_dir)
+    root, matches = shared_folder(spark, "stream"), _hits(spark, sf_dir)
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
     changed = stream.where("event_type = 'error'").select(F.col("user_id").alias("directive_id"))
     status.log_available(changed, f"{root}/checkpoint", f"{root}/log", lambda b: matches.join(b.distinct(), "directive_id", "left_semi").select("aircraft_id").distinct())

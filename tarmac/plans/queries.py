@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from tarmac.functions import text as tx
 from tarmac.operators import fleet, jobs
 from tarmac.plans.bindings import bind, table, with_bindings
 from tarmac.streaming import status
+from tarmac.streaming.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,26 +30,38 @@ def query(sql: str | None = None):
 
 
 _BILLING = """
-    SELECT account, aircraft, provider, CAST(grouping_id(account, aircraft, provider) AS INT) AS level,
-           count(*) FILTER (done) AS runs, count(*) FILTER (NOT done) AS excluded, count(DISTINCT CASE WHEN done THEN upload_id END) AS uploads,
-           CAST(sum(p) AS BIGINT) AS pages, CAST(sum(CASE WHEN billing_status = 'chargeable' THEN p ELSE 0 END) AS BIGINT) AS chargeable_pages,
-           CAST(sum(CASE WHEN billing_status = 'not_billable' THEN p ELSE 0 END) AS BIGINT) AS free_pages,
+    SELECT account, aircraft, provider, version, channel, mode, routing, CAST(grouping_id(account, aircraft, provider, version, channel, mode, routing) AS INT) AS level,
+           count(*) FILTER (done) AS runs, count(DISTINCT CASE WHEN done THEN upload_id END) AS uploads, count(*) FILTER (done AND (acc IS NULL OR air IS NULL)) AS unattributed,
+           count(*) FILTER (done AND c IS NULL) AS unpriced, {per_kind}, count(*) FILTER (done AND unit <> 'page') AS not_by_page,
+           CAST(coalesce(sum(CASE WHEN done THEN CASE WHEN regexp_full_match(bypass, '[0-9]+') THEN CAST(bypass AS BIGINT) ELSE 0 END END), 0) AS BIGINT) AS bypass_pages,
+           CAST(coalesce(sum(CASE WHEN done THEN CASE WHEN counted IS NOT NULL THEN CAST(counted AS BIGINT) WHEN channel_tag = 'aws' THEN p ELSE 0 END END), 0) AS BIGINT) AS counted_pages,
            CAST(coalesce(sum(c), 0) AS DECIMAL(18,6)) AS cost,
-           CAST(coalesce(sum(CASE WHEN billing_status = 'chargeable' THEN c END), 0) AS DECIMAL(18,6)) AS chargeable_cost,
-           count(*) FILTER (done AND c IS NOT NULL) AS priced, count(*) FILTER (done AND c IS NULL) AS unpriced
-    FROM (SELECT *, status = 'complete' AS done, CASE WHEN status = 'complete' AND unit = 'page' THEN pages ELSE 0 END AS p,
-                 CASE WHEN status = 'complete' THEN CAST(coalesce(estimate, rate * pages) AS DECIMAL(18,6)) END AS c FROM ocr_runs {where})
-    GROUP BY GROUPING SETS ((), (account, aircraft), (account, aircraft, provider))"""
+           CASE WHEN grouping_id(account, aircraft, provider, version, channel, mode, routing) = 127 THEN count(DISTINCT CASE WHEN done THEN coalesce(acc, '?') || '/' || coalesce(air, '?') END) END AS groups,
+           CASE WHEN grouping_id(account, aircraft, provider, version, channel, mode, routing) = 127 THEN count(*) FILTER (NOT done) END AS excluded
+    FROM (SELECT * EXCLUDE (channel), nullif(trim(channel), '') AS channel, channel AS channel_tag, account AS acc, aircraft AS air, status = 'complete' AS done, CASE WHEN status = 'complete' THEN CASE WHEN unit = 'page' THEN pages ELSE 0 END END AS p,
+                 CASE WHEN billing_status IN ('chargeable', 'not_billable') THEN billing_status ELSE 'other' END AS kind,
+                 CASE WHEN status = 'complete' THEN CAST(coalesce(estimate, CASE WHEN unit = 'page' THEN rate * pages END) AS DECIMAL(18,6)) END AS c FROM ocr_runs {{where}})
+    GROUP BY GROUPING SETS ((), (account, aircraft), (account, aircraft, provider, version, channel, mode, routing))
+    HAVING grouping_id(account, aircraft, provider, version, channel, mode, routing) = 127 OR count(*) FILTER (done) > 0""".format(per_kind=", ".join(
+    f"""count(*) FILTER (done AND c IS NULL AND kind = '{k}') AS {k}_unpriced, CAST(coalesce(sum(CASE WHEN kind = '{k}' THEN p END), 0) AS BIGINT) AS {k}_pages,
+        CAST(coalesce(sum(CASE WHEN kind = '{k}' THEN c END), 0) AS DECIMAL(18,6)) AS {k}_cost""" for k in ("chargeable", "not_billable", "other")))
+
+
+def _runs(spark, sf_dir):
+    """The bound runs with their tags as a map, as the source has them."""
+    named = {"provider_channel": "channel", "provider_mode": "mode", "routing_mode": "routing", "native_bypass_page_count": "bypass", "textract_page_count": "counted"}
+    tags = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in named.items())), lambda x: x["value"].isNotNull()))
+    return bind(spark, sf_dir, "ocr_runs").withColumn("tags", tags).drop(*named.values())
 
 
 @query(_BILLING.format(where=""))
 def billing_summary(spark, sf_dir):
-    return jobs.billing_summary(bind(spark, sf_dir, "ocr_runs"))
+    return jobs.billing_summary(_runs(spark, sf_dir))
 
 
-@query(_BILLING.format(where="WHERE created >= DATE '1998-01-01' AND created < DATE '1998-07-01'"))
+@query(_BILLING.format(where="WHERE created >= DATE '1998-01-01' AND created < DATE '1998-07-01' AND billing_status = 'chargeable'"))
 def billing_period_filtered(spark, sf_dir):
-    return jobs.billing_summary(bind(spark, sf_dir, "ocr_runs"), "1998-01-01", "1998-07-01")
+    return jobs.billing_summary(_runs(spark, sf_dir), "1998-01-01", "1998-07-01", account=" ", billing="chargeable")
 
 
 _COMPONENTS = """
@@ -77,9 +89,9 @@ def visible_aircraft(spark, sf_dir):
     return both.select("aircraft_id", tx.registration(F.col("number_raw")).alias("number")).distinct()
 
 
-_STATUS = """CASE WHEN lower(trim(source_status)) IN ('current', 'active', 'published', 'effective') THEN 'current'
-             WHEN lower(trim(source_status)) LIKE '%supersed%' THEN 'superseded' WHEN lower(trim(source_status)) LIKE '%rescind%' THEN 'rescinded'
-             ELSE regexp_replace(lower(trim(source_status)), '[^a-z0-9]+', '_', 'g') END"""
+_STATUS = """CASE WHEN lower(trim(source_status)) IN ('active', 'current', 'final', 'published') THEN 'current'
+             WHEN lower(trim(source_status)) LIKE '%supersed%' THEN 'superseded' WHEN lower(trim(source_status)) LIKE '%cancel%' OR lower(trim(source_status)) LIKE '%rescinded%' THEN 'rescinded'
+             ELSE substr(replace(lower(trim(source_status)), ' ', '_'), 1, 64) END"""
 _KEY = "lower(trim(product_type)) || '|' || coalesce(lower(trim(make)), '') || '|' || coalesce(lower(trim(model)), '')"
 
 
@@ -121,21 +133,11 @@ def component_targets(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
-@query("""
-    WITH a AS (SELECT aircraft_id, regexp_replace(lower(make), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(model), '[^a-z0-9]', '', 'g') || 'x' AS cd FROM aircraft),
-         t AS (SELECT directive_id, regexp_replace(lower(make), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(model), '[^a-z0-9]', '', 'g') AS td FROM directives)
-    SELECT aircraft_id, directive_id FROM a JOIN t ON cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
-        AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4""")
-def uncertain_identity(spark, sf_dir):
-    planes = bind(spark, sf_dir, "aircraft").withColumn("model", F.concat("model", F.lit("X")))
-    return fleet.uncertain_identity(fleet.components_long(planes), bind(spark, sf_dir, "directives"))
-
-
 @query(f"""
     WITH {_MATCH}, c AS (SELECT aircraft_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS cd FROM components),
          n AS (SELECT directive_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS td FROM t)
     SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role)
-    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '' AND (tm = '' OR tm = cm))
+    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '')
        OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
            AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)""")
 def uncertain_components(spark, sf_dir):
@@ -143,6 +145,19 @@ def uncertain_components(spark, sf_dir):
     return fleet.uncertain_components(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir))
 
 
+@query(f"""
+    WITH {_MATCH}, c AS (SELECT aircraft_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') || CASE WHEN role = 'airframe' THEN 'x' ELSE '' END AS cd FROM components),
+         n AS (SELECT directive_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS td FROM t)
+    SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role)
+    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '')
+       OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
+           AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)""")
+def uncertain_identity(spark, sf_dir):
+    """The same where each airframe's model has one letter more than a target's."""
+    planes = bind(spark, sf_dir, "aircraft").withColumn("model", F.concat("model", F.lit("X")))
+    return fleet.uncertain_components(fleet.components_long(planes), _directives(spark, sf_dir))
+
+
 @query(f"""
     WITH d AS (SELECT *, {_STATUS} AS st, {_KEY} AS target_key FROM directives),
          g AS (SELECT target_key, count(DISTINCT CASE WHEN st = 'current' THEN directive_id END) AS directives, count(DISTINCT ad_number) AS publications,
@@ -163,16 +178,32 @@ def coverage_status(spark, sf_dir):
     return fleet.coverage_status(fleet.components_long(bind(spark, sf_dir, "aircraft")), covered)
 
 
-@query("""
-    WITH e AS (SELECT *, regexp_extract(body, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS no, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]{3,}')) AS w FROM entries WHERE review_status = 'verified'),
-         d AS (SELECT directive_id, ad_number, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{3,}')) AS tw FROM directives),
-         s AS (SELECT aircraft_id, directive_id, entry_id, line_no, entry_date, quantity,
-                      CAST(least(CASE WHEN body LIKE 'complied%' OR body LIKE 'inspected%' THEN 820 ELSE 450 END + least(25 * len(list_intersect(w, tw)), 100), 950) / 1000 AS DECIMAL(4,3)) AS confidence
-               FROM e JOIN d ON d.ad_number = e.no),
-         r AS (SELECT *, row_number() OVER (PARTITION BY aircraft_id, directive_id ORDER BY confidence DESC, entry_date DESC, entry_id DESC, line_no DESC, quantity DESC) AS place FROM s)
-    SELECT * FROM r WHERE place <= 5""")
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9-][a-z0-9-]+')), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'all', 'model'))"
+_EVIDENCE = f"""{_MATCH}, pairs AS (SELECT DISTINCT aircraft_id, directive_id FROM hits),
+    e AS (SELECT DISTINCT aircraft_id, entry_id, line_no, entry_date, quantity, body, {_WORDS.format('body')} AS w FROM entries WHERE review_status = 'verified'),
+    k AS (SELECT directive_id, ad_number, {_WORDS.format('title')} AS tw, {_WORDS.format("concat_ws(' ', make, model)")} AS pw,
+                 ['comply', 'complied', 'compliance', 'inspect', 'inspection', 'replace', 'replaced', 'modify', 'modified', 'polish', 'tighten'] AS aw FROM directives),
+    s AS (SELECT aircraft_id, directive_id, entry_id, line_no, entry_date, quantity,
+                 CASE WHEN contains(body, ' AD ' || ad_number) THEN CASE line_no % 4 WHEN 0 THEN 'complied' WHEN 1 THEN 'inspected' ELSE 'not_applicable' END END AS disposition,
+                 least(950, CASE WHEN NOT contains(body, ad_number) THEN 0 WHEN line_no % 4 < 2 THEN 820 ELSE 450 END + least(160, 40 * len(list_intersect(w, pw)))
+                     + least(180, 40 * len(list_intersect(w, aw))) + least(100, 25 * len(list_intersect(w, tw)))) AS points
+          FROM pairs JOIN e USING (aircraft_id) JOIN k USING (directive_id)),
+    evidence AS (SELECT * EXCLUDE (points), CAST(points / 1000 AS DECIMAL(4,3)) AS confidence,
+                        row_number() OVER (PARTITION BY aircraft_id, directive_id ORDER BY points DESC, entry_date DESC, entry_id DESC, line_no DESC, quantity DESC) AS place FROM s WHERE points >= 200)"""
+
+
+def _facts(spark, sf_dir):
+    """Directives with what their extraction says of products, actions and intervals."""
+    d = bind(spark, sf_dir, "directives")
+    return d.withColumns({
+        "products": F.array_compact(F.array("make", "model")), "actions": F.when(F.col("directive_id") % 7 != 0, F.array(F.lit("Polish and tighten"))),
+        "intervals": F.when(F.col("size") > 40, F.array(F.lit("100 hours"))), "structured_intervals": F.col("size") > 45,
+    })
+
+
+@query(f"WITH {_EVIDENCE} SELECT * FROM evidence WHERE place <= 5".replace("'polish', 'tighten'] AS aw", "'polish', 'tighten'][:CASE WHEN directive_id % 7 = 0 THEN 9 ELSE 11 END] AS aw"))
 def evidence_rank(spark, sf_dir):
-    return fleet.candidate_evidence(bind(spark, sf_dir, "entries"), bind(spark, sf_dir, "directives"))
+    return fleet.candidate_evidence(bind(spark, sf_dir, "entries"), _facts(spark, sf_dir), _hits(spark, sf_dir))
 
 
 _STATE = """
@@ -189,10 +220,7 @@ def matcher_status(spark, sf_dir):
 @query(_STATE)
 def stream_status(spark, sf_dir):
     """The same by Structured Streaming over the event files, into the cluster's shared folder."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarmac-stream-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    root = shared_folder(spark, "stream")
     from tarmac.plans.bindings import BINDINGS
 
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
@@ -222,9 +250,9 @@ def source_gap_sample(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT supersedes AS old, max(ad_number) AS new FROM edges WHERE ad_number > supersedes GROUP BY supersedes),
-    chain AS (SELECT old AS ad_number, new AS effective, 1 AS steps FROM e UNION ALL SELECT c.ad_number, e.new, c.steps + 1 FROM chain c JOIN e ON e.old = c.effective WHERE c.steps < 20)
-    SELECT ad_number, arg_max(effective, steps) AS effective, max(steps) AS steps FROM chain GROUP BY ad_number""")
+    WITH RECURSIVE e AS (SELECT DISTINCT supersedes AS old, ad_number AS new FROM edges WHERE ad_number <> supersedes),
+    chain AS (SELECT old, new, CAST(1 AS BIGINT) AS steps FROM e UNION ALL SELECT c.old, e.new, c.steps + 1 FROM chain c JOIN e ON e.old = c.new)
+    SELECT old AS ad_number, new AS effective, max(steps) AS steps FROM chain WHERE new NOT IN (SELECT old FROM e) GROUP BY old, new""")
 def effective_directives(spark, sf_dir):
     return jobs.effective_directives(bind(spark, sf_dir, "edges"))
 
@@ -248,6 +276,7 @@ _SPANS = """
 
 @query(f"""WITH {_SPANS} SELECT page_id, count(*) FILTER (span_type = 'LINE') AS lines, count(*) FILTER (span_type <> 'LINE') AS tables,
     count(*) FILTER (span_type = 'LINE' AND confidence < 80) AS to_correct, CAST(sum(CASE WHEN span_type = 'LINE' THEN confidence END) AS BIGINT) AS confidence_sum,
+    CAST(round_even(CAST(avg(CASE WHEN span_type = 'LINE' THEN confidence END) AS DECIMAL(18,9)), 3) AS DECIMAL(9,3)) AS confidence,
     string_agg(DISTINCT span_type, ',' ORDER BY span_type) AS types FROM spans GROUP BY page_id""")
 def span_stats(spark, sf_dir):
     return jobs.span_stats(jobs.page_spans(table(spark, sf_dir, "documents")))
@@ -261,15 +290,24 @@ def anchor_clusters(spark, sf_dir):
     return jobs.anchor_clusters(spans, spans.where("line_no % 3 = 0"))
 
 
-@query("""
-    WITH o AS (SELECT CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS issue_type, p_name AS subject, max(p_size) AS payload FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL),
-         f AS (SELECT CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS issue_type, p_name AS subject, max(p_size) AS payload FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
-    SELECT CASE WHEN f.payload IS NULL THEN o.issue_type ELSE f.issue_type END AS issue_type, coalesce(f.subject, o.subject) AS subject,
-           CASE WHEN o.payload IS NULL THEN 'opened' WHEN f.payload IS NULL THEN 'resolved' WHEN o.payload = f.payload THEN 'unchanged' ELSE 'updated' END AS action
-    FROM o FULL JOIN f ON o.subject = f.subject AND coalesce(o.issue_type, '?') = coalesce(f.issue_type, '?')""")
+_ISSUES = """SELECT {columns}, max(payload) AS payload FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'applicability_missing' WHEN 1 THEN 'target_applicability_stale' WHEN 2 THEN 'ad_extraction_missing' ELSE 'other' END AS issue_type,
+    p_size AS directive_id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 50 END AS publication_id, CASE WHEN p_size % 2 = 0 THEN p_size END AS target_id, CAST(NULL AS BIGINT) AS source_snapshot_id,
+    CAST(NULL AS BIGINT) AS discovery_record_id, {payload} AS payload FROM part WHERE {where}) GROUP BY ALL"""
+_SIGNATURE = ", ".join(jobs.SIGNATURE)
+
+
+@query(f"""WITH o AS ({_ISSUES.format(columns=_SIGNATURE, payload="p_name", where="p_partkey % 4 <> 3 AND p_brand <> 'Brand#11'")}),
+    f AS ({_ISSUES.format(columns=_SIGNATURE, payload="CASE WHEN p_type LIKE 'PROMO%' THEN p_type ELSE p_name END", where="p_brand <> 'Brand#22'")})
+    SELECT {", ".join(f"CASE WHEN f.issue_type IS NULL THEN o.{k} ELSE f.{k} END AS {k}" for k in jobs.SIGNATURE)},
+           CASE WHEN o.issue_type IS NULL THEN 'opened' WHEN f.issue_type IS NULL THEN 'resolved' WHEN o.payload = f.payload THEN 'unchanged' ELSE 'updated' END AS action
+    FROM o FULL JOIN f ON {" AND ".join(f"o.{k} IS NOT DISTINCT FROM f.{k}" for k in jobs.SIGNATURE)}""")
 def reconciliation_diff(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("issue_type"), F.col("p_name").alias("subject"), F.col("p_size").alias("payload"))
-    return jobs.issue_diff(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 3 = 0"))
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    kind = F.get(F.array(*map(F.lit, ("applicability_missing", "target_applicability_stale", "ad_extraction_missing", "other"))), (F.col("p_partkey") % 4).cast("int"))
+    none = F.lit(None).cast("long")
+    p = p.withColumns({"issue_type": kind, "directive_id": size, "publication_id": F.when(size % 3 != 0, F.col("p_partkey") % 50), "target_id": F.when(size % 2 == 0, size), "source_snapshot_id": none, "discovery_record_id": none, "severity": F.lit("medium")})
+    found = p.withColumn("payload", F.when(F.col("p_type").startswith("PROMO"), F.col("p_type")).otherwise(F.col("p_name")))
+    return jobs.issue_diff(p.withColumn("payload", F.col("p_name")).where("p_brand <> 'Brand#11'"), found.where("p_brand <> 'Brand#22'"))
 
 
 @query("""SELECT entry_id, count(*) AS entries, count(*) FILTER (review_status = 'verified') AS verified, max(entry_date) AS last_date,

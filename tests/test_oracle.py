@@ -36,15 +36,6 @@ def test_query(spark, name):
     assert got == want
 
 
-def test_text_udfs():
-    import pandas as pd
-
-    from tarmac.operators.review import html_to_text, similarity
-
-    assert html_to_text(pd.Series(["<p>a &amp; b<br>c</p><script>x</script>", None])).tolist() == ["a & b\nc", ""]
-    assert similarity(pd.Series(["abcd", None]), pd.Series(["bcde", "x"])).tolist() == [0.75, 0.0]
-
-
 def test_directive_number(spark):
     from pyspark.sql import functions as F
 
