@@ -30,20 +30,19 @@ def connected_components(links: DataFrame, ws: Workspace, name: str = "cc") -> D
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        turn += 1
-        large = ws.table(large, f"{name}_{turn}")
+        large = ws.table(large, f"{name}_large_{turn}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star: each neighbour below a node, and the node, hang on its minimum.
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         turn += 1
         edges = ws.table(small, f"{name}_{turn}")
-        ws.drop(f"{name}_{turn - 2}", f"{name}_{turn - 1}")
+        ws.drop(f"{name}_{turn - 1}", f"{name}_large_{turn - 1}")
         sums = edges.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
         state = (sums["n"], sums["h"])
-        if state == before:
+        if state == before or not sums["n"]:
             break
         before = state
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

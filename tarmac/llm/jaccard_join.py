@@ -19,7 +19,7 @@ PERCENT = 75
 #: 64-bit words of a document's parity sketch.
 SKETCH = 8
 #: The keys are joined in as many slices, so that a shuffle holds one slice at a time.
-SLICES = 4
+SLICES = 8
 #: In bands below this size each element is a group of its own.
 SINGLE = 64
 _SETS = ", ".join(
@@ -74,7 +74,7 @@ def _keys(value: np.ndarray, bounds: np.ndarray, up: int) -> tuple[np.ndarray, n
     owner = np.repeat(np.arange(len(n)), n)
     if not valid.all():
         value, owner = value[valid[owner]], owner[valid[owner]]
-    shift = np.where(top < SINGLE, 0, 63 - band).astype(np.uint64)
+    shift = np.where(top < SINGLE, 0, 64 - band).astype(np.uint64)
     group = value >> shift[owner]
     new = np.ones(len(value), bool)
     new[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
