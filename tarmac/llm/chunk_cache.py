@@ -14,13 +14,16 @@ REMEMBERED = 400_000
 
 
 #: A longer text is encoded piece by piece, cut at blanks.
-PIECE_BYTES = 1 << 22
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+PIECE_CHARS = 1 << 22
+_CHUNK, _BLANK = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
+#: ASCII and accented Latin letters as one character each: their lower case is another one of them, and normal forms change nothing.
+_PLAIN = re.compile(r"[\x21-\x7e\xc0-\u012f\u0131-\u0148\u014a-\u017e]*")
+_PLAIN_TEXT = re.compile(r"[\x20-\x7e\x09-\x0d\xc0-\u012f\u0131-\u0148\u014a-\u017e]*")
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
+def _pieces(text: str) -> Iterator[str]:
     start = 0
-    while len(text) - start > PIECE_BYTES and (m := _BLANK.search(text, start + PIECE_BYTES)):
+    while len(text) - start > PIECE_CHARS and (m := _BLANK.search(text, start + PIECE_CHARS)):
         yield text[start : m.start()]
         start = m.end()
     yield text[start:] if start else text
@@ -33,30 +36,33 @@ class ChunkCache:
     first characters keep their case, as special tokens are matched before lower-casing.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[bytes]], list[bytes]], special: list[bytes]):
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], special: list[str]):
         self.encode_chunks, self.special = encode_chunks, sorted({s[:2] for s in special})
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text; chunks that none had before are encoded together."""
-        lowered = [t.lower() if t and t.isascii() and not any(s in t for s in self.special) else t or b"" for t in texts]
-        if sum(map(len, lowered)) > 2 * PIECE_BYTES:
-            return [b"".join(self._encode([p])[0] for p in _pieces(t)) for t in lowered]
-        return self._encode(lowered)
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        many = [t.split() for t in texts]
-        needed = set().union(*many)
+        self.known: dict[str, bytes] = {}
+
+    def _chunks(self, text: str) -> list[str]:
+        if _PLAIN_TEXT.fullmatch(text) and not any(s in text for s in self.special):
+            return text.lower().split()
+        return _CHUNK.findall(text)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; chunks that none had before are encoded together. Null texts have none."""
+        if sum(map(len, filter(None, texts))) > 2 * PIECE_CHARS:
+            return [b"".join(self._encode([self._chunks(p)])[0] for p in _pieces(t or "")) for t in texts]
+        return self._encode([self._chunks(t) if t else [] for t in texts])
+
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        needed = set().union(*texts)
         new = list(needed.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(needed)
         self.known.update(zip(new, self.encode_chunks(new)))
         get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in many]
+        return [b"".join(map(get, chunks)) for chunks in texts]
 
     def encode(self, text: bytes) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all([text.decode()])[0]
 
 
 @functools.lru_cache(2)
@@ -69,49 +75,54 @@ def library_cache(path: str) -> ChunkCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     kind = id_type(path)
-    pattern = _split_pattern(path)
+    width = np.dtype(kind).itemsize
+    pattern, last = _split_pattern(path), _last_tokens(path, tokenizer)
     words: dict[str, bytes] = {}
 
     def library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(parts: list[str]) -> list[bytes]:
-        """Ids of texts without blanks, taken from one text of them all where each id's place lies in one of them."""
+        """Ids of pre-tokens, from one text of them all where as many ids end a pre-token."""
         out: list[bytes] = []
-        for i in range(0, len(parts), 1000):
-            part = parts[i : i + 1000]
-            e = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(x) + 1 for x in part)])
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            owner = np.searchsorted(begins, spans[:, 0], "right") - 1
-            inside = spans[:, 1] < begins[np.minimum(owner + 1, len(part))]
-            if len(owner) and inside.all() and (np.diff(owner) >= 0).all() and len(np.unique(owner)) == len(part):
-                ids, cuts = np.array(e.ids, kind).tobytes(), (np.searchsorted(owner, np.arange(len(part) + 1)) * np.dtype(kind).itemsize).tolist()
-                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in range(0, len(parts), 2000):
+            part = parts[i : i + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                flat, cuts = ids.tobytes(), [0, *(width * ends).tolist()]
+                out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
                 out += library(part)
         return out
 
-    def encode(chunks: list[bytes]) -> list[bytes]:
-        # The pre-tokens of lower-case ASCII are its matches, each encoded alone: words recur with other punctuation around.
-        texts = [c.decode() for c in chunks]
-        plain = [pattern is not None and t.isascii() and "<|" not in t and t == t.lower() for t in texts]
-        split = [pattern.findall(t) if p else None for t, p in zip(texts, plain)]
+    def encode(chunks: list[str]) -> list[bytes]:
+        # The pre-tokens of plain lower-case chunks are the pattern's matches, each encoded alone: words recur with other punctuation around.
+        plain = pattern is not None
+        split = [pattern.findall(t) if plain and _PLAIN.fullmatch(t) and "<|" not in t and t == t.lower() else None for t in chunks]
         needed = set().union(*filter(None, split))
         new = list(needed.difference(words))
         if len(words) + len(new) > REMEMBERED:
             words.clear()
             new = list(needed)
         words.update(zip(new, together(new)))
-        # Other chunks are encoded together, too; those that may hold a special token, or a blank of Unicode, one by one.
-        rest = [t for t, p in zip(texts, plain) if not p]
-        alone = [t for t in rest if "<|" in t or len(t.split()) != 1]
-        got = dict(zip(alone, library(alone)))
-        some = [t for t in rest if t not in got]
-        got.update(zip(some, together(some)))
-        return [got[t] if many is None else b"".join(map(words.__getitem__, many)) for t, many in zip(texts, split)]
-
-    return ChunkCache(encode, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()])
+        rest = iter(library([t for t, many in zip(chunks, split) if many is None]))
+        get = words.__getitem__
+        return [next(rest) if many is None else get(many[0]) if len(many) == 1 else b"".join(map(get, many)) for many in split]
+
+    return ChunkCache(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+
+
+def _last_tokens(path: str, tokenizer) -> np.ndarray:
+    """Which ids end a pre-token; none where the file marks no ends, so that nothing is encoded together."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        out[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return out
 
 
 def _split_pattern(path: str):

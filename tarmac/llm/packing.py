@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
         width = np.dtype(kind).itemsize
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [x + end for x in cache.encode_all(part.column("text").cast(pa.large_binary()).to_pylist())]
+                ids = [x + end for x in cache.encode_all(part.column("text").to_pylist())]
                 lengths = np.array([len(x) // width for x in ids])
                 doc, own, at = _cut(lengths)
                 flat = np.frombuffer(b"".join(ids), kind)

@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, ws: Workspac
         out, path, end = None, None, np.array([END], kind)
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), cache.encode_all(part.column("text").cast(pa.large_binary()).to_pylist())):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), cache.encode_all(part.column("text").to_pylist())):
                     if out is None:
                         fs, base = file_system(folder)
                         fs.create_dir(base, recursive=True)
