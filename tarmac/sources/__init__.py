@@ -1 +1 @@
-
+"""Sources: readers, imports, snapshots and sinks."""
