@@ -256,7 +256,7 @@ def _links(spark, sf_dir):
     return coverage.link_coverage(c, known, subs.unionByName(gone))
 
 
-_LINKS = f"""{_COMPONENTS}, w AS (SELECT DISTINCT CASE role WHEN 'airframe' THEN 'aircraft' ELSE role END || '||' || coalesce(lower(make), '') || '|' || coalesce(lower(model), '') AS target_key, aircraft_id, owner_id AS organization_id, role FROM components JOIN aircraft USING (aircraft_id)),
+_LINKS = f"""{_COMPONENTS}, w AS (SELECT DISTINCT CASE role WHEN 'airframe' THEN 'aircraft' ELSE role END || '||' || coalesce(lower(components.make), '') || '|' || coalesce(lower(components.model), '') AS target_key, aircraft_id, owner_id AS organization_id, role FROM components JOIN aircraft USING (aircraft_id)),
     known AS (SELECT DISTINCT target_key FROM w WHERE role = 'airframe' AND aircraft_id % 4 = 0),
     needed AS (SELECT w.target_key, k.target_key IS NULL AS created, CASE WHEN k.target_key IS NULL THEN min(aircraft_id) END AS triggered_by FROM w LEFT JOIN known k ON k.target_key = w.target_key GROUP BY w.target_key, k.target_key),
     subscriptions AS (SELECT target_key, aircraft_id, organization_id, 'active' AS status, coalesce(NOT (role = 'airframe' AND aircraft_id % 4 = 0) AND created AND triggered_by = aircraft_id, FALSE) AS triggered_creation,
