@@ -104,3 +104,19 @@ def product_of(text: Column) -> Column:
 def safe_filename(s: Column) -> Column:
     """The last part of a path, with other characters than letters, digits, dot, dash and underscore as underscores."""
     return F.regexp_replace(F.element_at(F.split(s, r"[/\\\\]"), -1), "[^A-Za-z0-9._-]+", "_")
+
+
+def tag_number(tags: Column, key: str) -> Column:
+    """A tag's number; null where it is missing, none, or negative."""
+    value = F.trim(F.try_element_at(tags, F.lit(key))).try_cast("double")
+    return F.when(value >= 0, value)
+
+
+def issue_severity(status: Column) -> Column:
+    return F.when(status == "missing", "high").when(status.isin("snapshot_unparseable", "historical_source_unavailable"), "medium").otherwise("low")
+
+
+def gap_reason(title: Column, numbers: Column) -> Column:
+    """Why a number may be missing from a source, by its document's title and how many numbers that has."""
+    low = F.lower(title)
+    return F.when(title.isNull(), "no_metadata").when(low.contains("correction"), "correction").when(low.contains("emergency"), "emergency").when(numbers == 0, "number_needs_detail").otherwise("gap_or_mismatch")

@@ -341,7 +341,7 @@ def analysis_spans(spark, sf_dir):
 
 @query("""WITH l AS (SELECT doc_id, [x for x in [trim(y) for y in string_split(coalesce(text, ''), chr(10))] if x <> ''] AS ls FROM documents), t AS (SELECT doc_id, ls, unnest(ls) AS text, unnest(generate_series(1, len(ls))) AS i FROM l)
     SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END AS page, 'line-' || (doc_id % 3) || '-' || i AS block_id, 'LINE' AS span_type, text, CAST((i - 1) * 1000 // len(ls) AS BIGINT) AS top, i + 1 AS reading_order, CASE WHEN doc_id % 2 = 0 THEN 50.0 ELSE 75.0 END AS confidence FROM t
-    UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END, 'block-' || (doc_id % 3) || '-2', 'TITLE', 'head', 250, 2, CASE WHEN doc_id % 2 = 0 THEN 50.0 ELSE 75.0 END FROM documents""".replace("i + 1 AS reading_order", "i + 1 AS reading_order"))
+    UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END, 'block-' || (doc_id % 3) || '-2', 'TITLE', 'head', 250, 2, CASE WHEN doc_id % 2 = 0 THEN 50.0 ELSE 75.0 END FROM documents""")
 def markdown_spans(spark, sf_dir):
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     block = lambda kind, text: F.struct(F.lit(None).cast("string").alias("id"), F.lit(kind).alias("type"), F.lit(text).alias("content"), F.lit(10.0).alias("left"), F.lit(50.0).alias("top"), F.lit(60.0).alias("right"), F.lit(40.0).alias("bottom"))

@@ -9,6 +9,7 @@ import pytest
 import tarmac.plans.domain_queries  # noqa: F401
 import tarmac.plans.page_queries  # noqa: F401
 import tarmac.plans.review_queries  # noqa: F401
+import tarmac.plans.work_queries  # noqa: F401
 from tarmac.plans.bindings import TABLES
 from tarmac.plans.queries import ORACLE_SQL, QUERIES
 
