@@ -79,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
         WITH n AS (
@@ -87,4 +90,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+    # Every window of 35 words as text; words under a repeated one are taken out by their places.
+    "op2_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+        w AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS win FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35)),
+        x AS (SELECT r, i FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS i FROM x),
+        p AS (SELECT r, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM d),
+        k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
+    # Every pair of sets with a shingle in common, counted in full.
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS ws FROM documents),
+        s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i : i + 4], ' ') for i in generate_series(1, len(ws) - 4)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM d),
+        g AS (SELECT r, doc_id, len(sh) AS n, unnest(sh) AS g FROM s WHERE doc_id IS NOT NULL),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(least.b, s.doc_id)) AS component_id FROM s LEFT JOIN least ON least.a = s.doc_id""",
 }
