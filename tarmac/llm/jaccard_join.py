@@ -251,10 +251,13 @@ def _shared_keys(described: DataFrame, copies: DataFrame, ws: Workspace) -> Data
         often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         part = ws.table(each.join(often.hint("shuffle_hash"), "key"), f"shared_{k}")
         shared = part if shared is None else shared.unionByName(part)
+    # The keys themselves are not needed any more: their table goes before the next shuffle comes.
+    sizes = ws.table(described.select("node", "up", "total", "wanted"), "key_counts")
+    ws.drop("described")
     shared = shared.join(copies.select(F.col("b").alias("node")).hint("shuffle_merge"), "node", "left_anti")
     # One set's keys at a time: no more than its text has words.
     own = shared.groupBy("node", "up").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
-    known = own.join(described.select("node", "up", "total", "wanted").hint("shuffle_merge"), ["node", "up"])
+    known = own.join(sizes.hint("shuffle_merge"), ["node", "up"])
     need = (F.col("wanted") - F.col("total") + F.size("own")).cast("int")
     first = known.where(need > 0).select("node", F.explode(F.slice("own", F.lit(1), need)).alias("first"))
     out = ws.table(first.select(F.col("first.key").alias("key"), "node"), "first_keys")
@@ -279,7 +282,6 @@ def similarity_links(rows: DataFrame, ws: Workspace, known: DataFrame | None = N
         found.add(known)
     found.add(_same_sets(sets))
     part = _shared_keys(described, found.parts[-1], ws)
-    ws.drop("described")
     heads = part.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
     met = ws.table(part.join(heads.hint("shuffle_merge"), "key").where("node <> head"), "met")
     pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
