@@ -180,7 +180,7 @@ def stream_workflow_state(spark, sf_dir):
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
     rows = stream.select(F.col("event_type").alias("workflow_type"), F.col("user_id").alias("workflow_id"), "ts", F.col("event_id").alias("state"))
     status.run_available(status.stream_latest(rows, ["workflow_type", "workflow_id"], ["ts"], "state"), f"{root}/checkpoint", f"{root}/out")
-    return spark.read.parquet(f"{root}/out").select("workflow_type", "workflow_id", "last.state")
+    return status.latest_of(spark.read.parquet(f"{root}/out"), "workflow_type", "workflow_id").select("workflow_type", "workflow_id", "last.state")
 
 
 @query("SELECT ad_number, max(directive_id) AS directive_id, arg_max(title, directive_id) AS title FROM directives GROUP BY ad_number")
@@ -196,7 +196,10 @@ def stream_discovery(spark, sf_dir):
 @query(f"WITH {_MATCH.strip().removeprefix('WITH')}, c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') SELECT DISTINCT aircraft_id FROM hits WHERE directive_id IN (SELECT user_id FROM c)")
 def stream_invalidation(spark, sf_dir):
     """Aircraft to be matched anew: changed directives, as a stream, joined with the matches."""
-    root, matches = shared_folder(spark, "stream"), _hits(spark, sf_dir)
+    root = shared_folder(spark, "stream")
+    # Matched once, not in each micro-batch.
+    _hits(spark, sf_dir).select("aircraft_id", "directive_id").write.parquet(f"{root}/matches")
+    matches = spark.read.parquet(f"{root}/matches")
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
     changed = stream.where("event_type = 'error'").select(F.col("user_id").alias("directive_id"))
     status.log_available(changed, f"{root}/checkpoint", f"{root}/log", lambda b: matches.join(b.distinct(), "directive_id", "left_semi").select("aircraft_id").distinct())

@@ -226,7 +226,7 @@ def stream_status(spark, sf_dir):
     stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
     bound = spark.sql(BINDINGS["events_state"], events=stream)
     status.run_available(status.stream_matcher_status(bound), f"{root}/checkpoint", f"{root}/out")
-    last = spark.read.parquet(f"{root}/out").select("aircraft_id", F.col("last.kind").alias("last_kind"), F.col("last.event_time").alias("last_time"))
+    last = status.latest_of(spark.read.parquet(f"{root}/out"), "aircraft_id").select("aircraft_id", F.col("last.kind").alias("last_kind"), F.col("last.event_time").alias("last_time"))
     return last.withColumn("status", F.when(F.col("last_kind") == "completed", "current").otherwise("pending_recomputation"))
 
 

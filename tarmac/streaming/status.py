@@ -12,14 +12,28 @@ def stream_matcher_status(events: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str) -> None:
-    """Takes all input that is there, in micro-batches, and leaves the complete result at out."""
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(out)
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Takes all input that is there, in micro-batches, and keeps what each batch changed of the aggregate in a folder of its own.
+
+    State is written where it changed only; a batch that is tried again replaces its own
+    folder. latest_of reads the end result.
+    """
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_of(log: DataFrame, *keys: str) -> DataFrame:
+    """The last state of each key in the log of a streaming maximum `last`: it only grows, so the largest is the last."""
+    return log.groupBy(*keys).agg(F.max("last").alias("last"))
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, table: str, like: DataFrame, files: int | None = None) -> DataFrame:
+    """The table's files as a stream, whether it is a folder of them or one; `files` of them at most in each micro-batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(like.schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{folder}/{table}") if is_folder else reader.option("pathGlobFilter", table).parquet(folder)
 
 
 def stream_latest(transitions: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

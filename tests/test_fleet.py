@@ -11,14 +11,32 @@ def test_entries_with_several_numbers(spark):
     day = datetime.date(2020, 1, 1)
     bodies = {
         1: "Complied with AD 2011-10-09, AD 80-13-10 not complied with; C/W AD 2012-01-02R1 and 2013-03-04R2",
-        2: "reviewed AD 2011-10-09; see 2014-05-06\nINSPECTED per AD 2015-07-08", 3: "no number", 4: None,
-    }
+        2: "reviewed AD 2011-10-09; see 2014-05-06\nINSPECTED per AD 2015-07-08", 3: "no number", 4: None, 5: "inspect replaced modify comply Widget-9 pump",
+    }
     entries = spark.createDataFrame([(1, i, 1, day, b, "verified", 1.0) for i, b in bodies.items()], "aircraft_id int, entry_id int, line_no int, entry_date date, body string, review_status string, quantity double")
-    numbers = ["2011-10-09", "1980-13-10", "2012-01-02", "2013-03-04", "2014-05-06", "2015-07-08"]
-    directives = spark.createDataFrame([(k, n, "zz") for k, n in enumerate(numbers)], "directive_id int, ad_number string, title string")
-    got = {(r["directive_id"], r["entry_id"]): float(r["confidence"]) for r in fleet.candidate_evidence(entries, directives).collect()}
-    # A chained number has the whole line as its context, which also says "not complied".
-    assert got == {(0, 1): 0.82, (0, 2): 0.45, (1, 1): 0.45, (2, 1): 0.82, (3, 1): 0.45, (4, 2): 0.45, (5, 2): 0.82}
+    numbers = ["2011-10-09", "1980-13-10", "2012-01-02", "2013-03-04", "2014-05-06", "2015-07-08", "1999-01-01"]
+    rows = [(k, n, "Widget-9 model" if k == 6 else "zz", ["Pump"] if k == 6 else None, None) for k, n in enumerate(numbers)]
+    directives = spark.createDataFrame(rows, "directive_id int, ad_number string, title string, products array<string>, actions array<string>")
+    pairs = spark.createDataFrame([(1, k) for k in range(7)] + [(2, 0)], "aircraft_id int, directive_id int")
+    got = {(r["directive_id"], r["entry_id"]): (float(r["confidence"]), r["disposition"]) for r in fleet.candidate_evidence(entries, directives, pairs).collect()}
+    # "complied" is an action word, worth 0.04. A chained number has the whole line as its context, which also says "not complied"; a short number is no bare one.
+    want = {(0, 1): (0.86, "complied"), (0, 2): (0.45, "mentioned"), (1, 1): (0.49, "not_complied"), (2, 1): (0.86, "complied"), (3, 1): (0.49, "not_complied"), (4, 2): (0.45, None), (5, 2): (0.82, "inspected")}
+    # Words alone: one of the product, four actions (0.16), one of the title.
+    assert got == want | {(6, 5): (0.225, None)}
+
+
+def test_references_of_lines():
+    from tarmac.functions.maintenance import references_of
+
+    said = lambda t: [(r["ad_number"], r["disposition"], r["method"], r["recurring"], r["due_text"]) for r in references_of(t)]
+    assert said("C/W AD 2011-10-09R1 by inspection of hub, due each 100 hours") == [("2011-10-09", "complied", "inspection of hub", True, "due each 100 hours")]
+    assert said("AD 76-07-12 n/a by serial number. Complied with AD 80-13-10") == [("1976-07-12", "not_applicable", "serial number", False, None), ("1980-13-10", "complied", None, False, None)]
+    for text in ("AD 2011-10-09 not complied with", "AD 2011-10-09: cannot comply", "no compliance AD 2011-10-09", "never complied AD 2011-10-09", "AD 2011-10-09 compliance was not performed"):
+        assert [x[1] for x in said(text)] == ["not_complied"], text
+    for text in ("AD 2011-10-09 not inspected", "AD 2011-10-09 inspection not completed", "can't inspect AD 2011-10-09"):
+        assert [x[1] for x in said(text)] == ["not_inspected"], text
+    assert said("AD 2011-10-09, complied with oil change") == [("2011-10-09", "mentioned", None, False, None)]
+    assert said("reviewed 2011-10-09") == [] and references_of(None) == []
 
 
 def test_components_that_lack_a_make_or_model(spark):
@@ -33,4 +51,4 @@ def test_components_that_lack_a_make_or_model(spark):
         "directive_id int, product_type string, make string, model string, source_status string",
     )
     got = {tuple(r) for r in fleet.uncertain_components(components, targets).collect()}
-    assert got == {(1, 1), (1, 4), (2, 3), (4, 4), (5, 3)}
+    assert got == {(1, 1), (1, 2), (1, 4), (2, 3), (4, 1), (4, 2), (4, 4), (5, 3)}
