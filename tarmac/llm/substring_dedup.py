@@ -179,7 +179,9 @@ def substring_dedup(docs: DataFrame, ws: Workspace, window: int = WINDOW) -> Dat
     Each word under a window of `window` words that begins anywhere else, too, goes; all
     windows are judged on the input. Null texts have no words; kept_text is then empty. A
     text with fewer words than the window stays whole. Rows repeated in full repeat each
-    window. Rows that share an id, or have none, are judged each by its own text. A document of b bytes needs about 40 b of memory in its task.
+    window. Rows that share an id, or have none, are judged each
+    by its own text. An empty table gives no rows. Windows are compared by 64-bit hashes. A
+    document of b bytes needs about 40 b of memory in its task.
     """
     spots = repeated_windows(docs, ws, window)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
