@@ -148,9 +148,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     Counts are those of the sentencepiece library for the model at path `model` (BPE with
     byte fallback, a blank put before, no other normalisation), without begin or end
     tokens. Null and empty texts have none. Other columns are not read; rows are
-    independent, so repeated rows, null ids and empty tables need no care.
-    Rows that repeat are counted each; other columns are not read, and an empty table gives
-    no rows. A text of b bytes needs about 40 b of memory in its task.
+    independent, so repeated rows, null ids and empty tables need no care. A text of b
+    bytes needs about 40 b of memory in its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
