@@ -210,3 +210,67 @@ def rule_numbers(xml: Column) -> Column:
     heads = F.transform(every(text, r"(?is)(<AMDPAR\b[^>]*>.*?(?:airworthiness directive|AD).*?</AMDPAR>.{0,1500})"), lambda b: F.struct(every(b, r"(?i)<E\b[^>]*>\s*(\d{4}-\d{2}-\d{2})\b").alias("h"), every(b, number).alias("a")))
     amended = F.flatten(F.transform(heads, lambda x: F.when(F.size(x["h"]) > 0, F.slice(x["h"], 1, 1)).otherwise(x["a"])))
     return F.array_sort(F.array_distinct(F.when(F.size(docket) > 0, docket).when(F.size(amended) > 0, amended).otherwise(every(text, number))))
+
+
+def current_results(matches: DataFrame, algorithm: str, version: str) -> DataFrame:
+    """Matches of this algorithm and version that are current."""
+    return matches.where((F.col("algorithm") == algorithm) & (F.col("version") == version) & F.col("is_current"))
+
+
+def entry_order(drafts: DataFrame) -> DataFrame:
+    """Drafts numbered within their job by date, those without one last, then by page and id."""
+    return drafts.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy(F.asc_nulls_last("entry_date"), "page", "draft_id")))
+
+
+def run_attributes(uploads: DataFrame, results: DataFrame) -> DataFrame:
+    """Billing of each result: chargeable only with consent, tags of the upload, price and pages of the result's metadata, else its page count.
+
+    uploads: upload_id, account, aircraft, consent. results: upload_id, page_count, metadata (a map).
+    """
+    value = lambda k: F.nullif(F.trim(F.try_element_at("metadata", F.lit(k))), F.lit(""))
+    number = lambda k, kind: F.when(value(k).try_cast(kind) >= 0, value(k).try_cast(kind))
+    status = F.when(F.coalesce("consent", F.lit(False)), "chargeable").otherwise("not_billable")
+    return results.join(uploads, "upload_id").select(
+        "upload_id", status.alias("billing_status"), "account", "aircraft", F.substring(value("provider_channel"), 1, 64).alias("channel"), F.coalesce(F.substring(value("pricing_unit"), 1, 64), F.lit("page")).alias("unit"),
+        number("pricing_rate_usd", "decimal(18,8)").alias("rate"), number("estimated_cost_usd", "decimal(18,8)").alias("estimate"), F.coalesce(number("billable_page_count", "int"), F.col("page_count")).alias("pages"),
+    )
+
+
+def page_fingerprint(pages: DataFrame) -> DataFrame:
+    """(page_id, fingerprint): a hash of the page's boxes, its rotation and its content's hash."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("media_box", "crop_box", "rotation")]
+    return pages.select("page_id", F.sha2(F.concat_ws("|", *parts, F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)), 256).alias("fingerprint"))
+
+
+def model_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of JSON payloads(id, payload) those with a numeric confidence and lists of citations and uncertainty, taken apart, and the others with a reason."""
+    v = F.try_parse_json("payload")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    listed = lambda k: kind(k).isNull() | kind(k).startswith("ARRAY")
+    number = F.coalesce(kind("confidence").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    reason = F.when(v.isNull(), "not_json").when(~number, "confidence_not_numeric").when(~listed("citations"), "citations_not_a_list").when(~listed("uncertaintyReasons"), "uncertainty_not_a_list")
+    judged = payloads.withColumn("reason", reason)
+    good = judged.where("reason is null")
+    size = lambda k: F.coalesce(F.size(F.try_variant_get(v, f"$.{k}", "array<variant>")), F.lit(0))
+    return good.select("id", F.try_variant_get(v, "$.confidence", "double").alias("confidence"), size("citations").alias("citations"), size("uncertaintyReasons").alias("uncertainty")), judged.where("reason is not null").select("id", "reason")
+
+
+def rationale(number: Column, found: Column, why: Column, reasons: Column) -> Column:
+    """What a match says for itself: satisfied by evidence, open for reasons, or without evidence."""
+    number = F.coalesce(number, F.lit("unknown AD"))
+    return (
+        F.when(found & (F.size(reasons) == 0), F.concat(F.lit("Candidate satisfied: found logbook evidence for "), number, F.lit(" with "), why, F.lit(".")))
+        .when(found, F.concat(F.lit("Needs adjudication: found possible evidence for "), number, F.lit(", but unresolved reasons remain: "), F.array_join(reasons, ", "), F.lit(".")))
+        .otherwise(F.concat(F.lit("Needs adjudication: no logbook entry cites or strongly matches "), number, F.lit(".")))
+    )
+
+
+def applicability_snapshot(best: DataFrame, components: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of each (aircraft_id, directive_id, role) the component, the target and whether the serial is known, as one JSON record."""
+    out = best.join(components, ["aircraft_id", "role"]).join(targets, "directive_id")
+    record = F.struct(
+        F.struct("role", F.col("c_make").alias("make"), F.col("c_model").alias("model"), F.col("serial").alias("serialNumber")).alias("component"),
+        F.struct(F.col("product_type").alias("productType"), F.col("t_make").alias("make"), F.col("t_model").alias("model")).alias("target"),
+        F.when(F.col("serial").isNull(), "unknown").otherwise("known").alias("serialStatus"),
+    )
+    return out.select("aircraft_id", "directive_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("snapshot"))

@@ -286,3 +286,73 @@ def plugin_extraction(spark, sf_dir):
     cache = d.where("directive_id % 3 = 0").select("directive_id", "input_hash", F.lit("cached").alias("out"))
     out = extract_with(d, cache, lambda b: b.assign(out=b["title"].str.upper())[["directive_id", "input_hash", "out"]], "directive_id bigint, input_hash bigint, out string", ["directive_id", "input_hash"])
     return out.select("directive_id", "out")
+
+
+@query("SELECT o_orderkey AS match_id, o_custkey AS aircraft_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey % 3 <> 0")
+def current_results(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m = table(spark, sf_dir, "orders").select(k.alias("match_id"), F.col("o_custkey").alias("aircraft_id"), F.col("o_orderstatus").alias("algorithm"), F.when(k % 2 == 0, "2").otherwise("1").alias("version"), (F.col("o_custkey") % 3 != 0).alias("is_current"))
+    return worklists.current_results(m, "F", "2").select("match_id", "aircraft_id")
+
+
+@query("""SELECT o_custkey AS job_id, o_orderkey AS draft_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END NULLS LAST, o_orderkey % 7, o_orderkey) AS place FROM orders""")
+def entry_order(spark, sf_dir):
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), k.alias("draft_id"), F.when(k % 5 != 0, F.col("o_orderdate").cast("date")).alias("entry_date"), (k % 7).alias("page"))
+    return worklists.entry_order(d).select("job_id", "draft_id", "place")
+
+
+@query("""SELECT o_orderkey AS upload_id, CASE WHEN o_orderkey % 3 = 0 THEN 'chargeable' ELSE 'not_billable' END AS billing_status, 'acct-' || o_custkey AS account, CASE WHEN o_orderkey % 2 = 0 THEN 'aws' END AS channel, CASE WHEN o_orderkey % 4 = 1 THEN 'second' ELSE 'page' END AS unit,
+    CASE o_orderkey % 3 WHEN 0 THEN CAST(0.004 AS DECIMAL(18,8)) END AS rate, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE 3 END AS pages FROM orders""")
+def run_attributes(spark, sf_dir):
+    k = F.col("upload_id")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("upload_id"), F.concat(F.lit("acct-"), "o_custkey").alias("account"))
+    uploads = o.select(k, "account", F.lit("N1").alias("aircraft"), F.when(k % 3 == 0, F.lit(True)).when(k % 3 == 1, F.lit(False)).alias("consent"))
+    said = F.create_map(
+        F.lit("provider_channel"), F.when(k % 2 == 0, " aws").otherwise(" "), F.lit("pricing_unit"), F.when(k % 4 == 1, "second"), F.lit("pricing_rate_usd"), F.when(k % 3 == 0, "0.004").when(k % 3 == 1, "-1").otherwise("free"),
+        F.lit("billable_page_count"), F.when(k % 5 == 0, "7").otherwise("x"),
+    )
+    return worklists.run_attributes(uploads, o.select(k, F.lit(3).alias("page_count"), said.alias("metadata"))).select("upload_id", "billing_status", "account", "channel", "unit", "rate", "pages")
+
+
+@query("SELECT doc_id AS page_id, sha256('0,0,612,792||' || (doc_id % 4 * 90) || '|' || sha256(coalesce(text, ''))) AS fingerprint FROM documents")
+def page_fingerprints(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("0,0,612,792").alias("media_box"), F.lit(None).cast("string").alias("crop_box"), (F.col("doc_id") % 4 * 90).alias("rotation"), F.col("text").alias("content"))
+    return worklists.page_fingerprint(p)
+
+
+def _payloads(spark, sf_dir):
+    k = F.col("id")
+    d = bind(spark, sf_dir, "directives").select(F.col("directive_id").alias("id"))
+    sure = F.when(k % 5 == 0, '"high"').when(k % 5 == 1, "1").otherwise("0.75")
+    text = F.concat(F.lit('{"adNumber":"x","confidence":'), sure, F.when(k % 3 == 0, ',"citations":[{"a":1},2]').when(k % 3 == 1, ',"citations":"none"').otherwise(""), F.lit(',"uncertaintyReasons":["a"]}'))
+    return worklists.model_payloads(d.withColumn("payload", F.when(k % 11 == 0, "not json").otherwise(text)))
+
+
+@query("SELECT directive_id AS id, CAST(CASE WHEN directive_id % 5 = 1 THEN 1.0 ELSE 0.75 END AS DOUBLE) AS confidence, CASE WHEN directive_id % 3 = 0 THEN 2 ELSE 0 END AS citations, 1 AS uncertainty FROM directives WHERE directive_id % 11 <> 0 AND directive_id % 5 <> 0 AND directive_id % 3 <> 1")
+def model_payloads(spark, sf_dir):
+    return _payloads(spark, sf_dir)[0]
+
+
+@query("""SELECT directive_id AS id, CASE WHEN directive_id % 11 = 0 THEN 'not_json' WHEN directive_id % 5 = 0 THEN 'confidence_not_numeric' ELSE 'citations_not_a_list' END AS reason FROM directives WHERE directive_id % 11 = 0 OR directive_id % 5 = 0 OR directive_id % 3 = 1""")
+def refused_payloads(spark, sf_dir):
+    return _payloads(spark, sf_dir)[1]
+
+
+@query("""SELECT directive_id, CASE WHEN directive_id % 3 = 0 THEN 'Needs adjudication: no logbook entry cites or strongly matches ' || ad_number || '.' WHEN directive_id % 3 = 1 THEN 'Candidate satisfied: found logbook evidence for ' || ad_number || ' with ' || title || '.'
+    ELSE 'Needs adjudication: found possible evidence for ' || ad_number || ', but unresolved reasons remain: a, b.' END AS rationale FROM directives""")
+def match_rationale(spark, sf_dir):
+    k = F.col("directive_id")
+    reasons = F.when(k % 3 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return bind(spark, sf_dir, "directives").select(k, worklists.rationale(F.col("ad_number"), k % 3 != 0, F.col("title"), reasons).alias("rationale"))
+
+
+@query(f"""WITH {_MATCH.strip()}, b AS (SELECT aircraft_id, directive_id, min(role) AS role FROM hits GROUP BY ALL), q AS (SELECT b.aircraft_id, b.directive_id, b.role, c.make AS cm, c.model AS cd, c.serial, d.product_type, d.make AS tm, d.model AS td
+        FROM b JOIN components c ON c.aircraft_id = b.aircraft_id AND c.role = b.role JOIN directives d ON d.directive_id = b.directive_id)
+    SELECT aircraft_id, directive_id, '{{{{"component":{{{{"role":"' || role || '","make":' || coalesce('"' || cm || '"', 'null') || ',"model":' || coalesce('"' || cd || '"', 'null') || ',"serialNumber":' || coalesce('"' || serial || '"', 'null') || '}}}},"target":{{{{"productType":"' || product_type
+        || '","make":' || coalesce('"' || tm || '"', 'null') || ',"model":' || coalesce('"' || td || '"', 'null') || '}}}},"serialStatus":"' || CASE WHEN serial IS NULL THEN 'unknown' ELSE 'known' END || '"}}}}' AS snapshot FROM q""".replace("{{", "{").replace("}}", "}"))
+def applicability_snapshots(spark, sf_dir):
+    parts = fleet.components_long(bind(spark, sf_dir, "aircraft")).select("aircraft_id", "role", F.col("make").alias("c_make"), F.col("model").alias("c_model"), "serial")
+    targets = bind(spark, sf_dir, "directives").select("directive_id", "product_type", F.col("make").alias("t_make"), F.col("model").alias("t_model"))
+    best = _hits(spark, sf_dir).groupBy("aircraft_id", "directive_id").agg(F.min("role").alias("role"))
+    return worklists.applicability_snapshot(best, parts, targets)
