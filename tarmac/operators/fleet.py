@@ -117,8 +117,9 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, pairs: DataFra
     from tarmac.functions.text import keywords
 
     none = F.array().cast("array<string>")
-    key = ["aircraft_id", "entry_id", "line_no", "entry_date", "quantity", "body"]
-    e = entries.where("review_status = 'verified' and entry_date is not null").select(*key).distinct()
+    shown, key = ["aircraft_id", "entry_id", "line_no", "entry_date", "quantity", "body"], ["aircraft_id", "_row"]
+    e = entries.where("review_status = 'verified' and entry_date is not null").select(*shown).distinct()
+    e = e.withColumn("_row", F.md5(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})))
     terms = lambda c: keywords(F.concat_ws(" ", F.coalesce(c, none)))
     d = directives.select(
         "directive_id", "ad_number", terms(F.col("products")).alias("product_words"), keywords(F.col("title")).alias("title_words"),
@@ -131,10 +132,18 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, pairs: DataFra
     other = F.transform(F.array_except(bare, F.transform("_refs", lambda x: x["ad_number"])), lambda n: F.struct(n.alias("ad_number"), F.lit(None).cast("string").alias("disposition")))
     named = cited.select(*key, F.explode(F.concat(said, other)).alias("m")).select(*key, "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
     named = named.join(pairs.select("aircraft_id", "directive_id").distinct(), ["aircraft_id", "directive_id"], "left_semi").select(*key, "directive_id", "disposition", F.lit(True).alias("named"))
-    words = pairs.select("aircraft_id", "directive_id").distinct().join(d.select("directive_id", F.explode(F.array_union("product_words", "title_words")).alias("word")), "directive_id")
-    worded = e.select(*key, F.explode(keywords(F.col("body"))).alias("word")).join(words, ["aircraft_id", "word"])
+    # What a word can add for a directive; with the entry's words of any action, this bounds the score, so that few pairs go on.
+    part = lambda c, x, each: F.when(F.array_contains(c, x), each).otherwise(0)
+    own = F.array_except("action_words", F.array(*map(F.lit, ACTION_WORDS)))
+    weighed = F.transform(F.array_union(F.array_union("product_words", "title_words"), "_own"), lambda x: F.struct(x.alias("word"), (part("product_words", x, 40) + part("title_words", x, 25) + part("_own", x, 40)).alias("weight")))
+    words = d.withColumn("_own", own).select("directive_id", F.explode(weighed).alias("x")).select("directive_id", "x.*")
+    words = pairs.select("aircraft_id", "directive_id").distinct().join(words, "directive_id")
+    said = e.withColumn("_w", keywords(F.col("body"))).withColumn("_any", 40 * F.size(F.array_intersect("_w", F.array(*map(F.lit, ACTION_WORDS)))))
+    worded = said.select(*key, "_any", F.explode("_w").alias("word")).join(words, ["aircraft_id", "word"])
+    worded = worded.groupBy(*key, "directive_id").agg(F.sum("weight").alias("_sum"), F.max("_any").alias("_any")).where("_sum + _any >= 200")
     both = named.unionByName(worded.select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named")))
-    met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named")).join(d, "directive_id").withColumn("_w", keywords(F.col("body")))
+    met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named"))
+    met = met.join(e.drop("aircraft_id"), "_row").join(d, "directive_id").withColumn("_w", keywords(F.col("body")))
     points = lambda c, each, most: F.least(each * F.size(F.array_intersect("_w", c)), F.lit(most))
     claim = F.when(F.col("disposition").isin("complied", "inspected"), 820).when(F.col("named"), 450).otherwise(0)
     score = F.least(claim + points("product_words", 40, 160) + points("action_words", 40, 180) + points("title_words", 25, 100), F.lit(950))
