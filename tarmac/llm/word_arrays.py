@@ -62,14 +62,15 @@ class Block:
         return np.repeat(self.words[1:], np.diff(self.words)) - np.arange(len(self.hashes))
 
 
-def block(texts: pa.Array, lower: bool = False) -> Block:
+def block(texts: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE) -> Block:
+    """Words are the longest runs of bytes that are not in `gap`."""
     texts = texts.cast(pa.large_utf8()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     n = len(data)
-    space = _SPACE[data]
+    space = gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = ~space, ~space
