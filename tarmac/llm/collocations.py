@@ -17,12 +17,12 @@ from tarmac.llm.workspace import Workspace
 SUPPORT = 100
 #: Longest phrase, in words.
 LONGEST = 5
-#: Shards of documents, dealt by a hash of doc_id. A fixed number, so that local support stays above one occurrence however large the corpus is; each shard is mined by many tasks.
-SHARDS = 20
+#: Shards: the input's files, dealt by a hash of their names. A fixed number, so that local support stays above one occurrence however large the corpus is; each shard is mined by many tasks.
+SHARDS = 16
 #: Most bits of a bitmap of hashes; beyond it more phrases pass the bitmap, which costs time but changes no result.
 MOST_BITS = 28
 #: Hashes that a task gathers before it counts them.
-HELD = 1 << 22
+HELD = 1 << 20
 TOP, PERCENT, SCALE = 2000, 100, 1000
 
 _BREAK = np.zeros(256, bool)
@@ -140,7 +140,7 @@ def _count_phrases(sizes: range, shared):
                     for i, n in zip(at[first], np.diff(first, append=len(at)).tolist()):
                         text = p.b.data[p.b.starts[i] : p.b.ends[i + size - 1]].tobytes().lower()
                         counts[(langs[p.doc[i]], b" ".join(text.split()))] += n
-                if len(counts) >= HELD >> 3:
+                if len(counts) >= HELD >> 2:
                     yield flush(counts)
                     counts.clear()
         if counts:
@@ -170,24 +170,25 @@ def phrase_counts(docs: DataFrame, ws: Workspace, support: int = SUPPORT, longes
     """(lang, phrase, f) of all phrases of 2 to `longest` words with f >= support, (lang, word, f) of all words, (lang, n) of languages.
 
     1. Words are counted by shard and language. A shard's support is the global one times
-       its share of a language's words.
-    2. Each shard is mined: pairs of locally frequent words, then longer phrases of
-       locally frequent pairs. A phrase with global support reaches the local one in at
-       least one shard, so the union of what is locally frequent lacks none.
+       its share of a language's words. A shard is some of the input's files, so that a task
+       mostly counts for one shard; rows that come from no file are one shard.
+    2. Each shard is mined: pairs of words that have the support over the corpus, then
+       longer phrases of locally frequent pairs. A phrase with global support reaches the
+       local one in at least one shard, so the union of what is locally frequent lacks none.
     3. All candidates are counted over the corpus, as texts, so that no hash decides a
        count.
     What tasks need to know of other tasks is in bitmaps of bounded size, which may let
     phrases pass that are not candidates, and never hold one back.
     """
     lang = F.coalesce("lang", F.lit("und"))
-    rows = docs.select("text", lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.select("text", lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.pmod(F.xxhash64(F.input_file_name()), F.lit(shards)).cast("int").alias("shard"))
     each = rows.mapInArrow(_word_counts, "shard int, lang string, word string, hash bigint, n bigint")
     words = ws.table(each.groupBy("shard", "lang", "word").agg(F.sum("n").alias("n"), F.first("hash").alias("hash")), "words")
     local = words.groupBy("lang", "shard").agg(F.sum("n").alias("local"))
     sizes = local.groupBy("lang").agg(F.sum("local").alias("n"))
     exact = F.expr(f"cast(({support} * cast(local as decimal(20,0)) + n - 1) div n as bigint)")
     supports = ws.table(local.join(sizes, "lang").select("lang", "shard", exact.alias("support")), "supports")
-    frequent = words.join(supports, ["lang", "shard"]).where("n >= support").select("hash").distinct()
+    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.first("hash").alias("hash")).where(f"n >= {support}").select("hash")
 
     spark, marked = docs.sparkSession, rows.join(supports, ["lang", "shard"])
     shared = spark.sparkContext.broadcast(_bitmap(frequent))
@@ -241,16 +242,16 @@ def _inside_longer(phrases: DataFrame, percent: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, ws: Workspace, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, percent: int = PERCENT, shards: int = SHARDS) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's `top` collocations of docs(doc_id, text, lang).
+    """(lang, rank, phrase, a, l, r, n, score): each language's `top` collocations of docs(text, lang).
 
     A text is split at .,;:!? and line ends into pieces and these at blanks and tabs into
     words, A-Z lower-cased. Of a phrase with a occurrences the score is floor(1000 a n / (l r))
     at its lowest cut into parts with l and r occurrences, n the language's words. A phrase
     inside a longer one with at least `percent` per cent of its occurrences is left out.
     Ranks go by score, then a (both descending), then the phrase's bytes, so that there are
-    no ties. A null lang is und, a null text empty; a doc_id may be null or repeated, it
-    only deals documents to shards. Repeated rows count again, other columns are not read,
-    and an empty table gives no rows. A text of b bytes needs about 60 b of memory.
+    no ties. A null lang is und, a null text empty. Repeated rows count again, other columns
+    are not read, and an empty table gives no rows. A text of b bytes needs about 60 b of
+    memory.
     """
     phrases, words, sizes = phrase_counts(docs, ws, support, longest, shards)
     scored = ws.table(_least_cut(phrases, words, sizes).join(_inside_longer(phrases, percent), ["lang", "phrase"], "left_anti"), "scored")
