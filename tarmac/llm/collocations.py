@@ -119,16 +119,21 @@ def _counted(held: dict[tuple[int, int], list[np.ndarray]]) -> Iterator[pa.Recor
 def _count_phrases(sizes: range, shared):
     """(lang, phrase, n) of the phrases whose hash passes the bitmap; counted as texts."""
 
-    def flush(counts: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-        langs, texts = zip(*counts)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([t.decode("utf-8", "replace") for t in texts]), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "n"])
+    def flush(counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, each in counts.items():
+            texts = pa.array([t.decode("utf-8", "replace") for t in each], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(each), pa.string()), texts, pa.array(list(each.values()), pa.int64())], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value, defaultdict(int)
+        known, counts = shared.value, defaultdict(lambda: defaultdict(int))
         for batch in batches:
             for part in slices(batch, "text"):
                 p = _Phrases(part)
                 langs, other = part.column("lang").to_pylist(), mix(p.words + _U(1))
+                lower = p.b.data.tobytes().lower()
+                # Up to each word: bytes of words. A phrase whose words have one blank between them is its bytes.
+                ends = np.concatenate([[0], np.cumsum(p.b.ends - p.b.starts)])
+                tabs = b"\t" in lower
                 for size in sizes:
                     if len(p.doc) < size:
                         continue
@@ -137,14 +142,16 @@ def _count_phrases(sizes: range, shared):
                     at = at[np.lexsort((second[at], h[at]))]
                     new = np.append(True, (np.diff(h[at]) != 0) | (np.diff(second[at]) != 0))[: len(at)]
                     first = np.flatnonzero(new)
-                    for i, n in zip(at[first], np.diff(first, append=len(at)).tolist()):
-                        text = p.b.data[p.b.starts[i] : p.b.ends[i + size - 1]].tobytes().lower()
-                        counts[(langs[p.doc[i]], b" ".join(text.split()))] += n
-                if len(counts) >= HELD >> 2:
-                    yield flush(counts)
+                    at, n = at[first], np.diff(first, append=len(at))
+                    begin, stop = p.b.starts[at], p.b.ends[at + size - 1]
+                    plain = (stop - begin == ends[at + size] - ends[at] + size - 1) & (not tabs)
+                    for lang, x, y, whole, k in zip(p.doc[at].tolist(), begin.tolist(), stop.tolist(), plain.tolist(), n.tolist()):
+                        text = lower[x:y]
+                        counts[langs[lang]][text if whole else b" ".join(text.split())] += k
+                if sum(map(len, counts.values())) >= HELD >> 2:
+                    yield from flush(counts)
                     counts.clear()
-        if counts:
-            yield flush(counts)
+        yield from flush(counts)
 
     return run
 
