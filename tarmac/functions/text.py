@@ -98,7 +98,7 @@ def product_of(text: Column) -> Column:
     kind = F.when(low.contains("engine"), "Engine").when(low.contains("propeller"), "Propeller").when(low.contains("rotorcraft") | low.contains("helicopter"), "Rotorcraft").otherwise("Aircraft")
     bare = F.regexp_replace(F.trim(text), r"(?i)\b(airplanes?|aircraft|engines?|propellers?|rotorcraft|helicopters?)\b", "")
     words = F.filter(F.split(F.translate(bare, ";", " "), r"\s+"), lambda w: w != "")
-    return F.struct(kind.alias("product_type"), F.get(words, F.lit(0)).alias("make"), F.nullif(F.array_join(F.slice(words, 2, 1000), " "), F.lit("")).alias("model"))
+    return F.struct(kind.alias("product_type"), F.get(words, F.lit(0)).alias("make"), F.nullif(F.array_join(F.slice(words, F.lit(2), F.size(words)), " "), F.lit("")).alias("model"))
 
 
 def safe_filename(s: Column) -> Column:

@@ -107,3 +107,18 @@ def ledger_entries(links: DataFrame, sets: DataFrame, snapshots: DataFrame) -> D
     out = out.unionByName(row(sets, (F.lit("coverage-materialization"), "target_key", "version"), "coverage_set", "derived_index_storage", F.col("source_bytes"), "estimated_logical_byte"))
     out = out.unionByName(row(snapshots, (F.lit("source-storage"), "content_hash"), "shared_source", "source_storage", F.col("storage_bytes"), "byte"))
     return out.dropDuplicates(["idempotency_key"])
+
+
+def cost_detail(coverages: DataFrame, ledger: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(coverage_id, actual_cost, allocated_cost, clients) of each coverage; clients are its active subscriptions by organisation and number.
+
+    ledger: coverage_id, actual_cost, allocated_cost. subscriptions: coverage_id,
+    organization_name, number, aircraft_id, status.
+    """
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("decimal(18,6)").alias(c)
+    costs = ledger.groupBy("coverage_id").agg(total("actual_cost"), total("allocated_cost"))
+    client = F.struct("organization_name", "number", "aircraft_id")
+    clients = subscriptions.where("status = 'active'").groupBy("coverage_id").agg(F.array_sort(F.collect_list(client)).alias("clients"))
+    out = coverages.select("coverage_id").distinct().join(costs, "coverage_id", "left").join(clients, "coverage_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,6)")).alias(c)
+    return out.select("coverage_id", zero("actual_cost"), zero("allocated_cost"), F.coalesce("clients", F.array().cast("array<struct<organization_name:string,number:string,aircraft_id:bigint>>")).alias("clients"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.text import component_role, match_text, optional_text
+from tarmac.functions.text import optional_text
+from tarmac.operators.applicability import CLOSE, Applicability, close_class_links
 
 
 def components_long(aircraft: DataFrame) -> DataFrame:
@@ -19,64 +20,14 @@ def components_long(aircraft: DataFrame) -> DataFrame:
     return rows.select("aircraft_id", "c.*").withColumn("display_name", F.concat_ws(" ", "make", "model", "serial"))
 
 
-#: Roles of components that may answer a target's role, where these are not just the same one.
-_COMPATIBLE = {
-    "airframe": ["airframe", "rotorcraft_airframe"], "rotorcraft_airframe": ["airframe", "rotorcraft_airframe"],
-    "propeller": ["propeller", "rotor_system"], "rotor_system": ["rotor_system", "propeller"], "appliance": ["appliance", "other", "unknown"],
-    "unknown": ["airframe", "engine", "propeller", "rotorcraft_airframe", "rotor_system", "drivetrain_transmission", "appliance", "other", "unknown"],
-}
-
-
-def _by_role(targets: DataFrame) -> DataFrame:
-    """Open targets, one row for each role of a component that may answer theirs."""
-    role = component_role(F.col("product_type"), F.lit(None).cast("string"))
-    roles = F.array(role)
-    for name, fit in _COMPATIBLE.items():
-        roles = F.when(role == name, F.array(*map(F.lit, fit))).otherwise(roles)
-    return targets.where("source_status in ('current', 'active', 'unknown')").withColumn("role", F.explode(roles))
-
-
 def component_targets(components: DataFrame, targets: DataFrame) -> DataFrame:
-    """(aircraft_id, directive_id, role) by a compatible role and equal make and model; a null on the target's side fits all.
+    """(aircraft_id, directive_id, role) by a compatible role and equal make and model; a null on the target's side fits all."""
+    return Applicability.of(components, targets).pairs()
 
-    The wildcard is a union of four equal joins, as an OR would be a nested loop.
-    """
-    t = _by_role(targets).select("directive_id", "role", match_text(F.col("make")).alias("m"), match_text(F.col("model")).alias("d"))
-    t = t.withColumns({"any_m": F.col("m") == "", "any_d": F.col("d") == ""})
-    c = components.select("aircraft_id", "role", match_text(F.col("make")).alias("m"), match_text(F.col("model")).alias("d"))
-    out = None
-    for any_m in (False, True):
-        for any_d in (False, True):
-            keys = ["role", *(["m"] if not any_m else []), *(["d"] if not any_d else [])]
-            part = t.where((F.col("any_m") == any_m) & (F.col("any_d") == any_d)).select("directive_id", *keys)
-            hits = c.join(part, keys).select("aircraft_id", "directive_id", "role")
-            out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
-
-
-def uncertain_components(components: DataFrame, targets: DataFrame, least: int = 4) -> DataFrame:
-    """(aircraft_id, directive_id) of both branches, for all roles: close make and model, or one that the target names and the component lacks.
-
-    Each alternative is an equal join: by role and what both sides lack, or by role and the first letters of the make.
-    """
-    t = _by_role(targets).select("directive_id", "role", match_text(F.col("make")).alias("tm"), match_text(F.col("model")).alias("td"))
-    c = components.select("aircraft_id", "role", match_text(F.col("make")).alias("cm"), match_text(F.col("model")).alias("cd"))
-
-    def close(a: str, b: str):
-        a, b = F.col(a), F.col(b)
-        return (F.least(F.length(a), F.length(b)) >= least) & (a != b) & (a.startswith(b) | b.startswith(a))
-
-    first = lambda df, col: df.withColumn("b", F.substring(col, 1, least))
-    parts = [
-        first(c, "cm").join(first(t, "tm"), ["role", "b"]).where(close("cm", "tm") & close("cd", "td")),
-        c.where("cm = ''").join(t.where("tm <> ''"), "role"),
-        c.where("cd = ''").join(t.where("td <> ''"), "role"),
-    ]
-    out = None
-    for part in parts:
-        part = part.select("aircraft_id", "directive_id")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+
+def uncertain_components(components: DataFrame, targets: DataFrame, least: int = CLOSE) -> DataFrame:
+    """(aircraft_id, directive_id) of both branches, for all roles: close make and model, or one that the target names and the component lacks."""
+    return Applicability.of(components, targets, lambda a, d: close_class_links(a, d, least)).pairs().select("aircraft_id", "directive_id").distinct()
 
 
 def coverage_sets(targets: DataFrame) -> DataFrame:
@@ -103,19 +54,39 @@ def coverage_status(components: DataFrame, covered: DataFrame) -> DataFrame:
 ACTION_WORDS = ("comply", "complied", "compliance", "inspect", "inspection", "replace", "replaced", "modify", "modified")
 
 
-def candidate_evidence(entries: DataFrame, directives: DataFrame, pairs: DataFrame, top: int = 5) -> DataFrame:
-    """The best entries for each (aircraft_id, directive_id) of pairs, with confidence, disposition and place.
+def _prefix_words(directives: DataFrame, seen: DataFrame) -> DataFrame:
+    """(directive_id, word, potential): each directive's words that some entry has, with the most that this word and all more frequent ones can add to a score.
+
+    An entry that needs n points of words and has none of the words with a potential of n
+    or more has only such that add less than n together. It thus meets the directive at a
+    rare word or not at all.
+    """
+    part = lambda c: F.array_contains(c, F.col("word")).cast("int")
+    own = F.array_except("action_words", F.array(*map(F.lit, ACTION_WORDS)))
+    words = directives.withColumn("_own", own).withColumn("word", F.explode(F.array_union(F.array_union("product_words", "title_words"), "_own")))
+    words = words.select("directive_id", "word", part("product_words").alias("p"), part("title_words").alias("t"), part("_own").alias("o")).join(seen, "word")
+    down = Window.partitionBy("directive_id").orderBy(F.desc("entries"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    points = F.least(40 * F.sum("p").over(down), F.lit(160)) + F.least(25 * F.sum("t").over(down), F.lit(100)) + F.least(40 * F.sum("o").over(down), F.lit(180))
+    return words.select("directive_id", "word", points.alias("potential"))
+
+
+def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Applicability | DataFrame, top: int = 5) -> DataFrame:
+    """The best entries for each applicable (aircraft_id, directive_id), with confidence, disposition and place.
 
     In thousandths: 820 for a citation that says complied or inspected, 450 for any other
     or for the bare number, and for each shared word 40 of products (160 at most), 40 of
-    actions (180) and 25 of the title (100), 950 in all; 200 or more are kept. As actions
-    alone don't reach that, an entry meets a directive by its number or a shared word of
-    the same aircraft: equal joins. Of equal scores the latest entry comes first.
-    directives: directive_id, ad_number, title, products, actions. Rows repeated in full count once.
+    actions (180) and 25 of the title (100), 950 in all; 200 or more are kept. An entry
+    meets a directive by its number, or by one of the directive's rare words in a class of
+    the entry's aircraft that the directive applies to, where all frequent ones together
+    would not do; pairs of aircraft and directives are never listed. Of equal scores the
+    latest entry comes first. directives: directive_id, ad_number, title, products,
+    actions. applicable: classes, or pairs. Rows repeated in full count once.
     """
     from tarmac.functions.maintenance import directive_references
     from tarmac.functions.text import keywords
 
+    if isinstance(applicable, DataFrame):
+        applicable = Applicability.of_pairs(applicable)
     none = F.array().cast("array<string>")
     shown, key = ["aircraft_id", "entry_id", "line_no", "entry_date", "quantity", "body"], ["aircraft_id", "_row"]
     e = entries.where("review_status = 'verified' and entry_date is not null").select(*shown).distinct()
@@ -125,22 +96,25 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, pairs: DataFra
         "directive_id", "ad_number", terms(F.col("products")).alias("product_words"), keywords(F.col("title")).alias("title_words"),
         F.array_union(terms(F.col("actions")), F.array(*map(F.lit, ACTION_WORDS))).alias("action_words"),
     )
-    cited = e.withColumn("_refs", directive_references(F.col("body")))
+    cited = e.select(*key, "body").withColumn("_refs", directive_references(F.col("body")))
+    # Of a number cited twice the first citation counts.
     cited = cited.withColumn("_refs", F.filter("_refs", lambda x, i: ~F.exists(F.slice("_refs", F.lit(1), i), lambda y: y["ad_number"] == x["ad_number"])))
     bare = F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("(?=([0-9]{4}-[0-9]{2}-[0-9]{2}))"), F.lit(1)))
     said = F.transform("_refs", lambda x: F.struct(x["ad_number"].alias("ad_number"), x["disposition"].alias("disposition")))
     other = F.transform(F.array_except(bare, F.transform("_refs", lambda x: x["ad_number"])), lambda n: F.struct(n.alias("ad_number"), F.lit(None).cast("string").alias("disposition")))
     named = cited.select(*key, F.explode(F.concat(said, other)).alias("m")).select(*key, "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
-    named = named.join(pairs.select("aircraft_id", "directive_id").distinct(), ["aircraft_id", "directive_id"], "left_semi").select(*key, "directive_id", "disposition", F.lit(True).alias("named"))
-    # What a word can add for a directive; with the entry's words of any action, this bounds the score, so that few pairs go on.
-    part = lambda c, x, each: F.when(F.array_contains(c, x), each).otherwise(0)
-    own = F.array_except("action_words", F.array(*map(F.lit, ACTION_WORDS)))
-    weighed = F.transform(F.array_union(F.array_union("product_words", "title_words"), "_own"), lambda x: F.struct(x.alias("word"), (part("product_words", x, 40) + part("title_words", x, 25) + part("_own", x, 40)).alias("weight")))
-    words = d.withColumn("_own", own).select("directive_id", F.explode(weighed).alias("x")).select("directive_id", "x.*")
-    words = pairs.select("aircraft_id", "directive_id").distinct().join(words, "directive_id")
-    said = e.withColumn("_w", keywords(F.col("body"))).withColumn("_any", 40 * F.size(F.array_intersect("_w", F.array(*map(F.lit, ACTION_WORDS)))))
-    worded = said.select(*key, "_any", F.explode("_w").alias("word")).join(words, ["aircraft_id", "word"])
-    worded = worded.groupBy(*key, "directive_id").agg(F.sum("weight").alias("_sum"), F.max("_any").alias("_any")).where("_sum + _any >= 200")
+    named = applicable.among(named.select(*key, "directive_id", "disposition", F.lit(True).alias("named")))
+
+    said = e.select(*key, keywords(F.col("body")).alias("_w"))
+    said = said.withColumn("need", 200 - F.least(40 * F.size(F.array_intersect("_w", F.array(*map(F.lit, ACTION_WORDS)))), F.lit(180)))
+    spoken = said.select(*key, "need", F.explode("_w").alias("word"))
+    rare = _prefix_words(d, spoken.groupBy("word").agg(F.count("*").alias("entries")))
+    rare = rare.where(F.col("potential") >= said.agg(F.min("need")).scalar())
+    by_class = rare.join(applicable.of_directives.select("directive_id", "target_class").distinct(), "directive_id").join(applicable.links, "target_class")
+    by_class = by_class.select("component_class", "word", "directive_id", "potential").distinct()
+    classed = spoken.join(applicable.of_aircraft.select("aircraft_id", "component_class").distinct(), "aircraft_id")
+    worded = classed.join(by_class, ["component_class", "word"]).where("potential >= need").select(*key, "directive_id").distinct()
+
     both = named.unionByName(worded.select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named")))
     met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named"))
     met = met.join(e.drop("aircraft_id"), "_row").join(d, "directive_id").withColumn("_w", keywords(F.col("body")))

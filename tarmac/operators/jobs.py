@@ -160,7 +160,7 @@ def anchor_clusters(spans: DataFrame, anchors: DataFrame, lookback: int = 140, g
 
 
 #: The columns that make an issue the same one, and the types that a run may resolve.
-SIGNATURE = ("issue_type", "directive_id", "publication_id", "target_id", "source_snapshot_id", "discovery_record_id")
+SIGNATURE = ("issue_type", "directive_id", "publication_id", "target_id", "aircraft_id", "source_snapshot_id")
 MANAGED = (
     "drs_source_degraded", "missing_federal_register_match", "ad_extraction_missing", "ad_extraction_incomplete",
     "applicability_missing", "target_applicability_stale", "applicability_target_incomplete", "supersession_correction_conflict",

@@ -17,47 +17,64 @@ REQUIRED = (
 LISTS = ("affectedProducts", "complianceActions", "complianceIntervals", "supersedesAdNumbers")
 
 
-def publication_signals(*texts: Column) -> Column:
-    """Words of supersession, correction and withdrawal in a publication's texts, sorted."""
-    text = F.lower(F.concat_ws(" ", *texts))
+#: Keys of a publication's metadata that may tell of a change.
+SIGNAL_KEYS = ("action", "correction", "document_type", "type")
+
+
+def publication_signals(*texts: Column, metadata: Column | None = None) -> Column:
+    """Words of supersession, correction and withdrawal in a publication's texts and in what its metadata (a map) says of changes, sorted."""
+    told = [] if metadata is None else [F.try_element_at(metadata, F.lit(k)) for k in SIGNAL_KEYS]
+    text = F.lower(F.concat_ws(" ", *texts, *told))
     has = lambda *words: F.greatest(*(text.contains(w) for w in words), F.lit(False))
     return F.array_compact(F.array(F.when(has("correction", "correcting"), "correction"), F.when(has("supersed"), "supersession"), F.when(has("withdraw", "rescinded"), "withdrawal")))
 
 
-def _spec(df: DataFrame, kind: str, severity: Column | str, payload: Column, **ids: str) -> DataFrame:
+def _spec(df: DataFrame, kind: str, severity: Column | str, payload: dict[str, Column | str], **ids: str) -> DataFrame:
+    """Rows of the signature, the severity, and the payload as JSON with its keys in the order given, nulls included."""
     columns = [F.lit(kind).alias("issue_type")] + [F.col(ids[k]).cast("long").alias(k) if k in ids else F.lit(None).cast("long").alias(k) for k in SIGNATURE[1:]]
-    return df.select(*columns, (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), payload.alias("payload"))
+    said = F.to_json(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in payload.items())), {"ignoreNullFields": "false"})
+    return df.select(*columns, (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), said.alias("payload"))
 
 
 def issue_specs(snapshots: DataFrame, directives: DataFrame, publications: DataFrame, extractions: DataFrame, applicability: DataFrame, edges: DataFrame) -> DataFrame:
     """What is wrong now, as rows of the signature, a severity and a payload: the rules of all eight managed types.
 
-    snapshots: snapshot_id, status. directives: directive_id, ad_number. publications:
-    publication_id, directive_id, source_system, status, title, kind. extractions:
-    directive_id, status. applicability: directive_id, publication_id, target_id, status,
-    basis, make, model. edges: ad_number, supersedes.
+    The payload holds all that may change while the issue stays the same one, so that a
+    later run tells updated from unchanged.
+    snapshots: snapshot_id, source_system, source_type, status, filename, content_hash,
+    parser_name, parser_version. directives: directive_id, ad_number, status,
+    extraction_status, review_status. publications: publication_id, directive_id,
+    source_system, source_type, source_identifier, status, title, metadata (a map).
+    extractions: directive_id, status. applicability: directive_id, publication_id,
+    target_id, status, basis, product_type, product_subtype, make, model. edges:
+    ad_number, supersedes.
     """
-    d = directives.select("directive_id", "ad_number")
-    number = F.col("ad_number")
+    d = directives.select("directive_id", "ad_number", F.col("status").alias("directive_status"), "extraction_status", "review_status")
     without = lambda child: d.join(child.select("directive_id").distinct(), "directive_id", "left_anti")
-    known = publications.groupBy("directive_id").agg(F.array_join(F.array_sort(F.collect_set("source_system")), ",").alias("known"))
-    listed = lambda df: df.join(known, "directive_id", "left").withColumn("known", F.coalesce("known", F.lit("")))
-    said = extractions.groupBy("directive_id").agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"), F.bool_or(F.col("status") == "approved").alias("approved"))
+    sorted_set = lambda df, column, name: df.groupBy("directive_id").agg(F.array_sort(F.collect_set(column)).alias(name))
+    known = sorted_set(publications, "source_system", "known")
+    listed = lambda df: df.join(known, "directive_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    said = sorted_set(extractions, "status", "statuses").where(~F.array_contains("statuses", "approved"))
     targets = applicability.join(d, "directive_id")
     linked = edges.select(F.explode(F.array("ad_number", "supersedes")).alias("ad_number")).distinct().withColumn("_linked", F.lit(True))
-    signals = publication_signals(F.col("status"), F.col("title"), F.col("kind"))
+    signals = publication_signals(F.col("status"), F.col("title"), metadata=F.col("metadata"))
     told = publications.withColumn("signals", signals).where(F.size("signals") > 0).join(d, "directive_id").join(linked, "ad_number", "left")
     told = told.where(F.col("_linked").isNull() | ~F.array_contains("signals", "supersession"))
-    missing = F.array_join(F.array_compact(F.array(F.when(F.coalesce("make", F.lit("")) == "", "make"), F.when(F.coalesce("model", F.lit("")) == "", "model"))), ",")
+    missing = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")) == "", c) for c in ("make", "model"))))
+    of_target, number = {"directive_id": "directive_id", "publication_id": "publication_id", "target_id": "target_id"}, {"adNumber": "ad_number"}
+    source = {"sourceSystem": "source_system", "sourceType": "source_type"}
     parts = [
-        _spec(snapshots.where(F.col("status").isin(*DEGRADED_SOURCES)), "drs_source_degraded", F.when(F.col("status").isin("failed", "unavailable"), "high").otherwise("medium"), F.col("status"), source_snapshot_id="snapshot_id"),
-        _spec(listed(without(publications.where("source_system = 'federal_register'"))), "missing_federal_register_match", "medium", F.concat_ws("|", number, "known"), directive_id="directive_id"),
-        _spec(without(extractions), "ad_extraction_missing", "medium", number, directive_id="directive_id"),
-        _spec(d.join(said.where("not approved"), "directive_id"), "ad_extraction_incomplete", "medium", F.concat_ws("|", number, "statuses"), directive_id="directive_id"),
-        _spec(listed(without(applicability)), "applicability_missing", "high", F.concat_ws("|", number, "known"), directive_id="directive_id"),
-        _spec(targets.where(F.col("status").isin(*DEGRADED_TARGETS)), "target_applicability_stale", "medium", F.concat_ws("|", number, "status", "basis"), directive_id="directive_id", publication_id="publication_id", target_id="target_id"),
-        _spec(targets.where(missing != ""), "applicability_target_incomplete", "medium", F.concat_ws("|", number, missing), directive_id="directive_id", publication_id="publication_id", target_id="target_id"),
-        _spec(told, "supersession_correction_conflict", "low", F.concat_ws("|", number, "source_system", F.array_join("signals", ",")), directive_id="directive_id", publication_id="publication_id"),
+        _spec(
+            snapshots.where(F.col("status").isin(*DEGRADED_SOURCES)), "drs_source_degraded", F.when(F.col("status").isin("failed", "unavailable"), "high").otherwise("medium"),
+            source | {"status": "status", "filename": "filename", "contentHash": "content_hash", "parserName": "parser_name", "parserVersion": "parser_version"}, source_snapshot_id="snapshot_id",
+        ),
+        _spec(listed(without(publications.where("source_system = 'federal_register'"))), "missing_federal_register_match", "medium", number | {"directiveStatus": "directive_status", "knownSourceSystems": "known"}, directive_id="directive_id"),
+        _spec(without(extractions), "ad_extraction_missing", "medium", number | {"extractionStatus": "extraction_status", "reviewStatus": "review_status"}, directive_id="directive_id"),
+        _spec(d.join(said, "directive_id"), "ad_extraction_incomplete", "medium", number | {"extractionStatuses": "statuses", "reviewStatus": "review_status"}, directive_id="directive_id"),
+        _spec(listed(without(applicability)), "applicability_missing", "high", number | {"sourceSystems": "known"}, directive_id="directive_id"),
+        _spec(targets.where(F.col("status").isin(*DEGRADED_TARGETS)), "target_applicability_stale", "medium", number | {"applicabilityStatus": "status", "basis": "basis"}, **of_target),
+        _spec(targets.where(F.size(missing) > 0), "applicability_target_incomplete", "medium", number | {"productType": "product_type", "productSubtype": "product_subtype", "missing": missing}, **of_target),
+        _spec(told, "supersession_correction_conflict", "low", number | source | {"sourceIdentifier": "source_identifier", "signals": "signals"}, directive_id="directive_id", publication_id="publication_id"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -274,3 +274,23 @@ def applicability_snapshot(best: DataFrame, components: DataFrame, targets: Data
         F.when(F.col("serial").isNull(), "unknown").otherwise("known").alias("serialStatus"),
     )
     return out.select("aircraft_id", "directive_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+def listed(rows: DataFrame, by: str, then: str) -> DataFrame:
+    """rows in a list's order, sorted by ranges over many tasks: the largest `by` first and nulls last, of equal ones the largest `then`."""
+    return rows.orderBy(F.desc_nulls_last(by), F.desc(then))
+
+
+def labelled_text(fields: dict[str, str]) -> Column:
+    """Lines `label: value` of the columns that are not null."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for label, c in fields.items()))
+
+
+def joined_text(*columns: str) -> Column:
+    """The columns' texts, null and empty ones left out, with a blank line between."""
+    return F.concat_ws("\n\n", *(F.nullif(F.col(c), F.lit("")) for c in columns))
+
+
+def round2(value: Column) -> Column:
+    """A time to two decimals, halves to even."""
+    return F.bround(value, 2)

@@ -126,29 +126,39 @@ def missing_fields(spark, sf_dir):
 
 
 def _issue_tables(spark, sf_dir):
-    d, k = bind(spark, sf_dir, "directives"), F.col("directive_id")
-    snapshots = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("snapshot_id"), F.get(F.array(*map(F.lit, ("complete", "partial", "failed", "stale", "unavailable"))), (F.col("s_suppkey") % 5).cast("int")).alias("status"))
-    publications = d.where(k % 6 != 0).select(k.alias("publication_id"), k, F.when(k % 2 == 0, "federal_register").otherwise("drs").alias("source_system"), F.when(k % 10 == 1, "Superseded").otherwise("current").alias("status"), "title", F.when(k % 9 == 0, "Correcting amendment").alias("kind"))
+    d, k, n = bind(spark, sf_dir, "directives"), F.col("directive_id"), F.col("s_suppkey")
+    pick = lambda n, *of: F.get(F.array(*map(F.lit, of)), n.cast("int"))
+    snapshots = table(spark, sf_dir, "supplier").select(
+        n.alias("snapshot_id"), pick(n % 5, "complete", "partial", "failed", "stale", "unavailable").alias("status"), F.lit("drs").alias("source_system"), pick(n % 2, "bulk_zip", "bulk_csv").alias("source_type"),
+        F.concat("s_name", F.lit(".zip")).alias("filename"), F.md5("s_name").alias("content_hash"), F.when(n % 3 != 0, "rows").alias("parser_name"), F.lit("2").alias("parser_version"),
+    )
+    publications = d.where(k % 6 != 0).select(
+        k.alias("publication_id"), k, F.when(k % 2 == 0, "federal_register").otherwise("drs").alias("source_system"), F.when(k % 2 == 0, "rule").alias("source_type"), F.concat(F.lit("doc-"), k).alias("source_identifier"),
+        F.when(k % 10 == 1, "Superseded").otherwise("current").alias("status"), "title", F.when(k % 9 == 0, F.create_map(pick(k % 4, "action", "correction", "document_type", "type"), F.lit("Correcting amendment"))).when(k % 9 == 1, F.create_map(F.lit("note"), F.lit("withdrawn"))).alias("metadata"),
+    )
     extractions = d.where(k % 5 != 0).select(k, F.when(k % 5 == 1, "needs_review").otherwise("approved").alias("status"))
-    applicability = d.where(k % 8 != 0).select(k, k.alias("publication_id"), (k + 1).alias("target_id"), F.when(k % 7 == 3, "stale").otherwise("current").alias("status"), F.lit("bulk").alias("basis"), "make", "model")
+    applicability = d.where(k % 8 != 0).select(k, k.alias("publication_id"), (k + 1).alias("target_id"), F.when(k % 7 == 3, "stale").otherwise("current").alias("status"), F.lit("bulk").alias("basis"), "product_type", F.lit(None).cast("string").alias("product_subtype"), "make", "model")
+    d = d.withColumns({"status": F.lower(F.trim("source_status")), "extraction_status": F.when(k % 5 == 0, "missing").otherwise("done"), "review_status": F.when(k % 3 == 0, "pending").otherwise("reviewed")})
     return snapshots, d, publications, extractions, applicability, bind(spark, sf_dir, "edges")
 
 
 _NULLS = "CAST(NULL AS BIGINT)"
 
 
-@query(f"""WITH d AS (SELECT *, directive_id AS k, ad_number IN (SELECT ad_number FROM edges UNION ALL SELECT supersedes FROM edges) AS linked, concat_ws(',', CASE WHEN directive_id % 9 = 0 THEN 'correction' END, CASE WHEN directive_id % 10 = 1 THEN 'supersession' END) AS signals,
-        CASE WHEN directive_id % 6 = 0 THEN '' WHEN directive_id % 2 = 0 THEN 'federal_register' ELSE 'drs' END AS known, concat_ws(',', CASE WHEN make IS NULL THEN 'make' END, CASE WHEN model IS NULL THEN 'model' END) AS missing FROM directives),
-    s AS (SELECT s_suppkey, ['complete', 'partial', 'failed', 'stale', 'unavailable'][1 + s_suppkey % 5] AS status FROM supplier),
-    x AS (SELECT 'drs_source_degraded' AS issue_type, {_NULLS} AS directive_id, {_NULLS} AS publication_id, {_NULLS} AS target_id, s_suppkey AS source_snapshot_id, CASE WHEN status IN ('failed', 'unavailable') THEN 'high' ELSE 'medium' END AS severity, status AS payload FROM s WHERE status <> 'complete'
-        UNION ALL SELECT 'missing_federal_register_match', k, NULL, NULL, NULL, 'medium', ad_number || '|' || known FROM d WHERE known <> 'federal_register'
-        UNION ALL SELECT 'ad_extraction_missing', k, NULL, NULL, NULL, 'medium', ad_number FROM d WHERE k % 5 = 0
-        UNION ALL SELECT 'ad_extraction_incomplete', k, NULL, NULL, NULL, 'medium', ad_number || '|needs_review' FROM d WHERE k % 5 = 1
-        UNION ALL SELECT 'applicability_missing', k, NULL, NULL, NULL, 'high', ad_number || '|' || known FROM d WHERE k % 8 = 0
-        UNION ALL SELECT 'target_applicability_stale', k, k, k + 1, NULL, 'medium', ad_number || '|stale|bulk' FROM d WHERE k % 8 <> 0 AND k % 7 = 3
-        UNION ALL SELECT 'applicability_target_incomplete', k, k, k + 1, NULL, 'medium', ad_number || '|' || missing FROM d WHERE k % 8 <> 0 AND missing <> ''
-        UNION ALL SELECT 'supersession_correction_conflict', k, k, NULL, NULL, 'low', ad_number || '|' || known || '|' || signals FROM d WHERE k % 6 <> 0 AND signals <> '' AND NOT (linked AND k % 10 = 1))
-    SELECT *, {_NULLS} AS discovery_record_id FROM x""")
+@query(f"""WITH d AS (SELECT *, directive_id AS k, lower(trim(source_status)) AS st, CASE WHEN directive_id % 3 = 0 THEN 'pending' ELSE 'reviewed' END AS rs, ad_number IN (SELECT ad_number FROM edges UNION ALL SELECT supersedes FROM edges) AS linked,
+        [x FOR x IN [CASE WHEN directive_id % 9 = 0 THEN 'correction' END, CASE WHEN directive_id % 10 = 1 THEN 'supersession' END] IF x IS NOT NULL] AS signals,
+        CASE WHEN directive_id % 6 = 0 THEN CAST([] AS VARCHAR[]) WHEN directive_id % 2 = 0 THEN ['federal_register'] ELSE ['drs'] END AS known, [x FOR x IN [CASE WHEN make IS NULL THEN 'make' END, CASE WHEN model IS NULL THEN 'model' END] IF x IS NOT NULL] AS missing FROM directives),
+    s AS (SELECT *, ['complete', 'partial', 'failed', 'stale', 'unavailable'][1 + s_suppkey % 5] AS status FROM supplier),
+    x AS (SELECT 'drs_source_degraded' AS issue_type, {_NULLS} AS directive_id, {_NULLS} AS publication_id, {_NULLS} AS target_id, s_suppkey AS source_snapshot_id, CASE WHEN status IN ('failed', 'unavailable') THEN 'high' ELSE 'medium' END AS severity,
+            json_object('sourceSystem', 'drs', 'sourceType', CASE WHEN s_suppkey % 2 = 0 THEN 'bulk_zip' ELSE 'bulk_csv' END, 'status', status, 'filename', s_name || '.zip', 'contentHash', md5(s_name), 'parserName', CASE WHEN s_suppkey % 3 <> 0 THEN 'rows' END, 'parserVersion', '2') AS payload FROM s WHERE status <> 'complete'
+        UNION ALL SELECT 'missing_federal_register_match', k, NULL, NULL, NULL, 'medium', json_object('adNumber', ad_number, 'directiveStatus', st, 'knownSourceSystems', known) FROM d WHERE NOT list_contains(known, 'federal_register')
+        UNION ALL SELECT 'ad_extraction_missing', k, NULL, NULL, NULL, 'medium', json_object('adNumber', ad_number, 'extractionStatus', 'missing', 'reviewStatus', rs) FROM d WHERE k % 5 = 0
+        UNION ALL SELECT 'ad_extraction_incomplete', k, NULL, NULL, NULL, 'medium', json_object('adNumber', ad_number, 'extractionStatuses', ['needs_review'], 'reviewStatus', rs) FROM d WHERE k % 5 = 1
+        UNION ALL SELECT 'applicability_missing', k, NULL, NULL, NULL, 'high', json_object('adNumber', ad_number, 'sourceSystems', known) FROM d WHERE k % 8 = 0
+        UNION ALL SELECT 'target_applicability_stale', k, k, k + 1, NULL, 'medium', json_object('adNumber', ad_number, 'applicabilityStatus', 'stale', 'basis', 'bulk') FROM d WHERE k % 8 <> 0 AND k % 7 = 3
+        UNION ALL SELECT 'applicability_target_incomplete', k, k, k + 1, NULL, 'medium', json_object('adNumber', ad_number, 'productType', product_type, 'productSubtype', NULL, 'missing', missing) FROM d WHERE k % 8 <> 0 AND len(missing) > 0
+        UNION ALL SELECT 'supersession_correction_conflict', k, k, NULL, NULL, 'low', json_object('adNumber', ad_number, 'sourceSystem', known[1], 'sourceType', CASE WHEN k % 2 = 0 THEN 'rule' END, 'sourceIdentifier', 'doc-' || k, 'signals', signals) FROM d WHERE k % 6 <> 0 AND len(signals) > 0 AND NOT (linked AND k % 10 = 1))
+    SELECT issue_type, directive_id, publication_id, target_id, {_NULLS} AS aircraft_id, source_snapshot_id, severity, CAST(payload AS VARCHAR) AS payload FROM x""")
 def issue_specs(spark, sf_dir):
     return reconcile.issue_specs(*_issue_tables(spark, sf_dir))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
+from tarmac.functions import entries as en
 from tarmac.operators import extraction, fleet, jobs, layout
+from tarmac.operators.applicability import Applicability
 from tarmac.plans.bindings import NUMBER, TABLES, bind, table
-from tarmac.plans.queries import _EVIDENCE, _MATCH, _facts, _hits, evidence_rank, query
+from tarmac.plans.queries import _EVIDENCE, _MATCH, _applicability, _facts, _hits, evidence_rank, query
 from tarmac.streaming.folders import shared_folder
 from tarmac.streaming import status
 
@@ -88,7 +89,7 @@ def entry_dates(spark, sf_dir):
     short = F.concat_ws(" / ", F.month("entry_date"), F.day("entry_date"), F.date_format("entry_date", "yy"))
     said = F.when(F.col("line_no") % 2 == 0, F.date_format("entry_date", "yyyy-MM-dd")).otherwise(short)
     text = F.concat(F.lit("no 2/30/1999 or 1234-56-789, on "), said, F.lit(" and 1/2/2003"))
-    return e.withColumn("entry_date", extraction.entry_date(text)).select("entry_id", "line_no", "part_id", "quantity", "entry_date")
+    return e.withColumn("entry_date", en.entry_date(text)).select("entry_id", "line_no", "part_id", "quantity", "entry_date")
 
 
 _SAMPLES = """l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS text, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no FROM documents),
@@ -183,24 +184,48 @@ def stream_workflow_state(spark, sf_dir):
     return status.latest_of(spark.read.parquet(f"{root}/out"), "workflow_type", "workflow_id").select("workflow_type", "workflow_id", "last.state")
 
 
-@query("SELECT ad_number, max(directive_id) AS directive_id, arg_max(title, directive_id) AS title FROM directives GROUP BY ad_number")
+_PUBLISHED = f"""SELECT {NUMBER.format(k='CAST(floor(p_partkey / 3) AS BIGINT)')} AS document_number, CAST(date_add(DATE '1990-01-01', CAST(40 * (p_partkey % 3) + p_size AS INT)) AS DATE) AS publication_date,
+    CASE WHEN p_size % 4 = 0 THEN 'same' ELSE p_name END AS content, p_partkey AS received FROM {{part}}"""
+
+
+@query(f"""WITH d AS (SELECT {NUMBER.format(k='CAST(floor(p_partkey / 3) AS BIGINT)')} AS document_number, p_partkey % 3 AS poll, CAST(DATE '1990-01-01' + CAST(40 * (p_partkey % 3) + p_size AS INT) AS DATE) AS publication_date, CASE WHEN p_size % 4 = 0 THEN 'same' ELSE p_name END AS content, p_partkey AS received FROM part),
+    a AS (SELECT * FROM d WHERE poll = 0), b AS (SELECT * FROM d WHERE poll = 1 AND publication_date >= (SELECT max(publication_date) FROM a)),
+    c AS (SELECT * FROM d WHERE poll = 2 AND publication_date >= (SELECT max(publication_date) FROM (FROM a UNION ALL FROM b))),
+    u AS (FROM a UNION ALL FROM b UNION ALL FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY document_number ORDER BY poll DESC, received DESC) AS place, count(DISTINCT poll) OVER (PARTITION BY document_number) AS polls FROM u)
+    SELECT document_number, publication_date, content, received, sha256(content) AS content_hash, polls FROM l WHERE place = 1""")
 def stream_discovery(spark, sf_dir):
-    """Directive rows as a stream into an append-only log; the last row of a number counts."""
-    root = shared_folder(spark, "stream")
-    stream = status.event_stream(spark, sf_dir, "part.parquet", table(spark, sf_dir, "part"))
-    rows = spark.sql(f"SELECT {NUMBER.format(k='p_partkey')} AS ad_number, p_partkey AS directive_id, p_name AS title FROM {{part}}", part=stream)
-    status.log_available(rows, f"{root}/checkpoint", f"{root}/log", lambda b: jobs.latest(b, ["ad_number"], ["directive_id"]))
-    return extraction.discovered(spark.read.parquet(f"{root}/log").drop("batch"), ["ad_number"], ["directive_id"])
+    """Three polls of a folder to which documents come between polls; each takes those from the high-water mark on, and updates the table in place."""
+    root = shared_folder(spark, "discovery")
+    rows = spark.sql(_PUBLISHED, part=table(spark, sf_dir, "part"))
+    held = status.UpsertTable(spark, f"{root}/table", "document_number string, publication_date date, content string, received bigint, content_hash string", ["document_number"], ["received"], buckets=8)
+    for poll in range(3):
+        rows.where(F.col("received") % 3 == poll).write.mode("append").parquet(f"{root}/feed")
+        status.poll_discovery(spark.readStream.schema(rows.schema).parquet(f"{root}/feed"), held, f"{root}/checkpoint", f"{root}/log")
+    # A number is in the log once for each batch that took it.
+    log = spark.read.schema("document_number string, action string").parquet(f"{root}/log").groupBy("document_number").agg(F.count("*").alias("polls"))
+    return held.read().join(log, "document_number")
 
 
-@query(f"WITH {_MATCH.strip().removeprefix('WITH')}, c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') SELECT DISTINCT aircraft_id FROM hits WHERE directive_id IN (SELECT user_id FROM c)")
+_CHANGED = """changes AS (SELECT 'entry' AS change_type, event_id AS id FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'aircraft', user_id FROM events WHERE event_type = 'signup' UNION ALL SELECT 'extraction', user_id FROM events WHERE event_type = 'error')"""
+
+
+@query(f"""WITH {_MATCH.strip().removeprefix('WITH')}, {_CHANGED}
+    SELECT DISTINCT aircraft_id, change_type FROM (SELECT aircraft_id, change_type FROM changes JOIN entries ON change_type = 'entry' AND entry_id = id UNION ALL SELECT id, change_type FROM changes WHERE change_type = 'aircraft'
+        UNION ALL SELECT aircraft_id, change_type FROM changes JOIN hits ON change_type = 'extraction' AND directive_id = id UNION ALL SELECT aircraft_id, change_type FROM changes JOIN entries ON change_type = 'extraction' AND part_id = id)""")
 def stream_invalidation(spark, sf_dir):
-    """Aircraft to be matched anew: changed directives, as a stream, joined with the matches."""
+    """Aircraft to be matched anew after changes of entries, aircraft and extractions: three streams, one checkpoint."""
     root = shared_folder(spark, "stream")
-    # Matched once, not in each micro-batch.
-    _hits(spark, sf_dir).select("aircraft_id", "directive_id").write.parquet(f"{root}/matches")
-    matches = spark.read.parquet(f"{root}/matches")
-    stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
-    changed = stream.where("event_type = 'error'").select(F.col("user_id").alias("directive_id"))
-    status.log_available(changed, f"{root}/checkpoint", f"{root}/log", lambda b: matches.join(b.distinct(), "directive_id", "left_semi").select("aircraft_id").distinct())
-    return spark.read.schema("aircraft_id long").parquet(f"{root}/log").select("aircraft_id").distinct()
+    whole, kept = _applicability(spark, sf_dir), {}
+    # The static sides are made once, not in each micro-batch.
+    for name, df in (("links", whole.links), ("of_aircraft", whole.of_aircraft), ("of_directives", whole.of_directives), ("entries", bind(spark, sf_dir, "entries").select("entry_id", "aircraft_id", "part_id"))):
+        df.write.parquet(f"{root}/{name}")
+        kept[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    entries = kept.pop("entries")
+    changes = None
+    for change, event, of in (("entry", "purchase", "event_id"), ("aircraft", "signup", "user_id"), ("extraction", "error", "user_id")):
+        stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
+        one = stream.where(F.col("event_type") == event).select(F.lit(change).alias("change_type"), F.col(of).alias("id"))
+        changes = one if changes is None else changes.unionByName(one)
+    subscribers = entries.select("aircraft_id", F.col("part_id").alias("directive_id")).distinct()
+    status.log_available(changes, f"{root}/checkpoint", f"{root}/log", lambda b: status.invalidated(b, entries, Applicability(**kept), subscribers))
+    return spark.read.schema("aircraft_id long, change_type string").parquet(f"{root}/log").select("aircraft_id", "change_type").distinct()

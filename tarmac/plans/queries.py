@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import text as tx
 from tarmac.operators import fleet, jobs
+from tarmac.operators.applicability import Applicability, close_class_links, installed
 from tarmac.plans.bindings import bind, table, with_bindings
 from tarmac.streaming import status
 from tarmac.streaming.folders import shared_folder
@@ -124,8 +125,12 @@ _MATCH = """
         AND (t.model IS NULL OR regexp_replace(lower(t.model), '[^a-z0-9]', '', 'g') = regexp_replace(lower(coalesce(c.model, '')), '[^a-z0-9]', '', 'g')))""".format(components=_COMPONENTS, status=_STATUS)
 
 
+def _applicability(spark, sf_dir, directives=None):
+    return Applicability.of(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir) if directives is None else directives)
+
+
 def _hits(spark, sf_dir):
-    return fleet.component_targets(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir))
+    return _applicability(spark, sf_dir).pairs()
 
 
 @query(f"WITH {_MATCH} SELECT * FROM hits")
@@ -133,29 +138,48 @@ def component_targets(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
-@query(f"""
-    WITH {_MATCH}, c AS (SELECT aircraft_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS cd FROM components),
-         n AS (SELECT directive_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS td FROM t)
-    SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role)
-    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '')
+_CLEAN = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]', '', 'g')"
+_CLASSES = """c AS (SELECT aircraft_id, role, {cm} AS cm, {cd} AS cd FROM {{source}}), n AS (SELECT directive_id, role, {tm} AS tm, {td} AS td FROM t),
+    cc AS (SELECT role, cm, cd, count(DISTINCT aircraft_id) AS aircraft FROM c GROUP BY ALL), nn AS (SELECT role, tm, td, count(DISTINCT directive_id) AS directives FROM n GROUP BY ALL)""".format(
+    cm=_CLEAN.format("make"), cd=_CLEAN.format("model"), tm=_CLEAN.format("make"), td=_CLEAN.format("model"))
+_CLOSE = """(cm = '' AND tm <> '') OR (cd = '' AND td <> '')
        OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
-           AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)""")
+           AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)"""
+_LINK_ROWS = "SELECT role || '|' || cm || '|' || cd AS component_class, role || '|' || tm || '|' || td AS target_class, aircraft, directives FROM cc JOIN nn USING (role) WHERE "
+
+
+@query(f"WITH {_MATCH}, {_CLASSES.format(source='components')} {_LINK_ROWS} {_CLOSE}")
 def uncertain_components(spark, sf_dir):
-    """Both branches and all roles, on the aircraft as they are bound."""
-    return fleet.uncertain_components(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir))
+    """Both branches and all roles, as links between classes with the aircraft and directives behind them."""
+    return Applicability.of(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir), close_class_links).counts()
 
 
-@query(f"""
-    WITH {_MATCH}, c AS (SELECT aircraft_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') || CASE WHEN role = 'airframe' THEN 'x' ELSE '' END AS cd FROM components),
-         n AS (SELECT directive_id, role, regexp_replace(lower(coalesce(make, '')), '[^a-z0-9]', '', 'g') AS tm, regexp_replace(lower(coalesce(model, '')), '[^a-z0-9]', '', 'g') AS td FROM t)
-    SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role)
-    WHERE (cm = '' AND tm <> '') OR (cd = '' AND td <> '')
-       OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
-           AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)""")
+_LONGER = "(SELECT aircraft_id, role, make, CASE WHEN role = 'airframe' THEN model || 'X' ELSE model END AS model FROM components)"
+
+
+@query(f"WITH {_MATCH}, {_CLASSES.format(source=_LONGER)} {_LINK_ROWS} {_CLOSE}")
 def uncertain_identity(spark, sf_dir):
     """The same where each airframe's model has one letter more than a target's."""
     planes = bind(spark, sf_dir, "aircraft").withColumn("model", F.concat("model", F.lit("X")))
-    return fleet.uncertain_components(fleet.components_long(planes), _directives(spark, sf_dir))
+    return Applicability.of(fleet.components_long(planes), _directives(spark, sf_dir), close_class_links).counts()
+
+
+@query(f"WITH {_MATCH}, {_CLASSES.format(source='components')} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE aircraft_id % 100 = 0 AND ({_CLOSE})")
+def uncertain_for_searched(spark, sf_dir):
+    """As pairs, for the query set of aircraft whose id is divisible by 100, against all directives."""
+    searched = bind(spark, sf_dir, "aircraft").where("aircraft_id % 100 = 0")
+    return fleet.uncertain_components(fleet.components_long(searched), _directives(spark, sf_dir))
+
+
+_REMOVED = "CASE WHEN role = 'engine' AND aircraft_id % 4 = 1 OR role = 'airframe' AND make = 'Brand#3' THEN DATE '2020-01-31' END"
+
+
+@query(f"""WITH {_MATCH}, {_CLASSES.format(source=f"(SELECT *, {_REMOVED} AS removed_at FROM components) WHERE removed_at IS NULL")}
+    {_LINK_ROWS} (tm = '' OR tm = cm) AND (td = '' OR td = cd)""")
+def applicability_classes(spark, sf_dir):
+    """Classes of installed components and the classes of targets that fit them; removed components fit nothing."""
+    parts = fleet.components_long(bind(spark, sf_dir, "aircraft")).withColumn("removed_at", F.expr(_REMOVED))
+    return Applicability.of(installed(parts), _directives(spark, sf_dir)).counts()
 
 
 @query(f"""
@@ -203,7 +227,7 @@ def _facts(spark, sf_dir):
 
 @query(f"WITH {_EVIDENCE} SELECT * FROM evidence WHERE place <= 5".replace("'polish', 'tighten'] AS aw", "'polish', 'tighten'][:CASE WHEN directive_id % 7 = 0 THEN 9 ELSE 11 END] AS aw"))
 def evidence_rank(spark, sf_dir):
-    return fleet.candidate_evidence(bind(spark, sf_dir, "entries"), _facts(spark, sf_dir), _hits(spark, sf_dir))
+    return fleet.candidate_evidence(bind(spark, sf_dir, "entries"), _facts(spark, sf_dir), _applicability(spark, sf_dir))
 
 
 _STATE = """
@@ -292,7 +316,7 @@ def anchor_clusters(spark, sf_dir):
 
 _ISSUES = """SELECT {columns}, max(payload) AS payload FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'applicability_missing' WHEN 1 THEN 'target_applicability_stale' WHEN 2 THEN 'ad_extraction_missing' ELSE 'other' END AS issue_type,
     p_size AS directive_id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 50 END AS publication_id, CASE WHEN p_size % 2 = 0 THEN p_size END AS target_id, CAST(NULL AS BIGINT) AS source_snapshot_id,
-    CAST(NULL AS BIGINT) AS discovery_record_id, {payload} AS payload FROM part WHERE {where}) GROUP BY ALL"""
+    CASE WHEN p_partkey % 9 = 0 THEN p_partkey % 7 END AS aircraft_id, {payload} AS payload FROM part WHERE {where}) GROUP BY ALL"""
 _SIGNATURE = ", ".join(jobs.SIGNATURE)
 
 
@@ -305,7 +329,7 @@ def reconciliation_diff(spark, sf_dir):
     p, size = table(spark, sf_dir, "part"), F.col("p_size")
     kind = F.get(F.array(*map(F.lit, ("applicability_missing", "target_applicability_stale", "ad_extraction_missing", "other"))), (F.col("p_partkey") % 4).cast("int"))
     none = F.lit(None).cast("long")
-    p = p.withColumns({"issue_type": kind, "directive_id": size, "publication_id": F.when(size % 3 != 0, F.col("p_partkey") % 50), "target_id": F.when(size % 2 == 0, size), "source_snapshot_id": none, "discovery_record_id": none, "severity": F.lit("medium")})
+    p = p.withColumns({"issue_type": kind, "directive_id": size, "publication_id": F.when(size % 3 != 0, F.col("p_partkey") % 50), "target_id": F.when(size % 2 == 0, size), "source_snapshot_id": none, "aircraft_id": F.when(F.col("p_partkey") % 9 == 0, F.col("p_partkey") % 7), "severity": F.lit("medium")})
     found = p.withColumn("payload", F.when(F.col("p_type").startswith("PROMO"), F.col("p_type")).otherwise(F.col("p_name")))
     return jobs.issue_diff(p.withColumn("payload", F.col("p_name")).where("p_brand <> 'Brand#11'"), found.where("p_brand <> 'Brand#22'"))
 
@@ -320,7 +344,9 @@ def job_completion(spark, sf_dir):
     SELECT DISTINCT aircraft_id, directive_id FROM (SELECT aircraft_id, directive_id FROM hits UNION ALL SELECT aircraft_id, part_id FROM entries) JOIN d USING (directive_id)""")
 def affected_aircraft(spark, sf_dir):
     subs = bind(spark, sf_dir, "entries").select("aircraft_id", F.col("part_id").alias("directive_id"))
-    return jobs.affected_aircraft(_hits(spark, sf_dir), subs, bind(spark, sf_dir, "directives").where("size > 45").select("directive_id"))
+    changed = _directives(spark, sf_dir).where("size > 45")
+    # Only the changed directives are paired with aircraft.
+    return jobs.affected_aircraft(_applicability(spark, sf_dir, changed).pairs(), subs, changed.select("directive_id"))
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import entries as en
 from tarmac.functions import text as tx
-from tarmac.operators import fleet, jobs, worklists
+from tarmac.operators import applicability, fleet, jobs, worklists
+from tarmac.operators.applicability import Applicability
 from tarmac.operators.review import extract_with
 from tarmac.plans.bindings import bind, table
-from tarmac.plans.queries import _EVIDENCE, _MATCH, _directives, _hits, evidence_rank, query
+from tarmac.plans.queries import _CLASSES, _CLOSE, _EVIDENCE, _MATCH, _directives, _facts, _hits, evidence_rank, query
 
 
 def _people(spark, sf_dir):
@@ -166,6 +167,33 @@ def applicability_decision(spark, sf_dir):
     return fleet.applicability_decision(p, bind(spark, sf_dir, "directives").where("directive_id % 5 <> 0"), _hits(spark, sf_dir), p.where(both % 3 == 0), p.where(both % 2 == 0))
 
 
+_DECIDED = f"""WITH {_MATCH.strip()}, {_CLASSES.format(source='components')},
+    p AS (SELECT DISTINCT aircraft_id, part_id AS directive_id FROM entries), s AS (SELECT directive_id FROM directives WHERE directive_id % 2 = 0),
+    x AS (SELECT p.*, list_sort(list_distinct([y FOR y IN [lower(a.make), lower(a.model), lower(trim(a.engine_make)), lower(trim(a.engine_model)), lower(nullif(trim(a.propeller_make), ''))] IF y IS NOT NULL])) AS terms, [y FOR y IN [lower(d.make), lower(d.model)] IF y IS NOT NULL] AS products
+          FROM p JOIN aircraft a USING (aircraft_id) JOIN directives d USING (directive_id)),
+    w AS (SELECT aircraft_id, directive_id, len(products) = 0 OR len([1 FOR y IN products IF contains(array_to_string(terms, ' '), y) OR len([1 FOR z IN terms IF contains(y, z)]) > 0]) > 0 AS fits FROM x),
+    u AS (SELECT DISTINCT aircraft_id, directive_id FROM p JOIN c USING (aircraft_id) JOIN n USING (directive_id) WHERE c.role = n.role AND ({_CLOSE})),
+    h AS (SELECT DISTINCT aircraft_id, directive_id FROM hits)"""
+
+
+@query(_DECIDED + " SELECT aircraft_id, directive_id FROM w WHERE fits")
+def product_text_pairs(spark, sf_dir):
+    """Of the pairs that an entry names, those whose products fit by their wording; a directive without products fits all."""
+    p = bind(spark, sf_dir, "entries").select("aircraft_id", F.col("part_id").alias("directive_id"))
+    return applicability.product_matches(p, bind(spark, sf_dir, "aircraft"), _facts(spark, sf_dir))
+
+
+@query(_DECIDED + """ SELECT aircraft_id, directive_id, CASE WHEN directive_id IN (FROM s) THEN CASE WHEN h.aircraft_id IS NOT NULL THEN 'applicable' WHEN u.aircraft_id IS NOT NULL THEN 'uncertain' ELSE 'skipped' END WHEN fits THEN 'applicable' ELSE 'skipped' END AS decision
+    FROM w LEFT JOIN h USING (aircraft_id, directive_id) LEFT JOIN u USING (aircraft_id, directive_id)""")
+def applicability_decided(spark, sf_dir):
+    """The decision for each pair that an entry names: by structured targets where the directive has any, else by its products' wording."""
+    p = bind(spark, sf_dir, "entries").select("aircraft_id", F.col("part_id").alias("directive_id")).distinct()
+    planes, d = bind(spark, sf_dir, "aircraft"), _directives(spark, sf_dir)
+    targets, parts = d.where("directive_id % 2 = 0"), fleet.components_long(planes)
+    hits, unsure = Applicability.of(parts, targets).among(p), Applicability.of(parts, targets, applicability.close_class_links).among(p)
+    return fleet.applicability_decision(p, targets, hits, unsure, applicability.product_matches(p, planes, _facts(spark, sf_dir)))
+
+
 @query(f"WITH {_MATCH.strip()} SELECT aircraft_id, directive_id, min(role) AS role, min(role) = 'airframe' AS serial_known FROM hits GROUP BY ALL")
 def best_component(spark, sf_dir):
     return fleet.best_component(_hits(spark, sf_dir), fleet.components_long(bind(spark, sf_dir, "aircraft")))

@@ -25,8 +25,13 @@ def test_entries_with_several_numbers(spark):
     assert got == want | {(6, 5): (0.225, None)}
 
 
-def test_references_of_lines():
-    from tarmac.functions.maintenance import references_of
+def test_references_of_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tarmac.functions.maintenance import directive_references
+
+    def references_of(t):
+        return spark.createDataFrame([(t,)], "t string").select(directive_references(F.col("t")).alias("r")).first()["r"]
 
     said = lambda t: [(r["ad_number"], r["disposition"], r["method"], r["recurring"], r["due_text"]) for r in references_of(t)]
     assert said("C/W AD 2011-10-09R1 by inspection of hub, due each 100 hours") == [("2011-10-09", "complied", "inspection of hub", True, "due each 100 hours")]
@@ -39,6 +44,38 @@ def test_references_of_lines():
     assert said("reviewed 2011-10-09") == [] and references_of(None) == []
 
 
+def test_words_alone_meet_at_rare_words(spark):
+    """The join on rare words finds what scoring every pair finds, with classes as with pairs."""
+    import random
+
+    from tarmac.operators import fleet
+    from tarmac.operators.applicability import Applicability
+
+    rng, day = random.Random(3), datetime.date(2020, 1, 1)
+    words = ["brand", "wing", "spar", "pump", "seat", "rail", "valve", "hub", "inspect", "replace", "modify", "complied", "zeta", "eta9"]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(rng.randint(1, 6), i, 1, day, pick(rng.randint(0, 9)), "verified", 1.0) for i in range(200)]
+    entries = spark.createDataFrame(rows, "aircraft_id int, entry_id int, line_no int, entry_date date, body string, review_status string, quantity double")
+    facts = [(k, f"20{k:02d}-01-01", pick(6), [pick(2)], [pick(2)] if k % 2 else None) for k in range(30)]
+    directives = spark.createDataFrame(facts, "directive_id int, ad_number string, title string, products array<string>, actions array<string>")
+    members = [(a, f"c{a % 3}") for a in range(1, 7)] + [(1, "c1")]
+    of = [(k, f"t{k % 4}") for k in range(30)]
+    links = [("c0", "t0"), ("c1", "t1"), ("c1", "t2"), ("c2", "t3"), ("c2", "t0")]
+    pairs = {(a, d) for a, c in members for d, t in of if (c, t) in links}
+    keys = lambda t: {w for w in (t or "").split() if len(w) > 2}
+    want = {}
+    for a, i, _, _, body, *_ in rows:
+        for k, number, title, products, actions in facts:
+            w = keys(body)
+            points = min(160, 40 * len(w & keys(" ".join(products)))) + min(180, 40 * len(w & (keys(" ".join(actions or [])) | set(fleet.ACTION_WORDS)))) + min(100, 25 * len(w & keys(title)))
+            if (a, k) in pairs and points >= 200:
+                want[(a, k, i)] = min(950, points) / 1000
+    classes = Applicability(spark.createDataFrame(links, "component_class string, target_class string"), spark.createDataFrame(members, "aircraft_id int, component_class string"), spark.createDataFrame(of, "directive_id int, target_class string"))
+    for applicable in (classes, spark.createDataFrame(sorted(pairs), "aircraft_id int, directive_id int")):
+        got = {(r["aircraft_id"], r["directive_id"], r["entry_id"]): float(r["confidence"]) for r in fleet.candidate_evidence(entries, directives, applicable, top=1000).collect()}
+        assert got == want and len(want) > 50
+
+
 def test_components_that_lack_a_make_or_model(spark):
     from tarmac.operators import fleet
 
