@@ -120,3 +120,26 @@ def gap_reason(title: Column, numbers: Column) -> Column:
     """Why a number may be missing from a source, by its document's title and how many numbers that has."""
     low = F.lower(title)
     return F.when(title.isNull(), "no_metadata").when(low.contains("correction"), "correction").when(low.contains("emergency"), "emergency").when(numbers == 0, "number_needs_detail").otherwise("gap_or_mismatch")
+
+
+def upload_tags(customer_tag: Column, organization: Column, aircraft_tag: Column, aircraft: Column, upload: Column, project: str, stage: str = "initial-ocr", environment: str = "pilot") -> Column:
+    """A map of an upload's cost tags: the given ones of its account and aircraft, else made from their ids."""
+    made = lambda prefix, c: tag_value(F.concat(F.lit(prefix), c.cast("string")), "")
+    account = F.coalesce(F.nullif(customer_tag, F.lit("")), made("acct-", organization))
+    plane = F.coalesce(F.nullif(aircraft_tag, F.lit("")), made("aircraft-", aircraft))
+    tags = {
+        "Project": F.lit(project), "Environment": F.lit(environment), "Application": F.lit(project), "CustomerAccount": account, "Aircraft": plane,
+        "Upload": made("upload-", upload), "BillableAccount": account, "BillingStage": tag_value(F.lit(stage), "ocr"),
+    }
+    return F.create_map(*(x for k, v in tags.items() for x in (F.lit(k), v)))
+
+
+def agency_names(agencies: Column) -> Column:
+    """Names of agencies(name, slug), their slugs where they have none; null agencies have none."""
+    one = lambda a: F.trim(F.coalesce(F.nullif(a["name"], F.lit("")), F.nullif(a["slug"], F.lit("")), F.lit("")))
+    return F.coalesce(F.transform(F.filter(agencies, lambda a: a.isNotNull()), one), F.array().cast("array<string>"))
+
+
+def keyword_overlap(a: Column, b: Column, shown: int = 4) -> Column:
+    """The first few of the words that two arrays share, sorted, as text."""
+    return F.array_join(F.slice(F.array_sort(F.array_intersect(a, b)), 1, shown), ", ")

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.text import optional_text
 from tarmac.operators.applicability import CLOSE, Applicability, close_class_links
+from tarmac.streaming.folders import shared_folder
 
 
 def components_long(aircraft: DataFrame) -> DataFrame:
-    """Wide aircraft facts as one row per component: the airframe always, others where any fact is given."""
-    one = lambda role, make, model, serial: F.struct(F.lit(role).alias("role"), optional_text(F.col(make)).alias("make"), optional_text(model).alias("model"), serial.alias("serial"))
-    none = F.lit(None).cast("string")
-    facts = F.array(
-        one("airframe", "make", F.col("model"), F.col("serial")), one("engine", "engine_make", F.col("engine_model"), none), one("propeller", "propeller_make", none, none)
-    )
-    rows = aircraft.select("aircraft_id", F.explode(F.filter(facts, lambda c: (c["role"] == "airframe") | c["make"].isNotNull() | c["model"].isNotNull())).alias("c"))
+    """Wide aircraft facts as one row per component: the airframe always, others where a make, model or serial is given.
+
+    Columns that the table lacks (engine_serial, propeller_model, propeller_serial) count as null.
+    """
+    given = lambda c: optional_text(F.col(c)) if c in aircraft.columns else F.lit(None).cast("string")
+    one = lambda role, make, model, serial: F.struct(F.lit(role).alias("role"), given(make).alias("make"), given(model).alias("model"), given(serial).alias("serial"))
+    facts = F.array(one("airframe", "make", "model", "serial"), one("engine", "engine_make", "engine_model", "engine_serial"), one("propeller", "propeller_make", "propeller_model", "propeller_serial"))
+    some = lambda c: (c["role"] == "airframe") | c["make"].isNotNull() | c["model"].isNotNull() | c["serial"].isNotNull()
+    rows = aircraft.select("aircraft_id", F.explode(F.filter(facts, some)).alias("c"))
     return rows.select("aircraft_id", "c.*").withColumn("display_name", F.concat_ws(" ", "make", "model", "serial"))
 
 
@@ -96,14 +99,15 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Ap
         "directive_id", "ad_number", terms(F.col("products")).alias("product_words"), keywords(F.col("title")).alias("title_words"),
         F.array_union(terms(F.col("actions")), F.array(*map(F.lit, ACTION_WORDS))).alias("action_words"),
     )
-    cited = e.select(*key, "body").withColumn("_refs", directive_references(F.col("body")))
+    e = e.withColumn("entry", F.struct(*shown))
+    cited = e.select(*key, "entry", "body").withColumn("_refs", directive_references(F.col("body")))
     # Of a number cited twice the first citation counts.
     cited = cited.withColumn("_refs", F.filter("_refs", lambda x, i: ~F.exists(F.slice("_refs", F.lit(1), i), lambda y: y["ad_number"] == x["ad_number"])))
     bare = F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("(?=([0-9]{4}-[0-9]{2}-[0-9]{2}))"), F.lit(1)))
     said = F.transform("_refs", lambda x: F.struct(x["ad_number"].alias("ad_number"), x["disposition"].alias("disposition")))
     other = F.transform(F.array_except(bare, F.transform("_refs", lambda x: x["ad_number"])), lambda n: F.struct(n.alias("ad_number"), F.lit(None).cast("string").alias("disposition")))
-    named = cited.select(*key, F.explode(F.concat(said, other)).alias("m")).select(*key, "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
-    named = applicable.among(named.select(*key, "directive_id", "disposition", F.lit(True).alias("named")))
+    named = cited.select(*key, "entry", F.explode(F.concat(said, other)).alias("m")).select(*key, "entry", "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
+    named = applicable.among(named.select(*key, "directive_id", "disposition", F.lit(True).alias("named"), "entry"))
 
     said = e.select(*key, keywords(F.col("body")).alias("_w"))
     said = said.withColumn("need", 200 - F.least(40 * F.size(F.array_intersect("_w", F.array(*map(F.lit, ACTION_WORDS)))), F.lit(180)))
@@ -112,12 +116,16 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Ap
     rare = rare.where(F.col("potential") >= said.agg(F.min("need")).scalar())
     by_class = rare.join(applicable.of_directives.select("directive_id", "target_class").distinct(), "directive_id").join(applicable.links, "target_class")
     by_class = by_class.select("component_class", "word", "directive_id", "potential").distinct()
+    # Written first, so that its size is known when the entries' words meet it: where few directives can be met by words alone, these are not shuffled.
+    spark, root = entries.sparkSession, shared_folder(entries.sparkSession, "evidence")
+    by_class.write.parquet(root)
+    by_class = spark.read.schema(by_class.schema).parquet(root)
     classed = spoken.join(applicable.of_aircraft.select("aircraft_id", "component_class").distinct(), "aircraft_id")
     worded = classed.join(by_class, ["component_class", "word"]).where("potential >= need").select(*key, "directive_id").distinct()
 
-    both = named.unionByName(worded.select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named")))
-    met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named"))
-    met = met.join(e.drop("aircraft_id"), "_row").join(d, "directive_id").withColumn("_w", keywords(F.col("body")))
+    both = named.unionByName(worded.join(e.select("_row", "entry"), "_row").select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named"), "entry"))
+    met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named"), F.first("entry").alias("entry"))
+    met = met.join(d, "directive_id").select("*", *(f"entry.{c}" for c in shown if c != "aircraft_id")).withColumn("_w", keywords(F.col("body")))
     points = lambda c, each, most: F.least(each * F.size(F.array_intersect("_w", c)), F.lit(most))
     claim = F.when(F.col("disposition").isin("complied", "inspected"), 820).when(F.col("named"), 450).otherwise(0)
     score = F.least(claim + points("product_words", 40, 160) + points("action_words", 40, 180) + points("title_words", 25, 100), F.lit(950))

@@ -212,3 +212,16 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[s
     known = target.select(*keys).distinct().withColumn("_known", F.lit(True))
     new = new.join(known, keys, "left").withColumn("created", F.col("_known").isNull()).drop("_known")
     return target.join(new.select(*keys), keys, "left_anti").withColumn("created", F.lit(False)).unionByName(new)
+
+
+def run_cost(unit: Column, pages: Column, seconds: Column, rate: Column) -> Column:
+    """A run's cost to 6 places, halves to even: pages at the rate, or hours of processing at it where the unit is compute_hour; null without a rate."""
+    exact = lambda c: c.cast("decimal(18,8)")
+    hours = F.when(unit == "compute_hour", exact(seconds) * exact(rate) / F.lit(3600))
+    return F.bround(F.coalesce(hours, exact(pages) * exact(rate)), 6).cast(MONEY)
+
+
+def span_type_counts(spans: DataFrame) -> DataFrame:
+    """(page_id, types): per page a map from each type of span to how many there are."""
+    n = spans.groupBy("page_id", "span_type").agg(F.count("*").alias("n"))
+    return n.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("span_type", "n")))).alias("types"))

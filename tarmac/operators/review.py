@@ -26,12 +26,14 @@ _TIMES = ("tach_time", "hobbs_time", "total_time")
 
 
 def validate_candidates(drafts: DataFrame, today: str) -> DataFrame:
-    """drafts with issues (field, code, severity), a status, and the citations printed in their lines.
+    """drafts with issues (field, code, severity), a status, whether they could be accepted unseen, results of their fields, and the citations printed in their lines.
 
     drafts: date_was_extracted, entry_date, description, tach_time, hobbs_time, total_time,
     performer_name, performer_credential, spans (a map from field to its source text),
     lines, requires_review. A zero counts only where its source says so. Any blocking
-    issue rejects; others leave the draft to a person.
+    issue rejects; others leave the draft to a person. A field's result is its value as
+    text, whether a source supports it, and its disposition: null, candidate, unsupported,
+    or rejected for a date that can't be.
     """
     c, spans = F.col, F.col("spans")
     has = lambda f: F.coalesce(F.map_contains_key(spans, f), F.lit(False))
@@ -61,7 +63,19 @@ def validate_candidates(drafts: DataFrame, today: str) -> DataFrame:
     cited = F.transform(F.regexp_extract_all(source, F.lit(CITATION), F.lit(0)), lambda x: F.concat_ws("-", *(F.regexp_extract(x, CITATION, k) for k in (1, 2, 3))))
     out = drafts.withColumn("issues", F.array_compact(F.array(*found)))
     status = F.when(F.exists("issues", lambda x: x["severity"] == "blocking"), "rejected").when(F.size("issues") > 0, "passed_with_review").otherwise("passed")
-    return out.withColumns({"status": status, "cited": F.array_sort(F.array_distinct(cited))})
+    late = (c("entry_date") > F.to_date(F.lit(today))) | (F.year("entry_date") < 1900)
+
+    def result(f: str, supported: Column, disposition: Column, value: Column | None = None) -> Column:
+        return F.struct(F.lit(f).alias("field"), (c(f).cast("string") if value is None else value).alias("value"), supported.alias("source_supported"), disposition.alias("disposition"))
+
+    described = (F.trim(F.coalesce("description", F.lit(""))) != "") & has("description")
+    results = [
+        result("entry_date", ~missing & ~late, F.when(missing, "unsupported").when(late, "rejected").otherwise("candidate"), F.when(~missing, c("entry_date").cast("string"))),
+        result("description", described, F.when(described, "candidate").otherwise("unsupported"), F.nullif(c("description"), F.lit(""))),
+    ]
+    for f in (*_TIMES, "performer_name", "performer_credential"):
+        results.append(result(f, c(f).isNull() | has(f), F.when(c(f).isNull(), "null").when(has(f), "candidate").otherwise("unsupported")))
+    return out.withColumns({"status": status, "accepted": F.size("issues") == 0, "field_results": F.array(*results), "cited": F.array_sort(F.array_distinct(cited))})
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -99,6 +113,27 @@ def sample_report(samples: DataFrame, ids: DataFrame) -> DataFrame:
     return samples.join(have, "doc_id", "left").groupBy("status").agg(F.count("*").alias("samples"), F.count_if(F.col("_here").isNull()).alias("missing"))
 
 
+def sample_crosscheck(samples: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """samples(id, status) with bulk_present and the status that counts: missing where ids lacks the sample; without a set of ids presence is null and the status stays (ambiguous where there is none)."""
+    given = samples.withColumn("original_status", F.coalesce("status", F.lit("ambiguous")))
+    if ids is None:
+        return given.withColumn("bulk_present", F.lit(None).cast("boolean")).withColumn("status", F.col("original_status"))
+    have = ids.select("id").distinct().withColumn("_here", F.lit(True))
+    checked = given.join(have, "id", "left").withColumn("bulk_present", F.coalesce("_here", F.lit(False))).drop("_here")
+    return checked.withColumn("status", F.when(F.col("bulk_present"), F.col("original_status")).otherwise("missing"))
+
+
+#: States of a sample that leave it open.
+AMBIGUOUS = ("ambiguous", "snapshot_unparseable", "historical_source_unavailable")
+
+
+def sample_confidence(checked: DataFrame) -> DataFrame:
+    """One row: samples, missing, ambiguous, and low where any is missing, high where none is open, else conditional; no samples are conditional."""
+    out = checked.agg(F.count("*").alias("samples"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status").isin(*AMBIGUOUS)).alias("ambiguous"))
+    level = F.when(F.col("missing") > 0, "low").when((F.col("ambiguous") == 0) & (F.col("samples") > 0), "high").otherwise("conditional")
+    return out.withColumn("confidence", level)
+
+
 def partition_check(assigned: DataFrame, item: str, part: str) -> DataFrame:
     """Items in more than one partition."""
     return assigned.groupBy(item).agg(F.countDistinct(part).alias("parts")).where("parts > 1")

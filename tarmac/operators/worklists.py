@@ -294,3 +294,26 @@ def joined_text(*columns: str) -> Column:
 def round2(value: Column) -> Column:
     """A time to two decimals, halves to even."""
     return F.bround(value, 2)
+
+
+def pending_directives(directives: DataFrame, n: int) -> DataFrame:
+    """The first n directives by id that have no extraction or one to review: a top-k report."""
+    return directives.where("extraction_status in ('not_started', 'needs_review')").orderBy("directive_id").limit(n)
+
+
+def edited_fields(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per row of review_outcome's fields: how many were edited, and a map of the decisions."""
+    item = F.struct("field", "decision")
+    edited = F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("edited")
+    return outcomes.groupBy(*keys).agg(edited, F.map_from_entries(F.array_sort(F.collect_list(item))).alias("decisions"))
+
+
+def field_overrides(outcomes: DataFrame, entries: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """An evidence row for each field that a person changed in an entry made from recognised text that has evidence: old and new value, and where its first evidence stands.
+
+    outcomes: review_outcome's rows. entries: keys, source_type. evidence: keys,
+    evidence_id, created_at, upload_id, page_id.
+    """
+    changed = outcomes.where(~F.col("old").eqNullSafe(F.col("new"))).join(entries.where("source_type = 'ocr_ingestion'").select(*keys), keys, "left_semi")
+    source = first_of(evidence, keys, "created_at", "evidence_id").select(*keys, "upload_id", "page_id")
+    return changed.join(source, keys).select(*keys, "upload_id", "page_id", F.lit("human_override").alias("evidence_type"), F.col("field").alias("field_name"), F.col("old").alias("previous_value"), F.col("new").alias("new_value"))

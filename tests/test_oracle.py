@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+import tarmac.plans.detail_queries  # noqa: F401
 import tarmac.plans.domain_queries  # noqa: F401
 import tarmac.plans.match_queries  # noqa: F401
 import tarmac.plans.page_queries  # noqa: F401
