@@ -109,6 +109,16 @@ class Applicability:
         a, d = F.col("aircraft_id").cast("string").alias("component_class"), F.col("directive_id").cast("string").alias("target_class")
         return cls(pairs.select(a, d).distinct(), pairs.select("aircraft_id", a).distinct(), pairs.select("directive_id", d).distinct())
 
+    def written(self, root: str) -> Applicability:
+        """The same, kept as tables under root, for consumers that use it several times."""
+
+        def kept(name: str) -> DataFrame:
+            df = getattr(self, name)
+            df.write.parquet(f"{root}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+        return Applicability(kept("links"), kept("of_aircraft"), kept("of_directives"))
+
     def pairs(self) -> DataFrame:
         """(aircraft_id, directive_id, role): all pairs. Their number grows with the product of both sides; filter a side before."""
         a, d = self.of_aircraft, self.of_directives.select("directive_id", "target_class")

@@ -90,6 +90,8 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Ap
 
     if isinstance(applicable, DataFrame):
         applicable = Applicability.of_pairs(applicable)
+    spark, root = entries.sparkSession, shared_folder(entries.sparkSession, "evidence")
+    applicable = applicable.written(root)
     none = F.array().cast("array<string>")
     shown, key = ["aircraft_id", "entry_id", "line_no", "entry_date", "quantity", "body"], ["aircraft_id", "_row"]
     e = entries.where("review_status = 'verified' and entry_date is not null").select(*shown).distinct()
@@ -117,9 +119,8 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Ap
     by_class = rare.join(applicable.of_directives.select("directive_id", "target_class").distinct(), "directive_id").join(applicable.links, "target_class")
     by_class = by_class.select("component_class", "word", "directive_id", "potential").distinct()
     # Written first, so that its size is known when the entries' words meet it: where few directives can be met by words alone, these are not shuffled.
-    spark, root = entries.sparkSession, shared_folder(entries.sparkSession, "evidence")
-    by_class.write.parquet(root)
-    by_class = spark.read.schema(by_class.schema).parquet(root)
+    by_class.write.parquet(f"{root}/rare")
+    by_class = spark.read.schema(by_class.schema).parquet(f"{root}/rare")
     classed = spoken.join(applicable.of_aircraft.select("aircraft_id", "component_class").distinct(), "aircraft_id")
     worded = classed.join(by_class, ["component_class", "word"]).where("potential >= need").select(*key, "directive_id").distinct()
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import entries as en
 from tarmac.operators import extraction, fleet, jobs, layout
-from tarmac.operators.applicability import Applicability
 from tarmac.plans.bindings import NUMBER, TABLES, bind, table
 from tarmac.plans.queries import _EVIDENCE, _MATCH, _applicability, _facts, _hits, evidence_rank, query
 from tarmac.streaming.folders import shared_folder
@@ -215,17 +214,16 @@ _CHANGED = """changes AS (SELECT 'entry' AS change_type, event_id AS id FROM eve
 def stream_invalidation(spark, sf_dir):
     """Aircraft to be matched anew after changes of entries, aircraft and extractions: three streams, one checkpoint."""
     root = shared_folder(spark, "stream")
-    whole, kept = _applicability(spark, sf_dir), {}
     # The static sides are made once, not in each micro-batch.
-    for name, df in (("links", whole.links), ("of_aircraft", whole.of_aircraft), ("of_directives", whole.of_directives), ("entries", bind(spark, sf_dir, "entries").select("entry_id", "aircraft_id", "part_id"))):
-        df.write.parquet(f"{root}/{name}")
-        kept[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
-    entries = kept.pop("entries")
+    whole = _applicability(spark, sf_dir).written(root)
+    entries = bind(spark, sf_dir, "entries").select("entry_id", "aircraft_id", "part_id")
+    entries.write.parquet(f"{root}/entries")
+    entries = spark.read.schema(entries.schema).parquet(f"{root}/entries")
     changes = None
     for change, event, of in (("entry", "purchase", "event_id"), ("aircraft", "signup", "user_id"), ("extraction", "error", "user_id")):
         stream = status.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events"))
         one = stream.where(F.col("event_type") == event).select(F.lit(change).alias("change_type"), F.col(of).alias("id"))
         changes = one if changes is None else changes.unionByName(one)
     subscribers = entries.select("aircraft_id", F.col("part_id").alias("directive_id")).distinct()
-    status.log_available(changes, f"{root}/checkpoint", f"{root}/log", lambda b: status.invalidated(b, entries, Applicability(**kept), subscribers))
+    status.log_available(changes, f"{root}/checkpoint", f"{root}/log", lambda b: status.invalidated(b, entries, whole, subscribers))
     return spark.read.schema("aircraft_id long, change_type string").parquet(f"{root}/log").select("aircraft_id", "change_type").distinct()

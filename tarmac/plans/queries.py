@@ -164,10 +164,10 @@ def uncertain_identity(spark, sf_dir):
     return Applicability.of(fleet.components_long(planes), _directives(spark, sf_dir), close_class_links).counts()
 
 
-@query(f"WITH {_MATCH}, {_CLASSES.format(source='components')} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE aircraft_id % 100 = 0 AND ({_CLOSE})")
+@query(f"WITH {_MATCH}, {_CLASSES.format(source=_LONGER)} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE aircraft_id % 100 = 0 AND ({_CLOSE})")
 def uncertain_for_searched(spark, sf_dir):
     """As pairs, for the query set of aircraft whose id is divisible by 100, against all directives."""
-    searched = bind(spark, sf_dir, "aircraft").where("aircraft_id % 100 = 0")
+    searched = bind(spark, sf_dir, "aircraft").where("aircraft_id % 100 = 0").withColumn("model", F.concat("model", F.lit("X")))
     return fleet.uncertain_components(fleet.components_long(searched), _directives(spark, sf_dir))
 
 
