@@ -39,7 +39,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; documents with no word left, too. A text that loses none stays as it is, any other has single blanks."""
+    """Words of repeated passages go; documents with no word left, too. A text that loses none stays as it is, any other has single blanks.
+
+    All copies of a passage go, so there are no ties. Null texts stay null. A text of b bytes needs about 40 b of memory, however long.
+    """
     out = substring_dedup.substring_dedup(docs, Workspace(spark, "stage4"))
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
     kept = out.where("n_removed = 0 or n_removed < n_words")
@@ -47,7 +50,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths, each a sequence, with their ids; a null text is just the end id."""
+    """Pieces of power-of-two lengths, each a sequence, with their ids; a null text is just the end id.
+
+    Rows that repeat are packed each; nothing ties, as no row's pieces depend on another's. Long texts are cut into as many pieces as they need.
+    """
     return packing.pack(docs, vocabulary(WORDS), Workspace(spark, "stage5"))
 
 
