@@ -135,6 +135,18 @@ class Applicability:
         d = self.of_directives.groupBy("target_class").agg(F.countDistinct("directive_id").alias("directives"))
         return self.links.join(a, "component_class").join(d, "target_class")
 
+    def rows(self) -> DataFrame:
+        """All pairs without a row for each: a row of kind link for each link, as counts() has it, and for each member of a linked class one of kind aircraft or directive.
+
+        A pair is linked where a link joins a class of the aircraft to one of the directive. The rows grow with the members, not with their product.
+        """
+        a = self.of_aircraft.select("component_class", "aircraft_id").distinct().join(self.links, "component_class", "left_semi")
+        d = self.of_directives.select("target_class", "directive_id").distinct().join(self.links, "target_class", "left_semi")
+        out = self.counts().withColumn("kind", F.lit("link"))
+        for name, members in (("aircraft", a), ("directive", d)):
+            out = out.unionByName(members.withColumn("kind", F.lit(name)), allowMissingColumns=True)
+        return out.select("kind", "component_class", "target_class", "aircraft_id", "directive_id", "aircraft", "directives")
+
 
 #: An aircraft's facts that its products are compared with.
 FACTS = ("make", "model", "engine_make", "engine_model", "propeller_make", "propeller_model")

@@ -146,12 +146,16 @@ _CLOSE = """(cm = '' AND tm <> '') OR (cd = '' AND td <> '')
        OR (cm <> tm AND cd <> td AND (starts_with(cm, tm) OR starts_with(tm, cm)) AND (starts_with(cd, td) OR starts_with(td, cd))
            AND least(length(cm), length(tm)) >= 4 AND least(length(cd), length(td)) >= 4)"""
 _LINK_ROWS = "SELECT role || '|' || cm || '|' || cd AS component_class, role || '|' || tm || '|' || td AS target_class, aircraft, directives FROM cc JOIN nn USING (role) WHERE "
+_CLOSE_ROWS = f""", l AS (SELECT * FROM cc JOIN nn USING (role) WHERE {_CLOSE})
+    SELECT 'link' AS kind, role || '|' || cm || '|' || cd AS component_class, role || '|' || tm || '|' || td AS target_class, NULL AS aircraft_id, NULL AS directive_id, aircraft, directives FROM l
+    UNION ALL SELECT DISTINCT 'aircraft', role || '|' || cm || '|' || cd, NULL, aircraft_id, NULL, NULL, NULL FROM c SEMI JOIN l USING (role, cm, cd)
+    UNION ALL SELECT DISTINCT 'directive', NULL, role || '|' || tm || '|' || td, NULL, directive_id, NULL, NULL FROM n SEMI JOIN l USING (role, tm, td)"""
 
 
-@query(f"WITH {_MATCH}, {_CLASSES.format(source='components')} {_LINK_ROWS} {_CLOSE}")
+@query(f"WITH {_MATCH}, {_CLASSES.format(source='components')} {_CLOSE_ROWS}")
 def uncertain_components(spark, sf_dir):
-    """Both branches and all roles, as links between classes with the aircraft and directives behind them."""
-    return Applicability.of(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir), close_class_links).counts()
+    """Both branches and all roles, as links between classes and the aircraft and directives that are in these."""
+    return Applicability.of(fleet.components_long(bind(spark, sf_dir, "aircraft")), _directives(spark, sf_dir), close_class_links).rows()
 
 
 _LONGER = "(SELECT aircraft_id, role, make, CASE WHEN role = 'airframe' THEN model || 'X' ELSE model END AS model FROM components)"

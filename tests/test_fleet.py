@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
+
+from tarmac.plans import queries
+from tarmac.plans.bindings import TABLES
+
 
 def test_entries_with_several_numbers(spark):
     from tarmac.operators import fleet
@@ -89,3 +94,27 @@ def test_components_that_lack_a_make_or_model(spark):
     )
     got = {tuple(r) for r in fleet.uncertain_components(components, targets).collect()}
     assert got == {(1, 1), (1, 2), (1, 4), (2, 3), (4, 1), (4, 2), (4, 4), (5, 3)}
+
+
+@pytest.mark.parametrize("name, source", [("uncertain_components", "components")])
+def test_links_and_members_give_all_pairs(spark, name, source):
+    """From the rows of the query every pair of an aircraft and a directive that its first SQL listed, and no other."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.QUERIES[name](spark, sf).collect()
+    aircraft, directives, links = {}, {}, set()
+    for r in rows:
+        if r["kind"] == "aircraft":
+            aircraft.setdefault(r["component_class"], set()).add(r["aircraft_id"])
+        elif r["kind"] == "directive":
+            directives.setdefault(r["target_class"], set()).add(r["directive_id"])
+        else:
+            links.add((r["component_class"], r["target_class"], r["aircraft"], r["directives"]))
+    assert all((len(aircraft[c]), len(directives[t])) == (a, d) for c, t, a, d in links)
+    got = {(a, d) for c, t, *_ in links for a in aircraft[c] for d in directives[t]}
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    pairs = f"WITH {queries._MATCH}, {queries._CLASSES.format(source=source)} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE {queries._CLOSE}"
+    assert got == set(con.sql(queries.with_bindings(pairs)).fetchall()) and len(got) > len(rows)
