@@ -161,11 +161,11 @@ def uncertain_components(spark, sf_dir):
 _LONGER = "(SELECT aircraft_id, role, make, CASE WHEN role = 'airframe' THEN model || 'X' ELSE model END AS model FROM components)"
 
 
-@query(f"WITH {_MATCH}, {_CLASSES.format(source=_LONGER)} {_LINK_ROWS} {_CLOSE}")
+@query(f"WITH {_MATCH}, {_CLASSES.format(source=_LONGER)} {_CLOSE_ROWS}")
 def uncertain_identity(spark, sf_dir):
     """The same where each airframe's model has one letter more than a target's."""
     planes = bind(spark, sf_dir, "aircraft").withColumn("model", F.concat("model", F.lit("X")))
-    return Applicability.of(fleet.components_long(planes), _directives(spark, sf_dir), close_class_links).counts()
+    return Applicability.of(fleet.components_long(planes), _directives(spark, sf_dir), close_class_links).rows()
 
 
 @query(f"WITH {_MATCH}, {_CLASSES.format(source=_LONGER)} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE aircraft_id % 100 = 0 AND ({_CLOSE})")

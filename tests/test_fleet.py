@@ -96,7 +96,7 @@ def test_components_that_lack_a_make_or_model(spark):
     assert got == {(1, 1), (1, 2), (1, 4), (2, 3), (4, 1), (4, 2), (4, 4), (5, 3)}
 
 
-@pytest.mark.parametrize("name, source", [("uncertain_components", "components")])
+@pytest.mark.parametrize("name, source", [("uncertain_components", "components"), ("uncertain_identity", queries._LONGER)])
 def test_links_and_members_give_all_pairs(spark, name, source):
     """From the rows of the query every pair of an aircraft and a directive that its first SQL listed, and no other."""
     import duckdb
