@@ -22,6 +22,8 @@ SKETCH = 8
 SLICES = 8
 #: In bands below this size each element is a group of its own.
 SINGLE = 64
+#: Sets that stay apart meet by one key in SOONER first; PARTNERS places hold the sets that each has met so, which do not meet by the other keys again.
+SOONER, PARTNERS = 16, 1024
 _SETS = ", ".join(
     [
         "node bigint, linkable boolean, up int, n_shingles bigint, total bigint, wanted bigint, set_a bigint, set_b bigint",
@@ -265,13 +267,35 @@ def _shared_keys(described: DataFrame, copies: DataFrame, ws: Workspace) -> Data
     return out
 
 
+def _heads(part: DataFrame) -> DataFrame:
+    """(key, head): the smallest node of each key that several nodes have. Of keys that just the same nodes have (by count and digests) only one is given, as the others show the same pairs."""
+    digest = [F.bit_xor(F.xxhash64("node")).alias("da"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 32)).alias("db")]
+    each = part.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count("*").alias("n"), *digest).where("head <> tail")
+    return each.groupBy("head", "tail", "n", "da", "db").agg(F.min("key").alias("key")).select("key", "head")
+
+
+def _meet(own: DataFrame, others: DataFrame, more: Column) -> DataFrame:
+    """(a, b): the different pairs of each key's x and y that are apart and that the bounds allow, of two x just once, where more holds, too."""
+    both = own.alias("p").join(others.alias("q").hint("shuffle_merge"), F.col("p.key") == F.col("q.key")).where("x <> y and p.label <> q.label and (x < y or not q.mine)")
+    both = both.where(_may_link("p", "q")).where(more)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _partners(pairs: DataFrame) -> DataFrame:
+    """(node, partners): nodes that each node of the pairs has met, at most PARTNERS, the smallest of each place. One that finds no place only meets again."""
+    each = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("node", "partner")
+    kept = each.groupBy("node", F.pmod(F.xxhash64("partner"), F.lit(PARTNERS)).alias("place")).agg(F.min("partner").alias("partner"))
+    return kept.groupBy("node").agg(F.collect_list("partner").alias("partners"))
+
+
 def similarity_links(rows: DataFrame, ws: Workspace, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The set of each of rows(node, text, linkable), and (node, component) of every node with a link to another one.
 
     known(a, b) are links that hold already. Nodes with equal sets link at once; the
     smallest stands for them. Each key's nodes first meet its smallest one. Only nodes that
     are then still apart from it are compared with the others of their key that they are
-    still apart from, so all links are found up to connectivity, without all pairs of a group.
+    still apart from, so all links are found up to connectivity, without all pairs of a group;
+    a pair that a few of the keys show is not shown again by each other key that both have.
     """
     described = ws.table(rows.select("node", "text", "linkable").mapInArrow(_describe, _SETS), "described")
     every = described.where("up = 0").drop("up", "total", "wanted", *(f"keys{k}" for k in range(SLICES)))
@@ -282,8 +306,7 @@ def similarity_links(rows: DataFrame, ws: Workspace, known: DataFrame | None = N
         found.add(known)
     found.add(_same_sets(sets))
     part = _shared_keys(described, found.parts[-1], ws)
-    heads = part.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
-    met = ws.table(part.join(heads.hint("shuffle_merge"), "key").where("node <> head"), "met")
+    met = ws.table(part.join(_heads(part).hint("shuffle_merge"), "key").where("node <> head"), "met")
     pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = ws.table(found.plausible(pairs), "pairs")
     found.add(found.verified(pairs.groupBy("b").agg(F.min("a").alias("a"))))
@@ -303,10 +326,17 @@ def similarity_links(rows: DataFrame, ws: Workspace, known: DataFrame | None = N
         label = sets.select("node", "n_shingles", *sketch).join(found.labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         label = label.select("node", "n_shingles", *sketch, F.coalesce("component", "node").alias("label"))
         own = ws.table(bad.join(label.withColumnRenamed("node", "x"), "x"), "own")
-        others = met.select("key", F.explode(F.array("head", "node")).alias("y")).distinct().join(bad.select("key").distinct(), "key", "left_semi")
+        others = met.select("key", F.explode(F.array("head", "node")).alias("y")).join(bad.select("key").distinct(), "key", "left_semi")
+        others = others.withColumn("mine", F.lit(False)).unionByName(bad.select("key", F.col("x").alias("y"), F.lit(True).alias("mine")))
+        others = others.groupBy("key", "y").agg(F.max("mine").alias("mine"))
         others = ws.table(others.join(label.withColumnRenamed("node", "y"), "y"), "others")
-        both = own.alias("p").join(others.alias("q").hint("shuffle_merge"), F.col("p.key") == F.col("q.key")).where("x <> y and p.label <> q.label").where(_may_link("p", "q"))
-        found.add(found.verified(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        # Texts a little below the similarity share most of their keys: few of these show most pairs, which the rest then need not show again.
+        sooner = ws.table(_meet(*(x.where(F.pmod("key", F.lit(SOONER)) == 0) for x in (own, others)), F.lit(True)), "sooner")
+        found.add(found.verified(sooner))
+        own = own.join(_partners(sooner).withColumnRenamed("node", "x").hint("shuffle_merge"), "x", "left")
+        later = ws.table(_meet(own, others, ~F.coalesce(F.array_contains("p.partners", F.col("q.y")), F.lit(False))), "later")
+        found.relabel()
+        found.add(found.verified(found.apart(later)))
         found.relabel()
     return every, found.labels
 
