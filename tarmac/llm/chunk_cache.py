@@ -6,6 +6,7 @@ import functools
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 
@@ -17,7 +18,9 @@ REMEMBERED = 400_000
 PIECE_CHARS = 1 << 22
 _CHUNK, _BLANK = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 #: ASCII and accented Latin letters as one character each: their lower case is another one of them, and normal forms change nothing.
-_PLAIN = re.compile(r"[\x21-\x7e\xc0-\u012f\u0131-\u0148\u014a-\u017e]*")
+_PLAIN_CHARS = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x130), *range(0x131, 0x149), *range(0x14A, 0x17F))]
+#: Those that are their own lower case.
+_PLAIN = re.compile("[" + "".join(re.escape(c) for c in _PLAIN_CHARS if c == c.lower()) + "]*")
 _PLAIN_TEXT = re.compile(r"[\x20-\x7e\x09-\x0d\xc0-\u012f\u0131-\u0148\u014a-\u017e]*")
 
 
@@ -77,6 +80,7 @@ def library_cache(path: str) -> ChunkCache:
     kind = id_type(path)
     width = np.dtype(kind).itemsize
     pattern, last = _split_pattern(path), _last_tokens(path, tokenizer)
+    marked = _or_line_feed(pattern)
     words: dict[str, bytes] = {}
 
     def library(texts: list[str]) -> list[bytes]:
@@ -96,19 +100,29 @@ def library_cache(path: str) -> ChunkCache:
                 out += library(part)
         return out
 
+    def parts_of(chunks: list[str]) -> list[str]:
+        """The pre-tokens of the chunks, a line feed behind those of each; one search for all, where the pattern leaves line feeds alone."""
+        flat = marked.findall("\n".join([*chunks, ""]))
+        return flat if flat.count("\n") == len(chunks) else [x for t in chunks for x in (*pattern.findall(t), "\n")]
+
     def encode(chunks: list[str]) -> list[bytes]:
         # The pre-tokens of plain lower-case chunks are the pattern's matches, each encoded alone: words recur with other punctuation around.
-        plain = pattern is not None
-        split = [pattern.findall(t) if plain and _PLAIN.fullmatch(t) and "<|" not in t and t == t.lower() else None for t in chunks]
-        needed = set().union(*filter(None, split))
+        plain = [pattern is not None and _PLAIN.fullmatch(t) is not None and "<|" not in t for t in chunks]
+        flat = parts_of(list(compress(chunks, plain))) if any(plain) else []
+        needed = set(flat)
+        needed.discard("\n")
         new = list(needed.difference(words))
         if len(words) + len(new) > REMEMBERED:
             words.clear()
             new = list(needed)
         words.update(zip(new, together(new)))
-        rest = iter(library([t for t, many in zip(chunks, split) if many is None]))
-        get = words.__getitem__
-        return [next(rest) if many is None else get(many[0]) if len(many) == 1 else b"".join(map(get, many)) for many in split]
+        words["\n"] = b""
+        ids = list(map(words.__getitem__, flat))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[np.fromiter(map("\n".__eq__, flat), bool, len(flat))].tolist()
+        every = b"".join(ids)
+        own = iter([every[a:b] for a, b in zip([0, *ends], ends)])
+        rest = iter(library([t for t, p in zip(chunks, plain) if not p]))
+        return [next(own if p else rest) for p in plain]
 
     return ChunkCache(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
@@ -138,6 +152,13 @@ def _split_pattern(path: str):
     return regex.compile(found[0]) if len(found) == 1 else None
 
 
+def _or_line_feed(pattern):
+    """The pattern, matching a line feed where nothing else does."""
+    import regex
+
+    return regex.compile(f"(?:{pattern.pattern})|\\n", pattern.flags) if pattern is not None else None
+
+
 @functools.lru_cache(8)
 def id_type(path: str) -> str:
     """The smallest unsigned type that holds every id of the tokenizer file."""
