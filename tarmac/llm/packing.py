@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.chunk_cache import id_type, library_cache
+from tarmac.llm.chunk_cache import PIECE_CHARS, id_type, library_cache
 from tarmac.llm.word_arrays import slices
 from tarmac.llm.workspace import Workspace
 
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
         task, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([END], kind).tobytes()
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_CHARS):
                 ids = [x + end for x in cache.encode_all(part.column("text").to_pylist())]
                 lengths = np.array([len(x) // width for x in ids])
                 doc, own, at = _cut(lengths)

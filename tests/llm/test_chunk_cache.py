@@ -71,3 +71,33 @@ def test_a_pattern_that_takes_line_feeds_along(monkeypatch, library):
     monkeypatch.setattr(chunk_cache, "_split_pattern", lambda path: regex.compile(own.pattern.replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]+[\n]*"), own.flags))
     cache, kind = chunk_cache.library_cache(vocabulary(WORDS)), chunk_cache.id_type(vocabulary(WORDS))
     assert ids_of(cache, kind, texts()) == library(texts())
+
+
+def test_words_that_recur_are_encoded_once(monkeypatch, library):
+    """Rare words push others of their kind out, not those that every text has."""
+    import tokenizers
+
+    asked = []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        from_file = classmethod(lambda cls, path: cls(Tokenizer.from_file(path)))
+        from_str = classmethod(lambda cls, spec: cls(Tokenizer.from_str(spec)))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, given, **options):
+            asked.extend(w for t in given for w in t.split())
+            return self.inner.encode_batch_fast(given, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    monkeypatch.setattr(chunk_cache, "REMEMBERED", 300)
+    rng = random.Random(22)
+    words = list({"".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(700)})[:650]
+    given = [" ".join(words[:50] + words[a : a + 60]) + " " for a in range(50, 650, 60)]
+    cache, kind = chunk_cache.library_cache(vocabulary(WORDS)), chunk_cache.id_type(vocabulary(WORDS))
+    assert [ids_of(cache, kind, [t])[0] for t in given] == library(given)
+    assert len(asked) == len(set(asked)) == 650
