@@ -108,21 +108,16 @@ class BlockEncoder:
 def library_cache(path: str) -> BlockEncoder:
     """Ids by the tokenizers library for the file at path, little-endian 16 bits where all ids fit, else 32."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    kind = id_type(path)
+    split, kind = _of_split_text(path), id_type(path)
     width = np.dtype(kind).itemsize
-    pattern, last = _split_pattern(path), _last_tokens(path, tokenizer)
-    marked, split = _or_line_feed(pattern), _of_split_text(path)
+    pattern, last = _split_pattern(path), _last_tokens(path, split)
+    marked = _or_line_feed(pattern)
     #: Ids of pre-tokens: of those met lately, and of those met before these.
     recent: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
     def library(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, kind).tobytes() for e in _whole(path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(parts: list[str]) -> list[bytes]:
         """Ids of pre-tokens, from one text of them all where as many ids end a pre-token."""
@@ -174,7 +169,18 @@ def library_cache(path: str) -> BlockEncoder:
         rest = iter(library([t for t, p in zip(chunks, plain) if not p]))
         return pa.array([next(own if p else rest) for p in plain], pa.large_binary())
 
-    return BlockEncoder(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    return BlockEncoder(encode, [t.content for t in split.get_added_tokens_decoder().values()])
+
+
+@functools.lru_cache(2)
+def _whole(path: str):
+    """The file's tokenizer with all its steps; loaded where a text needs them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def _last_tokens(path: str, tokenizer) -> np.ndarray:

@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
                     "ids": pa.Array.from_buffers(pa.large_binary(), len(own), buffers).cast(pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
+        pa.default_memory_pool().release_unused()  # the worker lives on beside later stages
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, rank bigint, ids binary"
     return ws.table(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
