@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.operators.applicability import Applicability
 from tarmac.streaming.folders import shared_folder
 
 MONEY = "decimal(18,6)"
@@ -190,10 +191,19 @@ def job_completion(entries: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("entries") == F.col("verified"), "complete").otherwise("awaiting_review"))
 
 
-def affected_aircraft(matches: DataFrame, subscribers: DataFrame, directives: DataFrame) -> DataFrame:
-    """Aircraft with a match on, or a subscription to, one of the directives."""
-    one = matches.join(directives, "directive_id", "left_semi").select("aircraft_id", "directive_id")
-    return one.unionByName(subscribers.join(directives, "directive_id", "left_semi").select("aircraft_id", "directive_id")).distinct()
+def affected_aircraft(matches: Applicability | DataFrame, subscribers: DataFrame, directives: DataFrame) -> DataFrame:
+    """Aircraft with a match on, or a subscription to, one of the directives.
+
+    matches: pairs, or the classes that they are made from, which spares a shuffle of the pairs.
+    """
+    subs = subscribers.join(directives, "directive_id", "left_semi").select("aircraft_id", "directive_id")
+    if not isinstance(matches, Applicability):
+        return matches.join(directives, "directive_id", "left_semi").select("aircraft_id", "directive_id").unionByName(subs).distinct()
+    matches = matches.of_only(directives).written(shared_folder(subs.sparkSession, "affected"))
+    linked = matches.first_roles(subs)
+    same = F.col("s.aircraft_id").eqNullSafe(F.col("l.aircraft_id")) & (F.col("s.directive_id") == F.col("l.directive_id"))
+    others = subs.distinct().alias("s").join(linked.alias("l"), same, "left_anti").select("aircraft_id", "directive_id")
+    return matches.pairs(first=True).select("aircraft_id", "directive_id").unionByName(others)
 
 
 def recent_feed(df: DataFrame, n: int, *newest_first: str) -> DataFrame:
