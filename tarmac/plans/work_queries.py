@@ -196,7 +196,7 @@ def applicability_decided(spark, sf_dir):
 
 @query(f"WITH {_MATCH.strip()} SELECT aircraft_id, directive_id, min(role) AS role, min(role) = 'airframe' AS serial_known FROM hits GROUP BY ALL")
 def best_component(spark, sf_dir):
-    return fleet.best_component(_hits(spark, sf_dir), fleet.components_long(bind(spark, sf_dir, "aircraft")))
+    return fleet.best_component(_applicability(spark, sf_dir), fleet.components_long(bind(spark, sf_dir, "aircraft")))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'content_type' WHEN doc_id % 5 = 0 THEN 'extension' WHEN source IS NULL OR doc_id % 7 = 0 THEN 'section' WHEN doc_id % 3 = 0 THEN 'consent_required' END AS issue FROM documents""")
