@@ -164,7 +164,7 @@ def match_detail(spark, sf_dir):
 def applicability_decision(spark, sf_dir):
     p = bind(spark, sf_dir, "entries").select("aircraft_id", F.col("part_id").alias("directive_id")).distinct()
     both = F.col("aircraft_id") + F.col("directive_id")
-    return fleet.applicability_decision(p, bind(spark, sf_dir, "directives").where("directive_id % 5 <> 0"), _hits(spark, sf_dir), p.where(both % 3 == 0), p.where(both % 2 == 0))
+    return fleet.applicability_decision(p, bind(spark, sf_dir, "directives").where("directive_id % 5 <> 0"), _applicability(spark, sf_dir).among(p), p.where(both % 3 == 0), p.where(both % 2 == 0))
 
 
 _DECIDED = f"""WITH {_MATCH.strip()}, {_CLASSES.format(source='components')},
