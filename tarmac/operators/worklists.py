@@ -20,10 +20,17 @@ def owner_scope(memberships: DataFrame) -> DataFrame:
 
 
 def maintenance_scope(memberships: DataFrame, organizations: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(user_id, aircraft_id) that an active member of a maintenance organization may work on by an active assignment."""
+    """(user_id, aircraft_id) that an active member of a maintenance organization may work on by an active assignment.
+
+    Pairs come from blocks of an organization's members and aircraft, each pair once, and are not shuffled.
+    """
     shops = organizations.where("organization_type = 'maintenance'").select("organization_id")
-    members = memberships.where("status = 'active'").join(shops, "organization_id", "left_semi").select("user_id", "organization_id")
-    return members.join(assignments.where("status = 'active'").select("organization_id", "aircraft_id"), "organization_id").select("user_id", "aircraft_id").distinct()
+    shop = F.col("organization_id").cast("string")
+    members = memberships.where("status = 'active' and organization_id is not null").join(shops, "organization_id", "left_semi").select(F.col("user_id").alias("aircraft_id"), F.lit("member").alias("role"), shop.alias("component_class")).distinct()
+    served = assignments.where("status = 'active' and organization_id is not null").select(F.col("aircraft_id").alias("directive_id"), shop.alias("target_class")).distinct()
+    same = lambda a, d: a.select("component_class").distinct().join(d.select("target_class").distinct(), F.col("component_class") == F.col("target_class"))
+    scope = Applicability(same(members, served), members, served, same).pairs(first=True)
+    return scope.select(F.col("aircraft_id").alias("user_id"), F.col("directive_id").alias("aircraft_id"))
 
 
 def search(df: DataFrame, term: str, *columns: str) -> DataFrame:

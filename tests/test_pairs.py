@@ -83,3 +83,40 @@ def test_pairs_are_not_shuffled(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         top = plan[: plan.index("SortMergeJoin")]
         assert "Exchange" not in top and "Aggregate" not in top
+
+
+def test_maintenance_scope_is_not_shuffled_as_pairs(spark, small_blocks):
+    rng = random.Random(7)
+    some = lambda *of: rng.choice(of)
+    rows = [(some(*range(40), None), some(*range(6), None), some("active", "active", "invited")) for _ in range(120)]
+    served = [(some(*range(6), None), some(*range(50), None), some("active", "active", "ended")) for _ in range(120)]
+    m, s = spark.createDataFrame(rows, "user_id bigint, organization_id int, status string"), spark.createDataFrame(served, "organization_id int, aircraft_id bigint, status string")
+    o = spark.createDataFrame([(i, "maintenance" if i % 2 else "owner") for i in range(6)], "organization_id int, organization_type string")
+    out = worklists.maintenance_scope(m, o, s)
+    want = {(u, a) for u, i, x in rows for j, a, y in served if i is not None and i == j and i % 2 and x == y == "active"}
+    assert len(want) > 100 and listed(out) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_cost_detail_makes_a_shared_list_once(spark):
+    from tarmac.operators import coverage
+
+    sets = [(1, 7), (2, 7), (3, 8), (4, 7), (4, 8), (5, 9), (6, 7), (6, 7), (7, None), (None, 7)]
+    of = {7: [("b", "2", 2, "active"), ("a", "9", 9, "active"), ("a", "1", 1, "ended")], 8: [("c", "3", 3, "active")], 9: [("d", "4", 4, "ended")]}
+    kind = "bigint, organization_name string, number string, aircraft_id bigint, status string"
+    ledger = spark.createDataFrame([(1, 2.5, 0.5), (1, 1.0, None), (None, 9.0, 9.0)], "coverage_id bigint, actual_cost double, allocated_cost double")
+    groups = spark.createDataFrame(sets, "coverage_id bigint, group_id bigint")
+    ids = groups.select("coverage_id")
+    pairs = spark.createDataFrame([(c, *x) for c, g in sets for x in of.get(g, [])], f"coverage_id {kind}")
+    grouped = spark.createDataFrame([(g, *x) for g in of for x in of[g]], f"group_id {kind}")
+    said = lambda c: F.concat_ws(",", F.transform(c, lambda x: x["number"]))
+    want = listed(coverage.cost_detail(ids, ledger, pairs))
+    assert listed(coverage.cost_detail(ids, ledger, grouped, groups)) == want
+    got = {r["coverage_id"]: (str(r["actual_cost"]), str(r["allocated_cost"]), r["clients"]) for r in coverage.cost_detail(ids, ledger, grouped, groups, said).collect()}
+    assert got[1] == ("3.500000", "0.500000", "9,2") and got[4][2] == "9,2,3" and got[5][2] == "" and got[6][2] == "9,9,2,2" and got[7][2] == got[None][2] == ""
+    # 200 coverages share 200 clients: no join makes their 40,000 pairs before the list.
+    many = spark.range(200).select(F.col("id").alias("coverage_id"), F.lit(1).cast("bigint").alias("group_id"))
+    subs = spark.range(200).select(F.lit(1).cast("bigint").alias("group_id"), F.lit("o").alias("organization_name"), F.col("id").cast("string").alias("number"), F.col("id").alias("aircraft_id"), F.lit("active").alias("status"))
+    out = coverage.cost_detail(many.select("coverage_id"), ledger, subs, many, lambda c: F.size(c))
+    assert {r["clients"] for r in out.collect()} == {200}
