@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,16 +111,34 @@ def ledger_entries(links: DataFrame, sets: DataFrame, snapshots: DataFrame) -> D
     return out.dropDuplicates(["idempotency_key"])
 
 
-def cost_detail(coverages: DataFrame, ledger: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(coverage_id, actual_cost, allocated_cost, clients) of each coverage; clients are its active subscriptions by organisation and number.
+#: Copies of a list of clients that are dealt to tasks, so that the coverages of one organisation are not all met in one.
+COPIES = 8
+
+
+def cost_detail(coverages: DataFrame, ledger: DataFrame, subscriptions: DataFrame, groups: DataFrame | None = None, shown: Callable[[Column], Column] = lambda clients: clients) -> DataFrame:
+    """(coverage_id, actual_cost, allocated_cost, clients) of each coverage; clients are its active subscriptions by organisation and number, as `shown` makes them of the list.
 
     ledger: coverage_id, actual_cost, allocated_cost. subscriptions: coverage_id,
-    organization_name, number, aircraft_id, status.
+    organization_name, number, aircraft_id, status. With groups(coverage_id, group_id) the
+    subscriptions are those of a group_id in the place of a coverage_id, and each coverage
+    has those of its groups: a list is then made once for the coverages that share it.
     """
     total = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("decimal(18,6)").alias(c)
     costs = ledger.groupBy("coverage_id").agg(total("actual_cost"), total("allocated_cost"))
+    if groups is None:
+        groups, subscriptions = subscriptions.select("coverage_id", F.col("coverage_id").alias("group_id")).distinct(), subscriptions.withColumnRenamed("coverage_id", "group_id")
     client = F.struct("organization_name", "number", "aircraft_id")
-    clients = subscriptions.where("status = 'active'").groupBy("coverage_id").agg(F.array_sort(F.collect_list(client)).alias("clients"))
-    out = coverages.select("coverage_id").distinct().join(costs, "coverage_id", "left").join(clients, "coverage_id", "left")
+    lists = subscriptions.where("status = 'active'").groupBy("group_id").agg(F.array_sort(F.collect_list(client)).alias("clients"))
+    of = groups.where("coverage_id is not null and group_id is not null").groupBy("coverage_id").agg(F.array_sort(F.collect_list("group_id")).alias("_groups"))
+    each = of.select("_groups").distinct().select("_groups", F.posexplode("_groups").alias("_i", "group_id")).join(lists, "group_id")
+    none = F.array().cast("array<struct<organization_name:string,number:string,aircraft_id:bigint>>")
+    several = F.array_sort(F.flatten(F.collect_list("clients")))
+    each = each.groupBy("_groups").agg(F.when(F.count("*") == 1, F.first("clients")).otherwise(several).alias("clients")).select("_groups", shown(F.col("clients")).alias("clients"))
+    out = coverages.select("coverage_id").distinct().join(costs, "coverage_id", "left").join(of, "coverage_id", "left")
+    # Lists are long and their coverages few bytes, so both are dealt out by number.
+    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.withColumn("_copy", F.pmod(F.xxhash64("coverage_id"), F.lit(COPIES))).repartition(n, "_groups", "_copy")
+    each = each.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPIES - 1).cast("bigint")))).repartition(n, "_groups", "_copy")
+    out = out.join(each.hint("merge"), ["_groups", "_copy"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,6)")).alias(c)
-    return out.select("coverage_id", zero("actual_cost"), zero("allocated_cost"), F.coalesce("clients", F.array().cast("array<struct<organization_name:string,number:string,aircraft_id:bigint>>")).alias("clients"))
+    return out.select("coverage_id", zero("actual_cost"), zero("allocated_cost"), F.coalesce("clients", shown(none)).alias("clients"))

@@ -202,9 +202,10 @@ def coverage_cost_details(spark, sf_dir):
     sets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("coverage_id"), "s_nationkey")
     ledger = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("coverage_id"), F.col("l_extendedprice").alias("actual_cost"), F.col("l_tax").alias("allocated_cost"))
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    subs = sets.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("coverage_id", F.col("n_name").alias("organization_name"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("number"), F.col("c_custkey").alias("aircraft_id"), F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("ended").alias("status"))
-    out = coverage.cost_detail(sets.select("coverage_id"), ledger, subs)
-    return out.select("coverage_id", "actual_cost", "allocated_cost", F.array_join(F.transform("clients", lambda x: F.concat_ws("/", x["organization_name"], x["aircraft_id"].cast("string"))), ",").alias("clients"))
+    # Coverages of a nation share its clients.
+    subs = c.select(F.col("c_nationkey").alias("group_id"), F.col("n_name").alias("organization_name"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("number"), F.col("c_custkey").alias("aircraft_id"), F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("ended").alias("status"))
+    named = lambda clients: F.array_join(F.transform(clients, lambda x: F.concat_ws("/", x["organization_name"], x["aircraft_id"].cast("string"))), ",")
+    return coverage.cost_detail(sets.select("coverage_id"), ledger, subs, sets.select("coverage_id", F.col("s_nationkey").alias("group_id")), named)
 
 
 @query("SELECT entry_id, line_no, part_id, entry_date, quantity, CASE WHEN part_id % 6 > 0 THEN CAST(round_even(part_id / 8, 2) AS DOUBLE) END AS tach_time FROM entries")
