@@ -112,7 +112,9 @@ _SLOTS = "SELECT entry_id AS page_id, line_no AS k, CAST(max(quantity) AS INT) A
 
 
 def _page_spans(spark, sf_dir):
-    slots = spark.sql(_SLOTS, entries=bind(spark, sf_dir, "entries"))
+    # Dealt out by pages once, so that neither lines nor spans of a page move again.
+    lines = bind(spark, sf_dir, "entries").select("entry_id", "line_no", "quantity", "part_id", "entry_date").repartition("entry_id")
+    slots = spark.sql(_SLOTS, entries=lines)
     k, none = F.col("k"), F.lit(None).cast("double")
     at = lambda more: (k * 12 + more).cast("double") / 100
 
@@ -127,7 +129,7 @@ def _page_spans(spark, sf_dir):
         F.when(k % 3 == 0, span(10 * k + 3, "REGION_TEXT", F.lit("Jane Doe A&P 77"), low, at(5))),
         span(10 * k + 4, "LINE", F.lit(" Tach "), low, at(6)), F.when(F.col("page_id") % 5 == 0, span(10 * k + 5, "TABLE", F.lit("a table"), low, at(0))),
     ))
-    return slots.select("page_id", F.explode(rows).alias("s")).select("page_id", "s.*")
+    return slots.select("page_id", F.explode_outer(rows).alias("s")).select("page_id", "s.*")
 
 
 _PAGE_SPANS = f"""s AS ({_SLOTS.format(entries='entries')}), sp AS (

@@ -59,3 +59,23 @@ def test_page_without_date_or_signal(spark):
     assert drafts.draft_entries(page(spark, [line("a", "nice weather", 0.1, 0.1), line("b", None, 0.1, 0.2), line("c", "", None, None)])).count() == 0
     assert drafts.draft_entries(page(spark, [line("a", "3/4/1999 washed", 0.1, 0.1)])).count() == 1
     assert drafts.draft_entries(page(spark, SIDES).where("1 = 0")).count() == 0
+
+
+def test_a_page_is_gathered_once(spark):
+    """Spans move once and meet no other table, so that none of their rules is tried again for a join."""
+    for make in (drafts.span_clusters, drafts.draft_entries):
+        plan = make(page(spark, SIDES))._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "Window" not in plan and plan.count("Scan") == 1, plan
+
+
+def test_what_spares_a_rule_changes_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tarmac.functions import entries as en
+
+    texts = ["Tach", " total \n", "\n\n", "", None, "date 1/2/2003", "Date", "Entries must be endorsed\nfoo", "foo\nTotal", "YEAR: 1", "-", "--", "time in", "time into", "1/2/2003 see AD 80-13-10", "flown on 1/2/2003 ok", "a long way to go 1/2/2003", "Aircraft since 13/45/2003"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(drafts.ignorable(F.col("t")), en.is_anchor(F.col("t"))).collect()]
+    blank = [True, True, True, True, True, False, True, False, False, True, True, False, True, False, False, False, False, False]
+    begins = [i in (5, 15) for i in range(len(texts))]
+    assert got == list(zip(blank, begins))
