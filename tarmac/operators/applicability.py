@@ -107,7 +107,7 @@ def _same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
-    return left.join(met, on).drop(*(f"_same_{k}" for k in keys))
+    return left.join(met.hint("merge"), on).drop(*(f"_same_{k}" for k in keys))
 
 
 def _dealt(members: DataFrame, keys: list[str], member: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -184,8 +184,8 @@ class Applicability:
         both = both.withColumn("_both", F.unhex(F.md5(F.to_json(F.struct("_a", "_d", "role", "_ab", "_db")))))
         both = kept(both, f"{root}/blocks")
         a, d = a.withColumnRenamed("_block", "_ab"), d.withColumnRenamed("_block", "_db")
-        left = a.join(both.select("_a", "role", "_ab", "_both"), ["_a", "role", "_ab"]).drop("_a", "_ab")
-        right = d.join(both.select("_d", "_db", "_both"), ["_d", "_db"]).drop("_d", "_db")
+        left = a.join(both.select("_a", "role", "_ab", "_both").hint("merge"), ["_a", "role", "_ab"]).drop("_a", "_ab")
+        right = d.join(both.select("_d", "_db", "_both").hint("merge"), ["_d", "_db"]).drop("_d", "_db")
         # By number, as few bytes make many pairs here and would be put together.
         n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if aircraft is not None:
@@ -194,7 +194,7 @@ class Applicability:
             right = _same(right, directives, "directive_id")
         left, right = left.repartition(n, "_both"), right.repartition(n, "_both")
         if without is not None:
-            met = without.select("aircraft_id", "directive_id").join(a, "aircraft_id").join(d, "directive_id").join(both, ["_a", "role", "_ab", "_d", "_db"])
+            met = without.select("aircraft_id", "directive_id").join(a.hint("merge"), "aircraft_id").join(d.hint("merge"), "directive_id").join(both, ["_a", "role", "_ab", "_d", "_db"])
             known = met.groupBy("_both", "aircraft_id").agg(F.collect_set("directive_id").alias("_left_out"))
             left = left.join(known.repartition(n, "_both").hint("merge"), ["_both", "aircraft_id"], "left")
         out = left.join(right.hint("merge"), "_both").drop("_both")
@@ -204,7 +204,8 @@ class Applicability:
 
     def among(self, rows: DataFrame) -> DataFrame:
         """Those of rows(aircraft_id, directive_id, ...) whose aircraft and directive are linked; grows with the rows."""
-        met = rows.join(self.of_aircraft.select("aircraft_id", "component_class").distinct(), "aircraft_id").join(self.of_directives.select("directive_id", "target_class").distinct(), "directive_id")
+        # Members are far larger in memory than their files, so the driver must not take them for a small table.
+        met = rows.join(self.of_aircraft.select("aircraft_id", "component_class").distinct().hint("merge"), "aircraft_id").join(self.of_directives.select("directive_id", "target_class").distinct().hint("merge"), "directive_id")
         return met.join(self.links, ["component_class", "target_class"], "left_semi").select(rows.columns).distinct()
 
     def first_roles(self, rows: DataFrame) -> DataFrame:

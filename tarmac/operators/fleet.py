@@ -67,7 +67,9 @@ def _prefix_words(directives: DataFrame, seen: DataFrame) -> DataFrame:
     part = lambda c: F.array_contains(c, F.col("word")).cast("int")
     own = F.array_except("action_words", F.array(*map(F.lit, ACTION_WORDS)))
     words = directives.withColumn("_own", own).withColumn("word", F.explode(F.array_union(F.array_union("product_words", "title_words"), "_own")))
-    words = words.select("directive_id", "word", part("product_words").alias("p"), part("title_words").alias("t"), part("_own").alias("o")).join(seen, "word")
+    words = words.select("directive_id", "word", part("product_words").alias("p"), part("title_words").alias("t"), part("_own").alias("o"))
+    # Spark takes the exploded words for as small as the directives' file, and would send them all through the driver.
+    words = words.join(seen.hint("merge"), "word")
     down = Window.partitionBy("directive_id").orderBy(F.desc("entries"), "word").rowsBetween(Window.unboundedPreceding, 0)
     points = F.least(40 * F.sum("p").over(down), F.lit(160)) + F.least(25 * F.sum("t").over(down), F.lit(100)) + F.least(40 * F.sum("o").over(down), F.lit(180))
     return words.select("directive_id", "word", points.alias("potential"))
@@ -102,31 +104,32 @@ def candidate_evidence(entries: DataFrame, directives: DataFrame, applicable: Ap
         F.array_union(terms(F.col("actions")), F.array(*map(F.lit, ACTION_WORDS))).alias("action_words"),
     )
     e = e.withColumn("entry", F.struct(*shown))
-    cited = e.select(*key, "entry", "body").withColumn("_refs", directive_references(F.col("body")))
+    cited = e.select(*key, "entry", "body").withColumn("_refs", directive_references(F.col("body"), "ad_number", "disposition"))
     # Of a number cited twice the first citation counts.
     cited = cited.withColumn("_refs", F.filter("_refs", lambda x, i: ~F.exists(F.slice("_refs", F.lit(1), i), lambda y: y["ad_number"] == x["ad_number"])))
     bare = F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("(?=([0-9]{4}-[0-9]{2}-[0-9]{2}))"), F.lit(1)))
     said = F.transform("_refs", lambda x: F.struct(x["ad_number"].alias("ad_number"), x["disposition"].alias("disposition")))
     other = F.transform(F.array_except(bare, F.transform("_refs", lambda x: x["ad_number"])), lambda n: F.struct(n.alias("ad_number"), F.lit(None).cast("string").alias("disposition")))
-    named = cited.select(*key, "entry", F.explode(F.concat(said, other)).alias("m")).select(*key, "entry", "m.*").join(d.select("directive_id", "ad_number"), "ad_number")
+    # Outer, as Spark would read all citations once more to see whether there are any. Tables of members and directives are far larger in memory than their files, so the driver must not take them for small ones.
+    named = cited.select(*key, "entry", F.explode_outer(F.concat(said, other)).alias("m")).where("m is not null").select(*key, "entry", "m.*").join(d.select("directive_id", "ad_number").hint("merge"), "ad_number")
     named = applicable.among(named.select(*key, "directive_id", "disposition", F.lit(True).alias("named"), "entry"))
 
     said = e.select(*key, keywords(F.col("body")).alias("_w"))
     said = said.withColumn("need", 200 - F.least(40 * F.size(F.array_intersect("_w", F.array(*map(F.lit, ACTION_WORDS)))), F.lit(180)))
-    spoken = said.select(*key, "need", F.explode("_w").alias("word"))
+    spoken = said.select(*key, "need", F.explode_outer("_w").alias("word")).where("word is not null")
     rare = _prefix_words(d, spoken.groupBy("word").agg(F.count("*").alias("entries")))
     rare = rare.where(F.col("potential") >= said.agg(F.min("need")).scalar())
-    by_class = rare.join(applicable.of_directives.select("directive_id", "target_class").distinct(), "directive_id").join(applicable.links, "target_class")
+    by_class = rare.join(applicable.of_directives.select("directive_id", "target_class").distinct().hint("merge"), "directive_id").join(applicable.links, "target_class")
     by_class = by_class.select("component_class", "word", "directive_id", "potential").distinct()
     # Written first, so that its size is known when the entries' words meet it: where few directives can be met by words alone, these are not shuffled.
     by_class.write.parquet(f"{root}/rare")
     by_class = spark.read.schema(by_class.schema).parquet(f"{root}/rare")
-    classed = spoken.join(applicable.of_aircraft.select("aircraft_id", "component_class").distinct(), "aircraft_id")
+    classed = spoken.join(applicable.of_aircraft.select("aircraft_id", "component_class").distinct().hint("merge"), "aircraft_id")
     worded = classed.join(by_class, ["component_class", "word"]).where("potential >= need").select(*key, "directive_id").distinct()
 
     both = named.unionByName(worded.join(e.select("_row", "entry"), "_row").select(*key, "directive_id", F.lit(None).cast("string").alias("disposition"), F.lit(False).alias("named"), "entry"))
     met = both.groupBy(*key, "directive_id").agg(F.max("disposition").alias("disposition"), F.bool_or("named").alias("named"), F.first("entry").alias("entry"))
-    met = met.join(d, "directive_id").select("*", *(f"entry.{c}" for c in shown if c != "aircraft_id")).withColumn("_w", keywords(F.col("body")))
+    met = met.join(d.hint("merge"), "directive_id").select("*", *(f"entry.{c}" for c in shown if c != "aircraft_id")).withColumn("_w", keywords(F.col("body")))
     points = lambda c, each, most: F.least(each * F.size(F.array_intersect("_w", c)), F.lit(most))
     claim = F.when(F.col("disposition").isin("complied", "inspected"), 820).when(F.col("named"), 450).otherwise(0)
     score = F.least(claim + points("product_words", 40, 160) + points("action_words", 40, 180) + points("title_words", 25, 100), F.lit(950))

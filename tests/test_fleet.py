@@ -118,3 +118,17 @@ def test_links_and_members_give_all_pairs(spark, name, source):
         con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     pairs = f"WITH {queries._MATCH}, {queries._CLASSES.format(source=source)} SELECT DISTINCT aircraft_id, directive_id FROM c JOIN n USING (role) WHERE {queries._CLOSE}"
     assert got == set(con.sql(queries.with_bindings(pairs)).fetchall()) and len(got) > len(rows)
+
+
+def test_words_of_directives_are_not_broadcast(spark, tmp_path):
+    """Their file is small, but the words that it is exploded to are not: the driver must not take them."""
+    from pyspark.sql import functions as F
+
+    from tarmac.operators import fleet
+
+    words = F.array(F.lit("brand"), F.lit("wing"))
+    spark.range(20).select(F.col("id").alias("directive_id"), words.alias("product_words"), words.alias("title_words"), words.alias("action_words")).write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([("brand", 3), ("wing", 5)], "word string, entries bigint").write.parquet(f"{tmp_path}/seen")
+    out = fleet._prefix_words(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/seen"))
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["word"], r["potential"]) for r in out.collect()} == {("wing", 105), ("brand", 210)}
