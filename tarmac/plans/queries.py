@@ -350,7 +350,7 @@ def affected_aircraft(spark, sf_dir):
     subs = bind(spark, sf_dir, "entries").select("aircraft_id", F.col("part_id").alias("directive_id"))
     changed = _directives(spark, sf_dir).where("size > 45")
     # Only the changed directives are paired with aircraft.
-    return jobs.affected_aircraft(_applicability(spark, sf_dir, changed).pairs(), subs, changed.select("directive_id"))
+    return jobs.affected_aircraft(_applicability(spark, sf_dir, changed), subs, changed.select("directive_id"))
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100")
