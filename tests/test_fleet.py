@@ -132,3 +132,13 @@ def test_words_of_directives_are_not_broadcast(spark, tmp_path):
     out = fleet._prefix_words(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/seen"))
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
     assert {(r["word"], r["potential"]) for r in out.collect()} == {("wing", 105), ("brand", 210)}
+
+
+def test_references_with_some_fields(spark):
+    from pyspark.sql import functions as F
+
+    from tarmac.functions.maintenance import directive_references
+
+    df = spark.createDataFrame([("C/W AD 2011-10-09R1 by inspection of hub, due each 100 hours\nsee AD 80-13-10",), (None,)], "t string")
+    some, all_ = (df.select(directive_references(F.col("t"), *f).alias("r")).collect() for f in (("ad_number", "recurring"), ()))
+    assert [[tuple(x) for x in r["r"]] for r in some] == [[(x["ad_number"], x["recurring"]) for x in r["r"]] for r in all_] == [[("2011-10-09", True), ("1980-13-10", False)], []]
